@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reports are yearly batch extracts over finished records; the definition
+has no stream input, watermark, window or state, so nothing here is built
+(see README, "Not built").
+"""
