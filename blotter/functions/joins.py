@@ -1,45 +1,8 @@
-"""Join helpers.
-
-``left_join_on_keys``: a left outer equi-join whose left rows with a NULL key
-bypass the shuffle.  A NULL key never matches, so those rows come out with
-NULL right columns either way; sent through the exchange they would all hash to
-one reducer (NULL report numbers form one large group in this data model).
-The right side must be unique per key when fan-out is not wanted; the report
-rollups are, by construction.
-"""
+"""Join helpers."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def left_join_on_keys(left: DataFrame, right: DataFrame,
-                      keys: list[tuple[str, str]]) -> DataFrame:
-    """``left LEFT JOIN right ON left.l = right.r AND ...``; right keys dropped.
-
-    Right columns other than the keys must not clash with left column names.
-    """
-    renamed = right
-    tmp = {}
-    for _, r in keys:
-        tmp[r] = f"__rk_{r}"
-        renamed = renamed.withColumnRenamed(r, tmp[r])
-    extra = [c for c in renamed.columns if c not in tmp.values()]
-    clash = set(extra) & set(left.columns)
-    if clash:
-        raise ValueError(f"right columns clash with left: {sorted(clash)}")
-    has_keys = reduce(and_, [F.col(l).isNotNull() for l, _ in keys])
-    cond = reduce(and_, [left[l] == renamed[tmp[r]] for l, r in keys])
-    matched = (left.filter(has_keys).join(renamed, cond, "left")
-               .select(*[left[c] for c in left.columns], *[renamed[c] for c in extra]))
-    types = dict(renamed.dtypes)
-    unmatched = left.filter(~has_keys).select(
-        *left.columns, *[F.lit(None).cast(types[c]).alias(c) for c in extra])
-    return matched.unionByName(unmatched)
 
 
 def semi(df: DataFrame, keys: DataFrame, on: list[str] | str) -> DataFrame:

@@ -19,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.functions.joins import left_join_on_keys
 from blotter.functions.text import flag
 from blotter.operators import cohort as co
 from blotter.operators import rollups as ro
 from blotter.operators.suspects import suspect_counts
 from blotter.params import Params
+from blotter.plans.materialize import materialize
 from blotter.sources.catalog import Catalog
 
 MONEY_OUT = ro.MONEY_OUT
@@ -44,15 +44,12 @@ def cohort_incident_keys(cat: Catalog, p: Params) -> DataFrame:
 
 
 def _with_metrics(rows: DataFrame, cat: Catalog, keys: DataFrame) -> DataFrame:
+    """Attach the five rollups to cohort rows; every join is on incident_id."""
     m = (rows.join(ro.incident_status(cat, keys), "incident_id", "left")
          .join(ro.property_loss(cat, keys), "incident_id", "left")
          .join(suspect_counts(cat, keys), "incident_id", "left")
-         .join(ro.vehicle_counts(cat, keys), "incident_id", "left"))
-    af = ro.arrest_flags(cat, keys).select(
-        F.col("agency_code").alias("af_agency"),
-        F.col("inc_report_number").alias("af_report"), "has_arrest")
-    m = left_join_on_keys(m, af, [("inc_report_number", "af_report"),
-                                  ("agency_code", "af_agency")])
+         .join(ro.vehicle_counts(cat, keys), "incident_id", "left")
+         .join(ro.per_incident(keys, ro.arrest_flags(cat, keys)), "incident_id", "left"))
     has_arrest = F.coalesce(F.col("has_arrest"), F.lit(0))
     is_open = F.coalesce(F.col("is_open"), F.lit(0))
     zero = F.lit(0).cast(MONEY_OUT)
@@ -71,14 +68,15 @@ def _with_metrics(rows: DataFrame, cat: Catalog, keys: DataFrame) -> DataFrame:
 
 def incident_metrics(cat: Catalog, p: Params) -> DataFrame:
     """Cohort rows (incident x offense) with the eight per-incident metrics."""
-    ri = co.cohort_base(cat, p).select("incident_id", "inc_report_number", "report_date",
-                                       "agency_code", "offense_code", "offense_desc")
+    ri = materialize(co.cohort_base(cat, p)).select(
+        "incident_id", "inc_report_number", "report_date", "agency_code", "offense_code",
+        "offense_desc")
     return _with_metrics(ri, cat, co.cohort_keys(ri))
 
 
 def report_metrics(cat: Catalog, p: Params) -> DataFrame:
     """One row per (agency, report number): MIN year and MAX of each metric."""
-    inc = cohort_incident_keys(cat, p)
+    inc = materialize(cohort_incident_keys(cat, p))
     m = _with_metrics(inc, cat, inc)
     return m.groupBy("agency_code", "inc_report_number").agg(
         F.min(F.year("report_date")).alias("report_year"),

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blotter.functions.joins import left_join_on_keys
 from blotter.functions.text import ordered_set_text
 from blotter.operators import cohort as co
 from blotter.operators import rollups as ro
 from blotter.operators.suspects import suspect_evidence
 from blotter.params import CODE_SEP, DESC_SEP, Params
+from blotter.plans.materialize import materialize
 from blotter.sources.catalog import Catalog
 
 HEAD = ("report_year", "agency_code", "report_number", "incident_id", "case_numbers",
@@ -30,7 +30,7 @@ def _asc(*cols: str) -> list[Column]:
 
 
 def _cohort_with_cases(cat: Catalog, p: Params) -> tuple[DataFrame, DataFrame]:
-    ri = co.cohort_described(cat, p)
+    ri = materialize(co.cohort_described(cat, p))
     keys = co.cohort_keys(ri)
     return ri.join(ro.case_numbers(cat, keys), "incident_id", "left"), keys
 
@@ -63,7 +63,7 @@ def proof_total_reports(cat: Catalog, p: Params) -> DataFrame:
 
 def proof_total_reports_inclusive(cat: Catalog, p: Params) -> DataFrame:
     """Wide detail rows: listed offense codes too, with address and place."""
-    ri = co.cohort_inclusive(cat, p)
+    ri = materialize(co.cohort_inclusive(cat, p))
     keys = co.cohort_keys(ri)
     rows = (ri.join(ro.case_numbers(cat, keys), "incident_id", "left")
             .join(ro.occurrence_addresses(cat, keys), "incident_id", "left"))
@@ -78,8 +78,7 @@ def proof_total_reports_inclusive(cat: Catalog, p: Params) -> DataFrame:
 def proof_reports_with_arrest(cat: Catalog, p: Params) -> DataFrame:
     """Reports with at least one arrest on the same report number and agency."""
     rows, keys = _cohort_with_cases(cat, p)
-    ar = ro.arrest_rollup(cat, keys)
-    rows = rows.join(ar, ["agency_code", "inc_report_number"])
+    rows = rows.join(ro.per_incident(keys, ro.arrest_rollup(cat, keys)), "incident_id")
     names = ("arrest_count", "arrest_numbers", "first_arrest_date", "last_arrest_date")
     return _per_report(rows, [F.max(c).alias(c) for c in names], names)
 
@@ -97,11 +96,7 @@ def proof_closed_by_other_means(cat: Catalog, p: Params) -> DataFrame:
     """Reports with an incident neither open nor arrested."""
     rows, keys = _cohort_with_cases(cat, p)
     rows = rows.join(ro.incident_open_status(cat, keys), "incident_id", "left")
-    ac = ro.arrest_counts(cat, keys).select(
-        F.col("agency_code").alias("ac_agency"),
-        F.col("inc_report_number").alias("ac_report"), "arrest_count")
-    rows = left_join_on_keys(rows, ac, [("inc_report_number", "ac_report"),
-                                        ("agency_code", "ac_agency")])
+    rows = rows.join(ro.per_incident(keys, ro.arrest_counts(cat, keys)), "incident_id", "left")
     rows = rows.filter((F.coalesce(F.col("is_open"), F.lit(0)) == 0)
                        & (F.coalesce(F.col("arrest_count"), F.lit(0)) == 0))
     return _per_report(rows, [

@@ -122,6 +122,18 @@ def occurrence_addresses(cat: Catalog, keys: DataFrame | None = None) -> DataFra
 
 # -- arrests ----------------------------------------------------------------
 
+def per_incident(keys: DataFrame, report_rollup: DataFrame) -> DataFrame:
+    """A report-keyed rollup re-keyed to the cohort's incidents.
+
+    An inner join on (agency, report number): NULL report numbers are dropped
+    before its exchange (they never match), so they cannot pile up in one
+    task; the result is then joined to cohort rows on ``incident_id``, which
+    spreads evenly however many incidents share one report.
+    """
+    return keys.select("incident_id", *REPORT_KEYS).join(report_rollup, REPORT_KEYS) \
+        .drop(*REPORT_KEYS)
+
+
 def arrest_flags(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """(agency_code, inc_report_number) -> has_arrest = 1, one row per report."""
     return (_arrests(cat, keys, ()).select(*REPORT_KEYS).distinct()

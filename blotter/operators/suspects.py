@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blotter.functions.joins import left_join_on_keys, semi
+from blotter.functions.joins import semi
 from blotter.functions.text import any_of, upper_contains, upper_contains_any, upper_in
 from blotter.params import (
     OFFENDER_WORD,
@@ -94,19 +94,32 @@ def _arrest_counts(cat: Catalog, keys: DataFrame | None) -> DataFrame:
 
 
 def person_rows(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
-    """One row per (person row x relation code row) with its fan-out arithmetic."""
-    people = _people(cat, keys)
+    """One row per (person row x relation code row) with its fan-out arithmetic.
+
+    The matching arrests of a person row depend on (report, agency, person id).
+    They are found by an *inner* join of the distinct person keys with the
+    pre-aggregated arrests (NULL keys drop out before its exchange), then
+    attached back on (inc_per_id, report, agency, person id): ``inc_per_id``
+    in that key spreads the rows evenly even when one report number or person
+    id (or NULL) covers a large share of them.  Role counts attach on
+    ``inc_per_id`` as the role table is keyed by it.
+    """
+    base = _people(cat, keys)
+    person_key = ["inc_per_id", "inc_report_number", "agency_code", "per_person_id"]
+    arrests = _arrest_counts(cat, keys)
+    cand = base.select(*person_key).distinct()
+    matched = cand.join(arrests, (cand["inc_report_number"] == arrests["a_report"])
+                        & (cand["agency_code"] == arrests["a_agency"])
+                        & (cand["per_person_id"] == arrests["a_person"])).select(
+        *person_key, "n_arrest_rows", "n_arrest_ids")
     rel = cat.lookup("ejs_codes").select(
         F.col("code_type").alias("rel_type"), F.col("code").alias("rel_code"),
         F.col("description").alias("rel_desc"))
-    people = people.join(rel, (people["relation_code_type"] == rel["rel_type"])
-                         & (people["reltn_relation_code"] == rel["rel_code"]), "left")
-    people = people.join(_role_counts(cat, people if keys is not None else None),
-                         "inc_per_id", "left")
-    people = left_join_on_keys(
-        people, _arrest_counts(cat, keys),
-        [("inc_report_number", "a_report"), ("agency_code", "a_agency"),
-         ("per_person_id", "a_person")])
+    people = base.join(rel, (base["relation_code_type"] == rel["rel_type"])
+                       & (base["reltn_relation_code"] == rel["rel_code"]), "left")
+    people = (people.join(_role_counts(cat, base if keys is not None else None),
+                          "inc_per_id", "left")
+              .join(matched, person_key, "left"))
 
     code = F.col("reltn_relation_code")
     desc_suspect = upper_contains("rel_desc", SUSPECT_WORD)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
+from blotter.plans.materialize import _checkpoint_dir
+
 CONF = {
     # Runtime re-planning: coalesce small shuffle partitions, split skewed
     # join partitions, switch joins to broadcast from measured sizes.
@@ -39,9 +38,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a scratch one only when unset (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="blotter-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
+    d = _checkpoint_dir(spark)
     spark.sparkContext.setCheckpointDir(d)
     return d
