@@ -27,6 +27,11 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Shared scratch folder: the checkpoint directory (set only when unset)."""
+    return _checkpoint_dir(spark)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint directory now; return the re-read DataFrame."""
     spark = df.sparkSession

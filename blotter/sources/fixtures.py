@@ -2,9 +2,12 @@
 
 The source database's records are private, so the 16 relations are derived,
 deterministically, from ``orders``, ``lineitem``, ``part`` and ``customer``
-(FIXTURES.md gives the same rules as text).  Everything here is a lazy
-DataFrame over the parquet files, so the derived relations grow with the scale
-factor and every report reads its whole input.
+(FIXTURES.md gives the same rules as text).  ``derive`` builds them as lazy
+DataFrames over the parquet files; ``fixture_catalog`` writes them once, as
+parquet under the shared scratch folder, and serves them like stored tables, so
+the reports see plain column scans with predicate pushdown, as they would on
+the real relations.  The derived relations grow with the scale factor and
+every report reads its whole input.
 """
 
 from __future__ import annotations
@@ -13,10 +16,10 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
+from blotter.plans.materialize import scratch_dir
 from blotter.sources.catalog import Catalog
-from blotter.sources.schemas import MONEY
+from blotter.sources.schemas import MONEY, RELATIONS
 
 # ---------------------------------------------------------------------------
 # Fixed values of the derivation (must match FIXTURES.md and the oracle CTEs).
@@ -82,8 +85,10 @@ def _agency(orderkey: Column) -> Column:
 
 
 def _values(spark: SparkSession, rows: list, *names: str) -> DataFrame:
-    schema = StructType([StructField(n, StringType(), True) for n in names])
-    return spark.createDataFrame(rows, schema)
+    """A small constant relation, built JVM-side (a local relation, no Python RDD)."""
+    structs = [F.struct(*[F.lit(v).cast("string").alias(n) for v, n in zip(r, names)])
+               for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -220,5 +225,37 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def fixture_catalog(spark: SparkSession, sf_dir: str, **kw) -> Catalog:
-    return Catalog(derive(spark, sf_dir), **kw)
+# Sort order of the written relations: incidents by report date, so the
+# cohort's date range skips parquet row groups by their min/max statistics.
+_SORT = {"incidents": ("report_date", "incident_id")}
+
+
+def write_fixtures(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
+    """Derive the 16 relations and write them as parquet under ``out_dir``."""
+    for name, df in derive(spark, sf_dir).items():
+        if name in _SORT:
+            df = df.sortWithinPartitions(*_SORT[name])
+        df.write.mode("overwrite").parquet(os.path.join(out_dir, name))
+    with open(os.path.join(out_dir, "_FIXTURES_DONE"), "w") as f:
+        f.write(sf_dir)
+    return out_dir
+
+
+def fixture_dir(spark: SparkSession, sf_dir: str) -> str:
+    tag = os.path.abspath(sf_dir).strip("/").replace("/", "_")
+    return os.path.join(scratch_dir(spark), "fixtures", tag)
+
+
+def fixture_catalog(spark: SparkSession, sf_dir: str, *, lazy: bool = False, **kw) -> Catalog:
+    """Catalog over the derived relations.
+
+    By default they are written once (per scratch directory) and read back as
+    plain parquet tables, as the real relations would be stored; ``lazy=True``
+    keeps them as unmaterialized derivations instead.
+    """
+    if lazy:
+        return Catalog(derive(spark, sf_dir), **kw)
+    out = fixture_dir(spark, sf_dir)
+    if not os.path.exists(os.path.join(out, "_FIXTURES_DONE")):
+        write_fixtures(spark, sf_dir, out)
+    return Catalog({n: spark.read.parquet(os.path.join(out, n)) for n in RELATIONS}, **kw)
