@@ -34,7 +34,7 @@ REPORT_KEYS = ["agency_code", "inc_report_number"]
 def _restrict(df: DataFrame, keys: DataFrame | None, col: str) -> DataFrame:
     if keys is None:
         return df
-    return semi(df, keys.select(F.col("incident_id").alias(col)).distinct(), col)
+    return semi(df, keys.select(F.col("incident_id").alias(col)), col)
 
 
 def _report_keys(keys: DataFrame | None) -> DataFrame | None:
