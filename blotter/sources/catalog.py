@@ -16,9 +16,9 @@ forms select the same rows, so this is exact.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -51,14 +51,12 @@ class Catalog:
     # -- constructors -----------------------------------------------------
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, **kw) -> "Catalog":
-        """Relations stored as ``<root>/<relation>`` (file or directory)."""
-        tables = {}
-        for name in SCHEMAS:
-            path = os.path.join(root, name)
-            if not os.path.exists(path) and os.path.exists(path + ".parquet"):
-                path += ".parquet"
-            tables[name] = spark.read.parquet(path)
-        return cls(tables, **kw)
+        """Relations stored as ``<root>/<relation>`` or ``<root>/<relation>.parquet``.
+
+        Paths go through Spark's file system layer, so ``root`` may be any
+        URI the cluster reads (HDFS, object stores, local).
+        """
+        return cls({name: read_parquet_any(spark, root, name) for name in SCHEMAS}, **kw)
 
     @classmethod
     def from_tables(cls, spark: SparkSession, names: Mapping[str, str] | None = None,
@@ -103,6 +101,15 @@ class Catalog:
         return F.broadcast(df) if self._small[key] else df
 
 
+def read_parquet_any(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``<root>/<name>``, else ``<root>/<name>.parquet``; raises if neither exists."""
+    base = root.rstrip("/") + "/" + name
+    try:
+        return spark.read.parquet(base)
+    except AnalysisException:
+        return spark.read.parquet(base + ".parquet")
+
+
 def _blank_to_null(name: str) -> Column:
     c = F.col(name)
     return F.when(c != F.lit(""), c).alias(name)

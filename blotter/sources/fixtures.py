@@ -12,8 +12,7 @@ every report reads its whole input.
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,7 +92,7 @@ def _values(spark: SparkSession, rows: list, *names: str) -> DataFrame:
 
 def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+        return spark.read.parquet(sf_dir.rstrip("/") + f"/{name}.parquet")
 
     orders, lineitem = read("orders"), read("lineitem")
     part, customer = read("part"), read("customer")
@@ -225,25 +224,53 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-# Sort order of the written relations: incidents by report date, so the
-# cohort's date range skips parquet row groups by their min/max statistics.
-_SORT = {"incidents": ("report_date", "incident_id")}
+# Bump when the derivation changes, so a written copy is never reused stale.
+FIXTURE_VERSION = "v2"
+
+# Storage layout of the written relations.  Incidents are range-partitioned and
+# sorted by report date, so each file and row group covers a date range that
+# the cohort's year filter can skip by min/max statistics; the other large
+# relations are hash-clustered by the key they are joined and grouped on.
+_RANGE = {"incidents": ("report_date", "incident_id")}
+_CLUSTER = {
+    "offenses": "inc_incident_id", "incident_people": "inc_incident_id",
+    "incident_person_roles": "inc_per_id", "incident_properties": "incsup_incident_id",
+    "incident_vehicles": "incident_id", "incident_addresses": "incident_id",
+    "inc_case_inc_status_vw": "incident_id", "incident_cases": "inc_case_id",
+    "arrests": "inc_report_number", "addresses": "address_id",
+}
 
 
 def write_fixtures(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
     """Derive the 16 relations and write them as parquet under ``out_dir``."""
+    n = max(1, spark.sparkContext.defaultParallelism)
     for name, df in derive(spark, sf_dir).items():
-        if name in _SORT:
-            df = df.sortWithinPartitions(*_SORT[name])
-        df.write.mode("overwrite").parquet(os.path.join(out_dir, name))
-    with open(os.path.join(out_dir, "_FIXTURES_DONE"), "w") as f:
-        f.write(sf_dir)
+        if name in _RANGE:
+            df = df.repartitionByRange(n, *_RANGE[name]).sortWithinPartitions(*_RANGE[name])
+        elif name in _CLUSTER:
+            df = df.repartition(n, _CLUSTER[name])
+        else:
+            df = df.coalesce(1)
+        df.write.mode("overwrite").parquet(out_dir.rstrip("/") + "/" + name)
     return out_dir
 
 
 def fixture_dir(spark: SparkSession, sf_dir: str) -> str:
-    tag = os.path.abspath(sf_dir).strip("/").replace("/", "_")
-    return os.path.join(scratch_dir(spark), "fixtures", tag)
+    tag = sf_dir.rstrip("/").split("://")[-1].strip("/").replace("/", "_")
+    return "/".join([scratch_dir(spark).rstrip("/"), "fixtures", FIXTURE_VERSION, tag])
+
+
+def _written(spark: SparkSession, out: str) -> dict[str, DataFrame] | None:
+    """The written relations, or None if any is missing (e.g. an interrupted run).
+
+    A parquet directory only becomes readable once its write job committed, so
+    reading all 16 through Spark is the completeness check; it works on any
+    file system the cluster uses.
+    """
+    try:
+        return {n: spark.read.parquet(out + "/" + n) for n in RELATIONS}
+    except AnalysisException:
+        return None
 
 
 def fixture_catalog(spark: SparkSession, sf_dir: str, *, lazy: bool = False, **kw) -> Catalog:
@@ -256,6 +283,8 @@ def fixture_catalog(spark: SparkSession, sf_dir: str, *, lazy: bool = False, **k
     if lazy:
         return Catalog(derive(spark, sf_dir), **kw)
     out = fixture_dir(spark, sf_dir)
-    if not os.path.exists(os.path.join(out, "_FIXTURES_DONE")):
+    tables = _written(spark, out)
+    if tables is None:
         write_fixtures(spark, sf_dir, out)
-    return Catalog({n: spark.read.parquet(os.path.join(out, n)) for n in RELATIONS}, **kw)
+        tables = _written(spark, out)
+    return Catalog(tables, **kw)
