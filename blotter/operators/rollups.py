@@ -12,6 +12,8 @@ following aggregation and the join back to the cohort add no exchange.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ from blotter.functions.text import (
     upper_contains,
 )
 from blotter.params import CODE_SEP, DESC_SEP, LOSS_CODE, OPEN_WORD, RECOVERED_STATUS
+from blotter.plans.materialize import materialize
 from blotter.sources.catalog import Catalog
 
 MONEY_OUT = "decimal(38,2)"
@@ -51,26 +54,52 @@ def _arrests(cat: Catalog, keys: DataFrame | None, columns: tuple[str, ...]) ->
     return a if rk is None else semi(a, rk, REPORT_KEYS)
 
 
-# -- cases ------------------------------------------------------------------
+# -- two-hop rollups ---------------------------------------------------------
+#
+# Cases and addresses hang off incidents through a bridge table.  Restricting
+# the bridge to the cohort is a semi join; restricting the second table
+# (``incident_cases``, ``addresses``) needs the bridge's restricted ids, whose
+# size the planner cannot know from file statistics.  The restricted bridge is
+# therefore materialized once per cohort: with exact statistics, a small id set
+# is broadcast into a map-side semi join of the second table (no exchange of
+# that whole table), and a large one falls back to a shuffle join as before.
+
+_FIRST_HOP: "weakref.WeakKeyDictionary[DataFrame, dict]" = weakref.WeakKeyDictionary()
+
+
+def _first_hop(keys: DataFrame, name: str, df: DataFrame) -> DataFrame:
+    memo = _FIRST_HOP.setdefault(keys, {})
+    if name not in memo:
+        memo[name] = materialize(_restrict(df, keys, "incident_id"))
+    return memo[name]
+
 
 def _bridge(cat: Catalog, keys: DataFrame | None) -> DataFrame:
-    return _restrict(cat.table("inc_case_inc_status_vw"), keys, "incident_id")
+    bridge = cat.table("inc_case_inc_status_vw")
+    return bridge if keys is None else _first_hop(keys, "cases", bridge)
+
+
+def _cases(cat: Catalog, keys: DataFrame | None, bridge: DataFrame, **kw) -> DataFrame:
+    cases = cat.table("incident_cases", **kw)
+    return cases if keys is None else semi(cases, bridge.select("inc_case_id"), "inc_case_id")
 
 
 def case_numbers(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """incident_id -> sorted distinct non-NULL case numbers joined by ', '."""
-    cases = cat.table("incident_cases", columns=("inc_case_id", "inc_case_number"),
-                      where=lambda d: d["inc_case_number"].isNotNull()
-                      & (d["inc_case_number"] != F.lit("")))
-    return (_bridge(cat, keys).join(cases, "inc_case_id")
+    bridge = _bridge(cat, keys)
+    cases = _cases(cat, keys, bridge, columns=("inc_case_id", "inc_case_number"),
+                   where=lambda d: d["inc_case_number"].isNotNull()
+                   & (d["inc_case_number"] != F.lit("")))
+    return (bridge.join(cases, "inc_case_id")
             .groupBy("incident_id")
             .agg(ordered_set_text("inc_case_number", CODE_SEP).alias("case_numbers")))
 
 
-def _case_status(cat: Catalog) -> DataFrame:
+def _case_status(cat: Catalog, ic: DataFrame | None = None) -> DataFrame:
     """Cases with their status description (code table joined on two keys)."""
-    ic = cat.table("incident_cases", columns=("inc_case_id", "case_status_code_type",
-                                              "case_status_code"))
+    if ic is None:
+        ic = cat.table("incident_cases", columns=("inc_case_id", "case_status_code_type",
+                                                  "case_status_code"))
     ec = cat.lookup("ejs_codes")
     return ic.join(ec, (ic["case_status_code_type"] == ec["code_type"])
                    & (ic["case_status_code"] == ec["code"]), "left").select(
@@ -83,15 +112,22 @@ def case_open_flags(cat: Catalog) -> DataFrame:
     return _case_status(cat).select("inc_case_id", "is_open")
 
 
+_STATUS_COLS = ("inc_case_id", "case_status_code_type", "case_status_code")
+
+
 def incident_status(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """incident_id -> MAX(is_open) over its cases; dangling cases give NULL."""
-    return (_bridge(cat, keys).join(case_open_flags(cat), "inc_case_id", "left")
+    bridge = _bridge(cat, keys)
+    flags = _case_status(cat, _cases(cat, keys, bridge, columns=_STATUS_COLS))
+    return (bridge.join(flags.select("inc_case_id", "is_open"), "inc_case_id", "left")
             .groupBy("incident_id").agg(F.max("is_open").alias("is_open")))
 
 
 def incident_open_status(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """incident_id -> is_open and sorted distinct status descriptions ' | '."""
-    return (_bridge(cat, keys).join(_case_status(cat), "inc_case_id")
+    bridge = _bridge(cat, keys)
+    status = _case_status(cat, _cases(cat, keys, bridge, columns=_STATUS_COLS))
+    return (bridge.join(status, "inc_case_id")
             .groupBy("incident_id")
             .agg(F.max("is_open").alias("is_open"),
                  ordered_set_text("description", DESC_SEP).alias("case_statuses")))
@@ -113,8 +149,12 @@ def occurrence_address(a: str = "") -> F.Column:
 
 def occurrence_addresses(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """incident_id -> sorted distinct formatted addresses joined by ' | '."""
-    ia = _restrict(cat.table("incident_addresses"), keys, "incident_id")
-    return (ia.join(cat.table("addresses"), "address_id")
+    ia = cat.table("incident_addresses")
+    addresses = cat.table("addresses")
+    if keys is not None:
+        ia = _first_hop(keys, "addresses", ia)
+        addresses = semi(addresses, ia.select("address_id"), "address_id")
+    return (ia.join(addresses, "address_id")
             .groupBy("incident_id")
             .agg(ordered_set_text(occurrence_address(), DESC_SEP)
                  .alias("occurrence_addresses")))
