@@ -67,16 +67,19 @@ def _arrests(cat: Catalog, keys: DataFrame | None, columns: tuple[str, ...]) ->
 _FIRST_HOP: "weakref.WeakKeyDictionary[DataFrame, dict]" = weakref.WeakKeyDictionary()
 
 
-def _first_hop(keys: DataFrame, name: str, df: DataFrame) -> DataFrame:
+def first_hop(keys: DataFrame, name: str, df: DataFrame,
+              restrict=None) -> DataFrame:
+    """``df`` restricted to the cohort ``keys``, materialized once per cohort."""
     memo = _FIRST_HOP.setdefault(keys, {})
     if name not in memo:
-        memo[name] = materialize(_restrict(df, keys, "incident_id"))
+        rows = restrict(df, keys) if restrict else _restrict(df, keys, "incident_id")
+        memo[name] = materialize(rows)
     return memo[name]
 
 
 def _bridge(cat: Catalog, keys: DataFrame | None) -> DataFrame:
     bridge = cat.table("inc_case_inc_status_vw")
-    return bridge if keys is None else _first_hop(keys, "cases", bridge)
+    return bridge if keys is None else first_hop(keys, "cases", bridge)
 
 
 def _cases(cat: Catalog, keys: DataFrame | None, bridge: DataFrame, **kw) -> DataFrame:
@@ -152,7 +155,7 @@ def occurrence_addresses(cat: Catalog, keys: DataFrame | None = None) -> DataFra
     ia = cat.table("incident_addresses")
     addresses = cat.table("addresses")
     if keys is not None:
-        ia = _first_hop(keys, "addresses", ia)
+        ia = first_hop(keys, "addresses", ia)
         addresses = semi(addresses, ia.select("address_id"), "address_id")
     return (ia.join(addresses, "address_id")
             .groupBy("incident_id")

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from blotter.functions.joins import semi
 from blotter.functions.text import any_of, upper_contains, upper_contains_any, upper_in
+from blotter.operators.rollups import first_hop
 from blotter.params import (
     OFFENDER_WORD,
     RELATION_CODE_FRAGMENTS,
@@ -50,16 +51,26 @@ from blotter.sources.catalog import Catalog
 WORDS = (SUSPECT_WORD, OFFENDER_WORD)
 
 
+def _with_incident(ip: DataFrame, inc: DataFrame) -> DataFrame:
+    return ip.join(inc, ip["inc_incident_id"] == inc["incident_id"]).drop("inc_incident_id")
+
+
 def _people(cat: Catalog, keys: DataFrame | None) -> DataFrame:
-    """Person rows with their incident's report number and agency."""
+    """Person rows with their incident's report number and agency.
+
+    For a cohort, the cohort's person rows are materialized once (exact size),
+    so the role and arrest joins that hang off them are planned from their
+    true, usually small, size: roles are then filtered map-side by a broadcast
+    semi join instead of shuffling the whole role table.
+    """
     ip = cat.table("incident_people")
     if keys is None:
         inc = cat.table("incidents").select(
             "incident_id", "inc_report_number",
             F.col("agncy_cd_agency_code").alias("agency_code"))
-    else:
-        inc = keys.select("incident_id", "inc_report_number", "agency_code")
-    return ip.join(inc, ip["inc_incident_id"] == inc["incident_id"]).drop("inc_incident_id")
+        return _with_incident(ip, inc)
+    return first_hop(keys, "people", ip, lambda df, k: _with_incident(
+        df, k.select("incident_id", "inc_report_number", "agency_code")))
 
 
 def _role_counts(cat: Catalog, people: DataFrame | None) -> DataFrame:

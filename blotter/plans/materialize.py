@@ -2,18 +2,24 @@
 
 A report joins half a dozen rollups to its cohort and restricts each rollup to
 the cohort's incidents, so the cohort appears in the plan many times.  It is
-written once with ``checkpoint()`` into the cluster's ``spark.checkpoint.dir``:
-reliable storage, so a lost executor costs a re-read, not a recomputation of
-the scans and joins behind it, and the lineage of every later stage starts
-there.  The checkpointed relation also carries exact size statistics, so the
-planner broadcasts it into the rollup semi joins when (and only when) it is
-small enough.
+written once, as a parquet table in the cluster's shared folder named by
+``spark.checkpoint.dir``, and read back:
+
+* the lineage of every later stage starts at that table, so a lost executor
+  costs a re-read, not a recomputation of the scans and joins behind it;
+* the planner sizes the re-read table from its real file size.  (A
+  ``Dataset.checkpoint()`` would keep the *estimate* of the plan that produced
+  it, which is the size of the whole scanned table, so a small cohort would
+  never be broadcast.)  With the true size, a small cohort, or a small set of
+  ids derived from it, is broadcast into the rollups' semi joins, and a large
+  one is shuffled.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +39,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint directory now; return the re-read DataFrame."""
+    """Write ``df`` as parquet under the shared folder now; return the re-read table."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(_checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = "/".join([scratch_dir(spark).rstrip("/"), "materialized", uuid.uuid4().hex])
+    df.write.parquet(path)
+    return spark.read.parquet(path)
