@@ -67,3 +67,13 @@ def test_inclusive_without_extra_codes_equals_described(spark):
     a = co.cohort_inclusive(cat, plain).select(*cols).distinct()
     b = co.cohort_described(cat, plain)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_two_hop_tables_filtered_map_side(spark):
+    """incident_cases and person roles are semi-joined to the cohort's first hop
+    by a broadcast (the first hop is materialized, so its real size is known)."""
+    cat = catalog_for(spark, SF_MID)
+    text = plan_text(pr.proof_avg_suspects(cat, P), "simple") + plan_text(
+        pr.proof_open_reports(cat, P), "simple")
+    semis = [l for l in text.splitlines() if "LeftSemi" in l]
+    assert semis and all("BroadcastHashJoin" in l for l in semis), semis
