@@ -8,6 +8,7 @@ per session and directory so the lookup-size checks run once.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +23,15 @@ from blotter.sources.catalog import Catalog
 from blotter.sources.fixtures import fixture_catalog
 
 _CATALOGS: dict[tuple[int, str], Catalog] = {}
+_LOCK = threading.Lock()
 
 
 def catalog_for(spark: SparkSession, sf_dir: str) -> Catalog:
     key = (id(spark), sf_dir)
-    if key not in _CATALOGS:
-        _CATALOGS[key] = fixture_catalog(spark, sf_dir)
-    return _CATALOGS[key]
+    with _LOCK:  # one writer of the derived relations per session and directory
+        if key not in _CATALOGS:
+            _CATALOGS[key] = fixture_catalog(spark, sf_dir)
+        return _CATALOGS[key]
 
 
 def _cohort_query(fn: Callable[[Catalog, Params], DataFrame]):
