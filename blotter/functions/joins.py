@@ -3,8 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest cohort-derived relation (cohort incidents, keys, first hops) that is
+# broadcast.  A few narrow columns per row: a million rows is tens of MB.
+COHORT_BROADCAST_MAX_ROWS = 1_000_000
 
 
 def semi(df: DataFrame, keys: DataFrame, on: list[str] | str) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``keys`` (a left semi join)."""
     return df.join(keys, on=on, how="left_semi")
+
+
+def row_bound_ok(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows (reads at most ``max_rows + 1``).
+
+    Meant for materialized (parquet) frames, where this is a cheap scan.
+    """
+    bound = COHORT_BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    return df.limit(bound + 1).count() <= bound
+
+
+def broadcast_if_bounded(df: DataFrame, proof: DataFrame | None = None,
+                         max_rows: int | None = None) -> DataFrame:
+    """``broadcast(df)`` when ``proof`` (default ``df``) is within the row bound.
+
+    ``proof`` may be any frame with at least as many rows as ``df`` (e.g. the
+    materialized rows a distinct key set was taken from).  Beyond the bound
+    the frame is returned unhinted and joins against it stay shuffle joins.
+    """
+    return F.broadcast(df) if row_bound_ok(df if proof is None else proof, max_rows) else df

@@ -4,15 +4,17 @@ Plan shape (the point of writing it this way rather than joining in text order):
 
 1. The code tables (bounded, broadcast) are joined into a small *code map* of
    offense codes that qualify, with their descriptions.
-2. Offense rows are matched to the code map map-side (broadcast hash join), so
-   only qualifying offense rows are ever shuffled, and are pre-aggregated per
-   incident into the set of their distinct code tuples.  The set is bounded by
-   the code map, so one incident with a huge number of offense rows still
-   costs one small row after the map-side combine.
-3. Incidents are read with the agency and a half-open date range pushed into
-   the parquet scan (``year(col) = y`` would only push ``IsNotNull``).
-4. Both sides meet in one join on ``incident_id``; the final DISTINCT runs
-   within that partitioning (no further exchange).
+2. Incidents are read with the agency and a half-open date range pushed into
+   the parquet scan (``year(col) = y`` would only push ``IsNotNull``) and
+   materialized, so their real size is known.
+3. Offense rows are matched to the code map map-side (broadcast hash join).
+   A cohort within the row bound is broadcast too, so offense rows meet it
+   map-side and none is shuffled; a larger one is joined on ``incident_id``
+   after the offense rows are pre-aggregated per incident into the set of
+   their distinct code tuples (bounded by the code map, so one incident with
+   a huge number of offense rows still costs one small row).
+4. The final DISTINCT is map-side combined (broadcast case) or runs within the
+   join's partitioning (shuffle case).
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blotter.functions.joins import broadcast_if_bounded, row_bound_ok
 from blotter.functions.text import any_of, upper_in
 from blotter.params import Params
+from blotter.plans.materialize import materialize
 from blotter.sources.catalog import Catalog
 
 BASE_COLUMNS = ("incident_id", "inc_report_number", "agency_code", "report_date",
@@ -78,14 +82,15 @@ def code_map(cat: Catalog, p: Params, *, described: bool, inclusive: bool) -> Da
                        joined.filter(cond).select(*cols))
 
 
-def _offense_sets(cat: Catalog, p: Params, *, described: bool, inclusive: bool) -> DataFrame:
-    """incident_id -> distinct qualifying (code, desc, nibrs[, place]) tuples."""
+def _offense_rows(cat: Catalog, p: Params, *, described: bool,
+                  inclusive: bool) -> tuple[DataFrame, list[str]]:
+    """Qualifying offense rows with their code fields, matched map-side."""
     cmap = code_map(cat, p, described=described, inclusive=inclusive)
     off_cols = ("inc_incident_id", "offns_cd_offense_code") + (
         ("place_code_type", "place_place_code") if inclusive else ())
     off = cat.table("offenses", columns=off_cols)
     rows = off.join(cmap, off["offns_cd_offense_code"] == cmap["offense_code"], "inner")
-    fields = [c for c in cmap.columns]
+    fields = list(cmap.columns)
     if inclusive:
         ep = cat.lookup("ejs_codes").select(
             F.col("code_type").alias("ep_type"), F.col("code").alias("ep_code"),
@@ -94,20 +99,60 @@ def _offense_sets(cat: Catalog, p: Params, *, described: bool, inclusive: bool)
                          & (rows["place_place_code"] == ep["ep_code"]), "left")
         rows = rows.withColumnRenamed("place_place_code", "place_code")
         fields += ["place_code", "place_desc"]
-    return rows.groupBy(F.col("inc_incident_id").alias("incident_id")).agg(
-        F.collect_set(F.struct(*fields)).alias("codes"))
+    return rows.select("inc_incident_id", *fields), fields
 
 
 def _cohort(cat: Catalog, p: Params, cols: tuple[str, ...], *, described: bool,
             inclusive: bool) -> DataFrame:
-    inc = cohort_incidents(cat, p)
-    sets = _offense_sets(cat, p, described=described, inclusive=inclusive)
-    rows = inc.join(sets, "incident_id").select(
-        "incident_id", "inc_report_number", "agency_code", "report_date",
-        F.year("report_date").alias("report_year"), F.explode("codes").alias("c"))
-    out = rows.select(*[F.col(c) if c in inc.columns or c == "report_year" else F.col(f"c.{c}")
-                        .alias(c) for c in cols])
-    return out.distinct()
+    """Cohort rows; the join strategy follows the checked size of the incidents.
+
+    The filtered incidents are materialized first, so their real size is known:
+
+    * within the bound they are broadcast and the offense rows meet them
+      map-side: no offense row is shuffled at all, only the cohort rows for
+      the final DISTINCT (map-side combined);
+    * beyond it, offense rows are pre-aggregated per incident into the set of
+      their distinct code tuples (bounded by the code map, so a hot incident
+      costs one small row) and joined on ``incident_id``; the DISTINCT then
+      runs within that partitioning.
+    """
+    inc = materialize(cohort_incidents(cat, p))
+    rows, fields = _offense_rows(cat, p, described=described, inclusive=inclusive)
+    year = F.year("report_date").alias("report_year")
+    if row_bound_ok(inc):
+        b = F.broadcast(inc)
+        joined = rows.join(b, rows["inc_incident_id"] == b["incident_id"])
+        out = joined.select("incident_id", "inc_report_number", "agency_code", "report_date",
+                            year, *fields)
+    else:
+        sets = rows.groupBy(F.col("inc_incident_id").alias("incident_id")).agg(
+            F.collect_set(F.struct(*fields)).alias("codes"))
+        exploded = inc.join(sets, "incident_id").select(
+            "incident_id", "inc_report_number", "agency_code", "report_date", year,
+            F.explode("codes").alias("c"))
+        out = exploded.select("incident_id", "inc_report_number", "agency_code",
+                              "report_date", "report_year",
+                              *[F.col(f"c.{f}").alias(f) for f in fields])
+    return out.select(*cols).distinct()
+
+
+def cohort_incident_keys(cat: Catalog, p: Params) -> DataFrame:
+    """Distinct cohort incidents (id, report number, agency, report date).
+
+    The KPI needs no code columns, so this is the incidents that have a
+    qualifying offense row, by the same size-checked strategy as ``_cohort``.
+    """
+    inc = materialize(cohort_incidents(cat, p))
+    cmap = code_map(cat, p, described=False, inclusive=False)
+    off = cat.table("offenses", columns=("inc_incident_id", "offns_cd_offense_code"))
+    off = off.join(cmap.select("offense_code"),
+                   off["offns_cd_offense_code"] == cmap["offense_code"], "left_semi")
+    if row_bound_ok(inc):
+        b = F.broadcast(inc)
+        joined = off.join(b, off["inc_incident_id"] == b["incident_id"])
+        return joined.select(*inc.columns).distinct()
+    ids = off.select(F.col("inc_incident_id").alias("incident_id")).distinct()
+    return inc.join(ids, "incident_id", "left_semi").distinct()
 
 
 def cohort_base(cat: Catalog, p: Params) -> DataFrame:
@@ -126,5 +171,10 @@ def cohort_inclusive(cat: Catalog, p: Params) -> DataFrame:
 
 
 def cohort_keys(cohort: DataFrame) -> DataFrame:
-    """Distinct incident keys of a cohort, for restricting rollups."""
-    return cohort.select("incident_id", "inc_report_number", "agency_code").distinct()
+    """Distinct incident keys of a (materialized) cohort, for restricting rollups.
+
+    Broadcast-hinted when the cohort rows are within the row bound, so every
+    semi join restricting a rollup to the cohort filters map-side.
+    """
+    keys = cohort.select("incident_id", "inc_report_number", "agency_code").distinct()
+    return broadcast_if_bounded(keys, proof=cohort)

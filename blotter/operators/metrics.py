@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blotter.functions.joins import broadcast_if_bounded
 from blotter.functions.text import flag
 from blotter.operators import cohort as co
 from blotter.operators import rollups as ro
@@ -33,16 +34,6 @@ METRIC_COLUMNS = ("has_arrest", "is_open", "closed_by_other_means", "total_loss_
                   "has_vehicle_info")
 
 
-def cohort_incident_keys(cat: Catalog, p: Params) -> DataFrame:
-    """Distinct cohort incidents (id, report number, agency, report date)."""
-    cmap = co.code_map(cat, p, described=False, inclusive=False)
-    off = cat.table("offenses", columns=("inc_incident_id", "offns_cd_offense_code"))
-    ids = (off.join(cmap.select("offense_code"),
-                    off["offns_cd_offense_code"] == cmap["offense_code"], "left_semi")
-           .select(F.col("inc_incident_id").alias("incident_id")).distinct())
-    return co.cohort_incidents(cat, p).join(ids, "incident_id", "left_semi").distinct()
-
-
 def _with_metrics(rows: DataFrame, cat: Catalog, keys: DataFrame) -> DataFrame:
     """Attach the five rollups to cohort rows; every join is on incident_id."""
     m = (rows.join(ro.incident_status(cat, keys), "incident_id", "left")
@@ -76,8 +67,8 @@ def incident_metrics(cat: Catalog, p: Params) -> DataFrame:
 
 def report_metrics(cat: Catalog, p: Params) -> DataFrame:
     """One row per (agency, report number): MIN year and MAX of each metric."""
-    inc = materialize(cohort_incident_keys(cat, p))
-    m = _with_metrics(inc, cat, inc)
+    inc = materialize(co.cohort_incident_keys(cat, p))
+    m = _with_metrics(inc, cat, broadcast_if_bounded(inc))
     return m.groupBy("agency_code", "inc_report_number").agg(
         F.min(F.year("report_date")).alias("report_year"),
         *[F.max(c).alias(c) for c in METRIC_COLUMNS])

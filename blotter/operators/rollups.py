@@ -17,7 +17,7 @@ import weakref
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.functions.joins import semi
+from blotter.functions.joins import broadcast_if_bounded, semi
 from blotter.functions.text import (
     collapse_spaces,
     flag,
@@ -73,7 +73,7 @@ def first_hop(keys: DataFrame, name: str, df: DataFrame,
     memo = _FIRST_HOP.setdefault(keys, {})
     if name not in memo:
         rows = restrict(df, keys) if restrict else _restrict(df, keys, "incident_id")
-        memo[name] = materialize(rows)
+        memo[name] = broadcast_if_bounded(materialize(rows))
     return memo[name]
 
 

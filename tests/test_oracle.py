@@ -48,3 +48,16 @@ def test_entry_smoke(spark):
                           "summed_recovered_value", "avg_suspects_per_report",
                           "reports_with_vehicle_info", "total_vehicles_linked"]
     assert rows[0]["report_year"] == 1998 and rows[0]["total_reports"] == 80
+
+
+LARGE_PATH = ["cohort_described", "cohort_inclusive", "metrics_summary", "proof_avg_suspects",
+              "proof_open_reports", "proof_total_reports_inclusive"]
+
+
+@pytest.mark.parametrize("name", LARGE_PATH)
+def test_large_cohort_strategy_matches_oracle(spark, duck_mid, monkeypatch, name):
+    """Bound 0 forces the shuffle strategies (no cohort broadcast anywhere)."""
+    import blotter.functions.joins as joins
+    monkeypatch.setattr(joins, "COHORT_BROADCAST_MAX_ROWS", 0)
+    ok, msg = compare(entry.queries()[name](spark, SF_MID), duck_mid, entry.oracle_sql()[name])
+    assert ok, msg

@@ -154,3 +154,12 @@ def test_suspects_exclude_arrested_person(spark):
     assert r["excluded_arrest_rows"] == 5  # S17: 2 roles x 2 arrests + 1
     s = me.metrics_summary(cat, P).collect()[0]
     assert s["avg_suspects_per_report"] == 3.0
+
+
+def test_optional_report_number_filter(spark):
+    cat = make_catalog(spark, incidents=[incident(1, "R1", ts(1998, 2, 1)),
+                                         incident(2, "r2", ts(1998, 2, 1))],
+                       offenses=[(1, "OC1", "PLACE", None), (2, "OC1", "PLACE", None)])
+    one = Params(report_year=1998, report_number="R2")
+    assert rows(co.cohort_base(cat, one), "incident_id") == [(2,)]
+    assert me.metrics_summary(cat, one).collect()[0]["total_reports"] == 1
