@@ -15,6 +15,11 @@ def semi(df: DataFrame, keys: DataFrame, on: list[str] | str) -> DataFrame:
     return df.join(keys, on=on, how="left_semi")
 
 
+def within_bound(rows: int, max_rows: int | None = None) -> bool:
+    """Whether a known row count is within the cohort broadcast bound."""
+    return rows <= (COHORT_BROADCAST_MAX_ROWS if max_rows is None else max_rows)
+
+
 def row_bound_ok(df: DataFrame, max_rows: int | None = None) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows (reads at most ``max_rows + 1``).
 
@@ -24,12 +29,17 @@ def row_bound_ok(df: DataFrame, max_rows: int | None = None) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
-def broadcast_if_bounded(df: DataFrame, proof: DataFrame | None = None,
+def broadcast_if_bounded(df: DataFrame, proof: DataFrame | int | None = None,
                          max_rows: int | None = None) -> DataFrame:
     """``broadcast(df)`` when ``proof`` (default ``df``) is within the row bound.
 
     ``proof`` may be any frame with at least as many rows as ``df`` (e.g. the
-    materialized rows a distinct key set was taken from).  Beyond the bound
-    the frame is returned unhinted and joins against it stay shuffle joins.
+    materialized rows a distinct key set was taken from), or such a frame's
+    known row count.  Beyond the bound the frame is returned unhinted and
+    joins against it stay shuffle joins.
     """
-    return F.broadcast(df) if row_bound_ok(df if proof is None else proof, max_rows) else df
+    if isinstance(proof, int):
+        ok = within_bound(proof, max_rows)
+    else:
+        ok = row_bound_ok(df if proof is None else proof, max_rows)
+    return F.broadcast(df) if ok else df

@@ -20,14 +20,15 @@ Plan shape (the point of writing it this way rather than joining in text order):
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blotter.functions.joins import broadcast_if_bounded, row_bound_ok
+from blotter.functions.joins import broadcast_if_bounded, within_bound
 from blotter.functions.text import any_of, upper_in
 from blotter.params import Params
-from blotter.plans.materialize import materialize
+from blotter.plans.materialize import materialize_counted
 from blotter.sources.catalog import Catalog
 
 BASE_COLUMNS = ("incident_id", "inc_report_number", "agency_code", "report_date",
@@ -116,10 +117,10 @@ def _cohort(cat: Catalog, p: Params, cols: tuple[str, ...], *, described: bool,
       costs one small row) and joined on ``incident_id``; the DISTINCT then
       runs within that partitioning.
     """
-    inc = materialize(cohort_incidents(cat, p))
+    inc, n_inc = materialize_counted(cohort_incidents(cat, p))
     rows, fields = _offense_rows(cat, p, described=described, inclusive=inclusive)
     year = F.year("report_date").alias("report_year")
-    if row_bound_ok(inc):
+    if within_bound(n_inc):
         b = F.broadcast(inc)
         joined = rows.join(b, rows["inc_incident_id"] == b["incident_id"])
         out = joined.select("incident_id", "inc_report_number", "agency_code", "report_date",
@@ -142,12 +143,12 @@ def cohort_incident_keys(cat: Catalog, p: Params) -> DataFrame:
     The KPI needs no code columns, so this is the incidents that have a
     qualifying offense row, by the same size-checked strategy as ``_cohort``.
     """
-    inc = materialize(cohort_incidents(cat, p))
+    inc, n_inc = materialize_counted(cohort_incidents(cat, p))
     cmap = code_map(cat, p, described=False, inclusive=False)
     off = cat.table("offenses", columns=("inc_incident_id", "offns_cd_offense_code"))
     off = off.join(cmap.select("offense_code"),
                    off["offns_cd_offense_code"] == cmap["offense_code"], "left_semi")
-    if row_bound_ok(inc):
+    if within_bound(n_inc):
         b = F.broadcast(inc)
         joined = off.join(b, off["inc_incident_id"] == b["incident_id"])
         return joined.select(*inc.columns).distinct()
@@ -170,11 +171,34 @@ def cohort_inclusive(cat: Catalog, p: Params) -> DataFrame:
     return _cohort(cat, p, INCLUSIVE_COLUMNS, described=True, inclusive=True)
 
 
-def cohort_keys(cohort: DataFrame) -> DataFrame:
+def cohort_keys(cohort: DataFrame, rows: int | None = None) -> DataFrame:
     """Distinct incident keys of a (materialized) cohort, for restricting rollups.
 
     Broadcast-hinted when the cohort rows are within the row bound, so every
     semi join restricting a rollup to the cohort filters map-side.
     """
     keys = cohort.select("incident_id", "inc_report_number", "agency_code").distinct()
-    return broadcast_if_bounded(keys, proof=cohort)
+    return broadcast_if_bounded(keys, proof=cohort if rows is None else rows)
+
+
+@dataclass(frozen=True, eq=False)
+class Cohort:
+    """A materialized cohort and its (bound-checked, maybe broadcast) keys.
+
+    Sharing one instance between reports shares the cohort, and the first-hop
+    tables materialized for its keys, instead of recomputing them per report.
+    """
+
+    rows: DataFrame
+    keys: DataFrame
+
+    @classmethod
+    def of(cls, materialized: tuple[DataFrame, int]) -> "Cohort":
+        """From ``materialize_counted`` output: the rows and their count."""
+        rows, n = materialized
+        return cls(rows, cohort_keys(rows, n))
+
+    def incidents(self) -> DataFrame:
+        """Distinct incidents (id, report number, agency, report date)."""
+        return self.rows.select("incident_id", "inc_report_number", "agency_code",
+                                "report_date").distinct()

@@ -25,7 +25,7 @@ from blotter.operators import cohort as co
 from blotter.operators import rollups as ro
 from blotter.operators.suspects import suspect_counts
 from blotter.params import Params
-from blotter.plans.materialize import materialize
+from blotter.plans.materialize import materialize_counted
 from blotter.sources.catalog import Catalog
 
 MONEY_OUT = ro.MONEY_OUT
@@ -59,24 +59,32 @@ def _with_metrics(rows: DataFrame, cat: Catalog, keys: DataFrame) -> DataFrame:
 
 def incident_metrics(cat: Catalog, p: Params) -> DataFrame:
     """Cohort rows (incident x offense) with the eight per-incident metrics."""
-    ri = materialize(co.cohort_base(cat, p)).select(
-        "incident_id", "inc_report_number", "report_date", "agency_code", "offense_code",
-        "offense_desc")
-    return _with_metrics(ri, cat, co.cohort_keys(ri))
+    ri, n = materialize_counted(co.cohort_base(cat, p))
+    ri = ri.select("incident_id", "inc_report_number", "report_date", "agency_code",
+                   "offense_code", "offense_desc")
+    return _with_metrics(ri, cat, co.cohort_keys(ri, n))
 
 
-def report_metrics(cat: Catalog, p: Params) -> DataFrame:
-    """One row per (agency, report number): MIN year and MAX of each metric."""
-    inc = materialize(co.cohort_incident_keys(cat, p))
-    m = _with_metrics(inc, cat, broadcast_if_bounded(inc))
+def report_metrics(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
+    """One row per (agency, report number): MIN year and MAX of each metric.
+
+    Standalone it starts from the cohort's distinct incidents; given a shared
+    ``Cohort`` (e.g. the proofs') it reuses that one and its first hops.
+    """
+    if cohort is None:
+        inc, n = materialize_counted(co.cohort_incident_keys(cat, p))
+        keys = broadcast_if_bounded(inc, proof=n)
+    else:
+        inc, keys = cohort.incidents(), cohort.keys
+    m = _with_metrics(inc, cat, keys)
     return m.groupBy("agency_code", "inc_report_number").agg(
         F.min(F.year("report_date")).alias("report_year"),
         *[F.max(c).alias(c) for c in METRIC_COLUMNS])
 
 
-def metrics_summary(cat: Catalog, p: Params) -> DataFrame:
+def metrics_summary(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
     """The yearly KPI row (one row even for an empty cohort)."""
-    r = report_metrics(cat, p)
+    r = report_metrics(cat, p, cohort)
     return r.agg(
         F.lit(int(p.report_year)).alias("report_year"),
         F.count(F.lit(1)).alias("total_reports"),

@@ -15,7 +15,7 @@ from blotter.operators import cohort as co
 from blotter.operators import rollups as ro
 from blotter.operators.suspects import suspect_evidence
 from blotter.params import CODE_SEP, DESC_SEP, Params
-from blotter.plans.materialize import materialize
+from blotter.plans.materialize import materialize_counted
 from blotter.sources.catalog import Catalog
 
 HEAD = ("report_year", "agency_code", "report_number", "incident_id", "case_numbers",
@@ -29,10 +29,15 @@ def _asc(*cols: str) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in cols]
 
 
-def _cohort_with_cases(cat: Catalog, p: Params) -> tuple[DataFrame, DataFrame]:
-    ri = materialize(co.cohort_described(cat, p))
-    keys = co.cohort_keys(ri)
-    return ri.join(ro.case_numbers(cat, keys), "incident_id", "left"), keys
+def described_cohort(cat: Catalog, p: Params) -> co.Cohort:
+    """The proofs' cohort, materialized once; pass it to several proofs to share it."""
+    return co.Cohort.of(materialize_counted(co.cohort_described(cat, p)))
+
+
+def _cohort_with_cases(cat: Catalog, p: Params,
+                       cohort: co.Cohort | None) -> tuple[DataFrame, DataFrame]:
+    c = cohort or described_cohort(cat, p)
+    return c.rows.join(ro.case_numbers(cat, c.keys), "incident_id", "left"), c.keys
 
 
 def _per_report(rows: DataFrame, tail: list[Column], tail_names: tuple[str, ...]) -> DataFrame:
@@ -51,9 +56,9 @@ def _per_report(rows: DataFrame, tail: list[Column], tail_names: tuple[str, ...]
     return g.select(*HEAD, *tail_names).orderBy(*_asc("report_date", "report_number"))
 
 
-def proof_total_reports(cat: Catalog, p: Params) -> DataFrame:
+def proof_total_reports(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
     """Detail rows behind total_reports: one per incident x offense."""
-    rows, _ = _cohort_with_cases(cat, p)
+    rows, _ = _cohort_with_cases(cat, p, cohort)
     return rows.select(
         "report_year", "agency_code", "incident_id",
         F.col("inc_report_number").alias("report_number"), "case_numbers", "report_date",
@@ -63,8 +68,8 @@ def proof_total_reports(cat: Catalog, p: Params) -> DataFrame:
 
 def proof_total_reports_inclusive(cat: Catalog, p: Params) -> DataFrame:
     """Wide detail rows: listed offense codes too, with address and place."""
-    ri = materialize(co.cohort_inclusive(cat, p))
-    keys = co.cohort_keys(ri)
+    ri, n = materialize_counted(co.cohort_inclusive(cat, p))
+    keys = co.cohort_keys(ri, n)
     rows = (ri.join(ro.case_numbers(cat, keys), "incident_id", "left")
             .join(ro.occurrence_addresses(cat, keys), "incident_id", "left"))
     return rows.select(
@@ -75,26 +80,26 @@ def proof_total_reports_inclusive(cat: Catalog, p: Params) -> DataFrame:
     ).orderBy(*_asc("report_date", "report_number", "incident_id", "offense_code"))
 
 
-def proof_reports_with_arrest(cat: Catalog, p: Params) -> DataFrame:
+def proof_reports_with_arrest(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
     """Reports with at least one arrest on the same report number and agency."""
-    rows, keys = _cohort_with_cases(cat, p)
+    rows, keys = _cohort_with_cases(cat, p, cohort)
     rows = rows.join(ro.per_incident(keys, ro.arrest_rollup(cat, keys)), "incident_id")
     names = ("arrest_count", "arrest_numbers", "first_arrest_date", "last_arrest_date")
     return _per_report(rows, [F.max(c).alias(c) for c in names], names)
 
 
-def proof_open_reports(cat: Catalog, p: Params) -> DataFrame:
+def proof_open_reports(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
     """Reports with an incident whose case status reads open."""
-    rows, keys = _cohort_with_cases(cat, p)
+    rows, keys = _cohort_with_cases(cat, p, cohort)
     ios = ro.incident_open_status(cat, keys).filter(F.col("is_open") == 1)
     rows = rows.join(ios.select("incident_id", "case_statuses"), "incident_id")
     return _per_report(rows, [F.max("case_statuses").alias("case_statuses")],
                        ("case_statuses",))
 
 
-def proof_closed_by_other_means(cat: Catalog, p: Params) -> DataFrame:
+def proof_closed_by_other_means(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
     """Reports with an incident neither open nor arrested."""
-    rows, keys = _cohort_with_cases(cat, p)
+    rows, keys = _cohort_with_cases(cat, p, cohort)
     rows = rows.join(ro.incident_open_status(cat, keys), "incident_id", "left")
     rows = rows.join(ro.per_incident(keys, ro.arrest_counts(cat, keys)), "incident_id", "left")
     rows = rows.filter((F.coalesce(F.col("is_open"), F.lit(0)) == 0)
@@ -105,9 +110,9 @@ def proof_closed_by_other_means(cat: Catalog, p: Params) -> DataFrame:
     ], ("case_statuses", "arrest_count"))
 
 
-def proof_summed_loss_value(cat: Catalog, p: Params) -> DataFrame:
+def proof_summed_loss_value(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
     """Every cohort report with its loss, recovered value and property rows."""
-    rows, keys = _cohort_with_cases(cat, p)
+    rows, keys = _cohort_with_cases(cat, p, cohort)
     rows = rows.join(ro.property_loss_rows(cat, keys), "incident_id", "left")
     zero = F.lit(0).cast(ro.MONEY_OUT)
     return _per_report(rows, [
@@ -117,18 +122,18 @@ def proof_summed_loss_value(cat: Catalog, p: Params) -> DataFrame:
     ], ("total_loss_value", "total_recovered_value", "property_rows"))
 
 
-def proof_avg_suspects(cat: Catalog, p: Params) -> DataFrame:
+def proof_avg_suspects(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
     """Every cohort report with suspect count and the matched-row evidence."""
-    rows, keys = _cohort_with_cases(cat, p)
+    rows, keys = _cohort_with_cases(cat, p, cohort)
     rows = rows.join(suspect_evidence(cat, keys), "incident_id", "left")
     zero = F.lit(0).cast("long")
     return _per_report(rows, [F.max(F.coalesce(c, zero)).alias(c) for c in EVIDENCE],
                        EVIDENCE)
 
 
-def proof_reports_with_vehicle_info(cat: Catalog, p: Params) -> DataFrame:
+def proof_reports_with_vehicle_info(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
     """Reports with an incident that has at least one non-NULL vehicle id."""
-    rows, keys = _cohort_with_cases(cat, p)
+    rows, keys = _cohort_with_cases(cat, p, cohort)
     vr = ro.vehicle_rollup(cat, keys).filter(F.col("vehicle_count") > 0)
     rows = rows.join(vr, "incident_id")
     return _per_report(rows, [F.max("vehicle_count").alias("vehicle_count"),
@@ -140,9 +145,9 @@ LINK_COLUMNS = ("report_year", "agency_code", "report_number", "case_numbers", "
                 "incident_id", "vehicle_id", "role_code", "status_code", "date_recovered")
 
 
-def vehicle_links(cat: Catalog, p: Params) -> DataFrame:
+def vehicle_links(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
     """Distinct cohort x case numbers x vehicle link rows (NULL vehicles kept)."""
-    rows, keys = _cohort_with_cases(cat, p)
+    rows, keys = _cohort_with_cases(cat, p, cohort)
     iv = ro.vehicle_rows(cat, keys)
     return rows.join(iv, "incident_id").select(
         F.col("report_year"), F.col("agency_code"),
@@ -151,6 +156,6 @@ def vehicle_links(cat: Catalog, p: Params) -> DataFrame:
     ).distinct().select(*LINK_COLUMNS)
 
 
-def proof_total_vehicles_linked(cat: Catalog, p: Params) -> DataFrame:
+def proof_total_vehicles_linked(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
     """Vehicle link rows sorted by report date, report number, vehicle."""
-    return vehicle_links(cat, p).orderBy(*_asc("report_date", "report_number", "vehicle_id"))
+    return vehicle_links(cat, p, cohort).orderBy(*_asc("report_date", "report_number", "vehicle_id"))

@@ -27,7 +27,7 @@ from blotter.functions.text import (
     upper_contains,
 )
 from blotter.params import CODE_SEP, DESC_SEP, LOSS_CODE, OPEN_WORD, RECOVERED_STATUS
-from blotter.plans.materialize import materialize
+from blotter.plans.materialize import materialize_counted
 from blotter.sources.catalog import Catalog
 
 MONEY_OUT = "decimal(38,2)"
@@ -73,7 +73,8 @@ def first_hop(keys: DataFrame, name: str, df: DataFrame,
     memo = _FIRST_HOP.setdefault(keys, {})
     if name not in memo:
         rows = restrict(df, keys) if restrict else _restrict(df, keys, "incident_id")
-        memo[name] = broadcast_if_bounded(materialize(rows))
+        table, n = materialize_counted(rows)
+        memo[name] = broadcast_if_bounded(table, proof=n)
     return memo[name]
 
 

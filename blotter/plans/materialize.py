@@ -21,7 +21,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
@@ -38,9 +39,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return _checkpoint_dir(spark)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as parquet under the shared folder now; return the re-read table."""
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write ``df`` as parquet under the shared folder now.
+
+    Returns the re-read table and its row count.  The count is observed by the
+    write job itself (``DataFrame.observe``), so size-based join choices cost
+    no extra job.
+    """
     spark = df.sparkSession
     path = "/".join([scratch_dir(spark).rstrip("/"), "materialized", uuid.uuid4().hex])
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    # The schema is known: reading with it skips the footer-reading inference job.
+    return spark.read.schema(df.schema).parquet(path), int(seen.get["rows"])
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``materialize_counted`` without the count."""
+    return materialize_counted(df)[0]

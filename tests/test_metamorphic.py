@@ -59,3 +59,14 @@ def test_duplicated_bridge_and_outside_rows_leave_kpi_unchanged(spark):
     outside = dict(raw, incidents=raw["incidents"].unionByName(extra_inc),
                    offenses=raw["offenses"].unionByName(extra_off))
     assert _kpi(Catalog(outside)) == base
+
+
+def test_report_set_equals_single_reports(spark):
+    from blotter.operators import proofs as pr
+    from blotter.operators.reports import report_set
+    cat = catalog_for(spark, SF_SMALL)
+    shared = report_set(cat, P)
+    assert len(shared) == 10
+    for name, df in shared.items():
+        alone = (me.metrics_summary if name == "metrics_summary" else getattr(pr, name))(cat, P)
+        assert _same(df, alone), name
