@@ -56,7 +56,8 @@ def _per_report(rows: DataFrame, tail: list[Column], tail_names: tuple[str, ...]
     return g.select(*HEAD, *tail_names).orderBy(*_asc("report_date", "report_number"))
 
 
-def proof_total_reports(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
+def proof_total_reports(cat: Catalog, p: Params,
+                        cohort: co.Cohort | None = None) -> DataFrame:
     """Detail rows behind total_reports: one per incident x offense."""
     rows, _ = _cohort_with_cases(cat, p, cohort)
     return rows.select(
@@ -80,7 +81,8 @@ def proof_total_reports_inclusive(cat: Catalog, p: Params) -> DataFrame:
     ).orderBy(*_asc("report_date", "report_number", "incident_id", "offense_code"))
 
 
-def proof_reports_with_arrest(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
+def proof_reports_with_arrest(cat: Catalog, p: Params,
+                              cohort: co.Cohort | None = None) -> DataFrame:
     """Reports with at least one arrest on the same report number and agency."""
     rows, keys = _cohort_with_cases(cat, p, cohort)
     rows = rows.join(ro.per_incident(keys, ro.arrest_rollup(cat, keys)), "incident_id")
@@ -88,7 +90,8 @@ def proof_reports_with_arrest(cat: Catalog, p: Params, cohort: co.Cohort | None
     return _per_report(rows, [F.max(c).alias(c) for c in names], names)
 
 
-def proof_open_reports(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
+def proof_open_reports(cat: Catalog, p: Params,
+                       cohort: co.Cohort | None = None) -> DataFrame:
     """Reports with an incident whose case status reads open."""
     rows, keys = _cohort_with_cases(cat, p, cohort)
     ios = ro.incident_open_status(cat, keys).filter(F.col("is_open") == 1)
@@ -97,7 +100,8 @@ def proof_open_reports(cat: Catalog, p: Params, cohort: co.Cohort | None = None)
                        ("case_statuses",))
 
 
-def proof_closed_by_other_means(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
+def proof_closed_by_other_means(cat: Catalog, p: Params,
+                                cohort: co.Cohort | None = None) -> DataFrame:
     """Reports with an incident neither open nor arrested."""
     rows, keys = _cohort_with_cases(cat, p, cohort)
     rows = rows.join(ro.incident_open_status(cat, keys), "incident_id", "left")
@@ -110,7 +114,8 @@ def proof_closed_by_other_means(cat: Catalog, p: Params, cohort: co.Cohort | Non
     ], ("case_statuses", "arrest_count"))
 
 
-def proof_summed_loss_value(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
+def proof_summed_loss_value(cat: Catalog, p: Params,
+                            cohort: co.Cohort | None = None) -> DataFrame:
     """Every cohort report with its loss, recovered value and property rows."""
     rows, keys = _cohort_with_cases(cat, p, cohort)
     rows = rows.join(ro.property_loss_rows(cat, keys), "incident_id", "left")
@@ -122,7 +127,8 @@ def proof_summed_loss_value(cat: Catalog, p: Params, cohort: co.Cohort | None =
     ], ("total_loss_value", "total_recovered_value", "property_rows"))
 
 
-def proof_avg_suspects(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
+def proof_avg_suspects(cat: Catalog, p: Params,
+                       cohort: co.Cohort | None = None) -> DataFrame:
     """Every cohort report with suspect count and the matched-row evidence."""
     rows, keys = _cohort_with_cases(cat, p, cohort)
     rows = rows.join(suspect_evidence(cat, keys), "incident_id", "left")
@@ -131,7 +137,8 @@ def proof_avg_suspects(cat: Catalog, p: Params, cohort: co.Cohort | None = None)
                        EVIDENCE)
 
 
-def proof_reports_with_vehicle_info(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
+def proof_reports_with_vehicle_info(cat: Catalog, p: Params,
+                                    cohort: co.Cohort | None = None) -> DataFrame:
     """Reports with an incident that has at least one non-NULL vehicle id."""
     rows, keys = _cohort_with_cases(cat, p, cohort)
     vr = ro.vehicle_rollup(cat, keys).filter(F.col("vehicle_count") > 0)
@@ -145,7 +152,8 @@ LINK_COLUMNS = ("report_year", "agency_code", "report_number", "case_numbers", "
                 "incident_id", "vehicle_id", "role_code", "status_code", "date_recovered")
 
 
-def vehicle_links(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
+def vehicle_links(cat: Catalog, p: Params,
+                  cohort: co.Cohort | None = None) -> DataFrame:
     """Distinct cohort x case numbers x vehicle link rows (NULL vehicles kept)."""
     rows, keys = _cohort_with_cases(cat, p, cohort)
     iv = ro.vehicle_rows(cat, keys)
@@ -156,6 +164,8 @@ def vehicle_links(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> D
     ).distinct().select(*LINK_COLUMNS)
 
 
-def proof_total_vehicles_linked(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
+def proof_total_vehicles_linked(cat: Catalog, p: Params,
+                                cohort: co.Cohort | None = None) -> DataFrame:
     """Vehicle link rows sorted by report date, report number, vehicle."""
-    return vehicle_links(cat, p, cohort).orderBy(*_asc("report_date", "report_number", "vehicle_id"))
+    links = vehicle_links(cat, p, cohort)
+    return links.orderBy(*_asc("report_date", "report_number", "vehicle_id"))

@@ -1,9 +1,10 @@
 """Named queries: every data product as ``(spark, sf_dir) -> DataFrame``.
 
 The test tables under ``sf_dir`` are TPC-H style; the 16 input relations are
-derived from them lazily (``blotter.sources.fixtures``), so every query reads
-its whole input and its work grows with the scale factor.  Catalogs are cached
-per session and directory so the lookup-size checks run once.
+derived from them by Spark and written once as parquet
+(``blotter.sources.fixtures``), so every query reads its whole input and its
+work grows with the scale factor.  Catalogs are cached per session and
+directory so the derivation and the lookup-size checks run once.
 """
 
 from __future__ import annotations
