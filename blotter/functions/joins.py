@@ -1,13 +1,43 @@
-"""Join helpers."""
+"""Join helpers, and the size check behind every broadcast of cohort data."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    BooleanType,
+    ByteType,
+    DateType,
+    DecimalType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    LongType,
+    ShortType,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 # Largest cohort-derived relation (cohort incidents, keys, first hops) that is
-# broadcast.  A few narrow columns per row: a million rows is tens of MB.
-COHORT_BROADCAST_MAX_ROWS = 1_000_000
+# broadcast, in bytes of row data.  The row limit follows from each relation's
+# schema (``max_rows``): about 1.2M rows of cohort incidents, 0.5M person rows.
+COHORT_BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+_FIXED = {ByteType: 1, BooleanType: 1, ShortType: 2, IntegerType: 4, DateType: 4,
+          FloatType: 4, LongType: 8, DoubleType: 8, TimestampType: 8, TimestampNTZType: 8,
+          DecimalType: 16}
+_VARIABLE = 24  # strings and anything else: a conservative average
+
+
+def row_width(schema: StructType) -> int:
+    """Approximate bytes per row of ``schema`` (8 bytes of overhead per field)."""
+    return sum(8 + _FIXED.get(type(f.dataType), _VARIABLE) for f in schema.fields)
+
+
+def max_rows(schema: StructType) -> int:
+    """Rows of ``schema`` that fit the broadcast byte budget."""
+    return COHORT_BROADCAST_MAX_BYTES // max(1, row_width(schema))
 
 
 def semi(df: DataFrame, keys: DataFrame, on: list[str] | str) -> DataFrame:
@@ -15,31 +45,27 @@ def semi(df: DataFrame, keys: DataFrame, on: list[str] | str) -> DataFrame:
     return df.join(keys, on=on, how="left_semi")
 
 
-def within_bound(rows: int, max_rows: int | None = None) -> bool:
-    """Whether a known row count is within the cohort broadcast bound."""
-    return rows <= (COHORT_BROADCAST_MAX_ROWS if max_rows is None else max_rows)
+def within_bound(rows: int, schema: StructType) -> bool:
+    """Whether ``rows`` rows of ``schema`` fit the broadcast byte budget."""
+    return rows <= max_rows(schema)
 
 
-def row_bound_ok(df: DataFrame, max_rows: int | None = None) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows (reads at most ``max_rows + 1``).
+def row_bound_ok(df: DataFrame) -> bool:
+    """Whether ``df`` fits the budget (reads at most the row limit + 1 rows).
 
-    Meant for materialized (parquet) frames, where this is a cheap scan.
+    Meant for materialized (parquet) frames, where this is a cheap scan; when
+    the row count is already known, use ``within_bound``.
     """
-    bound = COHORT_BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    bound = max_rows(df.schema)
     return df.limit(bound + 1).count() <= bound
 
 
-def broadcast_if_bounded(df: DataFrame, proof: DataFrame | int | None = None,
-                         max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` when ``proof`` (default ``df``) is within the row bound.
+def broadcast_if_bounded(df: DataFrame, proof: int | None = None) -> DataFrame:
+    """``broadcast(df)`` when ``df`` fits the budget, else ``df`` unhinted.
 
-    ``proof`` may be any frame with at least as many rows as ``df`` (e.g. the
-    materialized rows a distinct key set was taken from), or such a frame's
-    known row count.  Beyond the bound the frame is returned unhinted and
-    joins against it stay shuffle joins.
+    ``proof`` is a known row count at least as large as ``df``'s (e.g. of the
+    materialized rows a distinct key set was taken from); without it the rows
+    are counted.  Beyond the budget joins against ``df`` stay shuffle joins.
     """
-    if isinstance(proof, int):
-        ok = within_bound(proof, max_rows)
-    else:
-        ok = row_bound_ok(df if proof is None else proof, max_rows)
+    ok = row_bound_ok(df) if proof is None else within_bound(proof, df.schema)
     return F.broadcast(df) if ok else df

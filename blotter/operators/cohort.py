@@ -120,7 +120,7 @@ def _cohort(cat: Catalog, p: Params, cols: tuple[str, ...], *, described: bool,
     inc, n_inc = materialize_counted(cohort_incidents(cat, p))
     rows, fields = _offense_rows(cat, p, described=described, inclusive=inclusive)
     year = F.year("report_date").alias("report_year")
-    if within_bound(n_inc):
+    if within_bound(n_inc, inc.schema):
         b = F.broadcast(inc)
         joined = rows.join(b, rows["inc_incident_id"] == b["incident_id"])
         out = joined.select("incident_id", "inc_report_number", "agency_code", "report_date",
@@ -148,7 +148,7 @@ def cohort_incident_keys(cat: Catalog, p: Params) -> DataFrame:
     off = cat.table("offenses", columns=("inc_incident_id", "offns_cd_offense_code"))
     off = off.join(cmap.select("offense_code"),
                    off["offns_cd_offense_code"] == cmap["offense_code"], "left_semi")
-    if within_bound(n_inc):
+    if within_bound(n_inc, inc.schema):
         b = F.broadcast(inc)
         joined = off.join(b, off["inc_incident_id"] == b["incident_id"])
         return joined.select(*inc.columns).distinct()
@@ -178,7 +178,7 @@ def cohort_keys(cohort: DataFrame, rows: int | None = None) -> DataFrame:
     semi join restricting a rollup to the cohort filters map-side.
     """
     keys = cohort.select("incident_id", "inc_report_number", "agency_code").distinct()
-    return broadcast_if_bounded(keys, proof=cohort if rows is None else rows)
+    return broadcast_if_bounded(keys, proof=rows)
 
 
 @dataclass(frozen=True, eq=False)

@@ -56,8 +56,8 @@ LARGE_PATH = ["cohort_described", "cohort_inclusive", "metrics_summary", "proof_
 
 @pytest.mark.parametrize("name", LARGE_PATH)
 def test_large_cohort_strategy_matches_oracle(spark, duck_mid, monkeypatch, name):
-    """Bound 0 forces the shuffle strategies (no cohort broadcast anywhere)."""
+    """Budget 0 forces the shuffle strategies (no cohort broadcast anywhere)."""
     import blotter.functions.joins as joins
-    monkeypatch.setattr(joins, "COHORT_BROADCAST_MAX_ROWS", 0)
+    monkeypatch.setattr(joins, "COHORT_BROADCAST_MAX_BYTES", 0)
     ok, msg = compare(entry.queries()[name](spark, SF_MID), duck_mid, entry.oracle_sql()[name])
     assert ok, msg
