@@ -8,7 +8,7 @@ Plan shape (the point of writing it this way rather than joining in text order):
    the parquet scan (``year(col) = y`` would only push ``IsNotNull``) and
    materialized, so their real size is known.
 3. Offense rows are matched to the code map map-side (broadcast hash join).
-   A cohort within the row bound is broadcast too, so offense rows meet it
+   A cohort within the broadcast budget is broadcast too, so offense rows meet it
    map-side and none is shuffled; a larger one is joined on ``incident_id``
    after the offense rows are pre-aggregated per incident into the set of
    their distinct code tuples (bounded by the code map, so one incident with
@@ -109,7 +109,7 @@ def _cohort(cat: Catalog, p: Params, cols: tuple[str, ...], *, described: bool,
 
     The filtered incidents are materialized first, so their real size is known:
 
-    * within the bound they are broadcast and the offense rows meet them
+    * within the broadcast budget they are broadcast and offense rows meet them
       map-side: no offense row is shuffled at all, only the cohort rows for
       the final DISTINCT (map-side combined);
     * beyond it, offense rows are pre-aggregated per incident into the set of
@@ -174,7 +174,7 @@ def cohort_inclusive(cat: Catalog, p: Params) -> DataFrame:
 def cohort_keys(cohort: DataFrame, rows: int | None = None) -> DataFrame:
     """Distinct incident keys of a (materialized) cohort, for restricting rollups.
 
-    Broadcast-hinted when the cohort rows are within the row bound, so every
+    Broadcast-hinted when the cohort rows fit the broadcast budget, so every
     semi join restricting a rollup to the cohort filters map-side.
     """
     keys = cohort.select("incident_id", "inc_report_number", "agency_code").distinct()
