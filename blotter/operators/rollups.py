@@ -69,13 +69,24 @@ _FIRST_HOP: "weakref.WeakKeyDictionary[DataFrame, dict]" = weakref.WeakKeyDictio
 
 def first_hop(keys: DataFrame, name: str, df: DataFrame,
               restrict=None) -> DataFrame:
-    """``df`` restricted to the cohort ``keys``, materialized once per cohort."""
+    """``df`` restricted to the cohort ``keys``, materialized once per cohort.
+
+    The table itself carries no broadcast hint: it is also the preserved side
+    of left joins, where a hint on it would only rule out broadcasting the
+    other side.  Use ``first_hop_ids`` for the hinted key sets.
+    """
     memo = _FIRST_HOP.setdefault(keys, {})
     if name not in memo:
         rows = restrict(df, keys) if restrict else _restrict(df, keys, "incident_id")
-        table, n = materialize_counted(rows)
-        memo[name] = broadcast_if_bounded(table, proof=n)
-    return memo[name]
+        memo[name] = materialize_counted(rows)
+    return memo[name][0]
+
+
+def first_hop_ids(keys: DataFrame, name: str, *cols: str, distinct: bool = False) -> DataFrame:
+    """Columns of a materialized first hop, broadcast-hinted within the budget."""
+    table, n = _FIRST_HOP[keys][name]
+    ids = table.select(*cols)
+    return broadcast_if_bounded(ids.distinct() if distinct else ids, proof=n)
 
 
 def _bridge(cat: Catalog, keys: DataFrame | None) -> DataFrame:
@@ -83,15 +94,18 @@ def _bridge(cat: Catalog, keys: DataFrame | None) -> DataFrame:
     return bridge if keys is None else first_hop(keys, "cases", bridge)
 
 
-def _cases(cat: Catalog, keys: DataFrame | None, bridge: DataFrame, **kw) -> DataFrame:
+def _cases(cat: Catalog, keys: DataFrame | None, **kw) -> DataFrame:
+    """Case rows; for a cohort, only those its bridge rows reach (after ``_bridge``)."""
     cases = cat.table("incident_cases", **kw)
-    return cases if keys is None else semi(cases, bridge.select("inc_case_id"), "inc_case_id")
+    if keys is None:
+        return cases
+    return semi(cases, first_hop_ids(keys, "cases", "inc_case_id"), "inc_case_id")
 
 
 def case_numbers(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """incident_id -> sorted distinct non-NULL case numbers joined by ', '."""
     bridge = _bridge(cat, keys)
-    cases = _cases(cat, keys, bridge, columns=("inc_case_id", "inc_case_number"),
+    cases = _cases(cat, keys, columns=("inc_case_id", "inc_case_number"),
                    where=lambda d: d["inc_case_number"].isNotNull()
                    & (d["inc_case_number"] != F.lit("")))
     return (bridge.join(cases, "inc_case_id")
@@ -122,7 +136,7 @@ _STATUS_COLS = ("inc_case_id", "case_status_code_type", "case_status_code")
 def incident_status(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """incident_id -> MAX(is_open) over its cases; dangling cases give NULL."""
     bridge = _bridge(cat, keys)
-    flags = _case_status(cat, _cases(cat, keys, bridge, columns=_STATUS_COLS))
+    flags = _case_status(cat, _cases(cat, keys, columns=_STATUS_COLS))
     return (bridge.join(flags.select("inc_case_id", "is_open"), "inc_case_id", "left")
             .groupBy("incident_id").agg(F.max("is_open").alias("is_open")))
 
@@ -130,7 +144,7 @@ def incident_status(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
 def incident_open_status(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """incident_id -> is_open and sorted distinct status descriptions ' | '."""
     bridge = _bridge(cat, keys)
-    status = _case_status(cat, _cases(cat, keys, bridge, columns=_STATUS_COLS))
+    status = _case_status(cat, _cases(cat, keys, columns=_STATUS_COLS))
     return (bridge.join(status, "inc_case_id")
             .groupBy("incident_id")
             .agg(F.max("is_open").alias("is_open"),
@@ -157,7 +171,7 @@ def occurrence_addresses(cat: Catalog, keys: DataFrame | None = None) -> DataFra
     addresses = cat.table("addresses")
     if keys is not None:
         ia = first_hop(keys, "addresses", ia)
-        addresses = semi(addresses, ia.select("address_id"), "address_id")
+        addresses = semi(addresses, first_hop_ids(keys, "addresses", "address_id"), "address_id")
     return (ia.join(addresses, "address_id")
             .groupBy("incident_id")
             .agg(ordered_set_text(occurrence_address(), DESC_SEP)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from blotter.functions.joins import semi
 from blotter.functions.text import any_of, upper_contains, upper_contains_any, upper_in
-from blotter.operators.rollups import first_hop
+from blotter.operators.rollups import first_hop, first_hop_ids
 from blotter.params import (
     OFFENDER_WORD,
     RELATION_CODE_FRAGMENTS,
@@ -73,10 +73,10 @@ def _people(cat: Catalog, keys: DataFrame | None) -> DataFrame:
         df, k.select("incident_id", "inc_report_number", "agency_code")))
 
 
-def _role_counts(cat: Catalog, people: DataFrame | None) -> DataFrame:
+def _role_counts(cat: Catalog, per_ids: DataFrame | None) -> DataFrame:
     roles = cat.table("incident_person_roles")
-    if people is not None:
-        roles = semi(roles, people.select("inc_per_id"), "inc_per_id")
+    if per_ids is not None:
+        roles = semi(roles, per_ids, "inc_per_id")
     rc = cat.lookup("role_codes").withColumnRenamed("role_type", "rc_role_type")
     rows = roles.join(rc, roles["role_type"] == rc["rc_role_type"], "left")
     is_type = upper_in("role_type", SUSPECT_ROLE_TYPES)
@@ -118,7 +118,11 @@ def person_rows(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     base = _people(cat, keys)
     person_key = ["inc_per_id", "inc_report_number", "agency_code", "per_person_id"]
     arrests = _arrest_counts(cat, keys)
-    cand = base.select(*person_key).distinct()
+    if keys is None:
+        cand, per_ids = base.select(*person_key).distinct(), None
+    else:  # hinted key sets of the materialized cohort person rows
+        cand = first_hop_ids(keys, "people", *person_key, distinct=True)
+        per_ids = first_hop_ids(keys, "people", "inc_per_id")
     matched = cand.join(arrests, (cand["inc_report_number"] == arrests["a_report"])
                         & (cand["agency_code"] == arrests["a_agency"])
                         & (cand["per_person_id"] == arrests["a_person"])).select(
@@ -128,8 +132,7 @@ def person_rows(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
         F.col("description").alias("rel_desc"))
     people = base.join(rel, (base["relation_code_type"] == rel["rel_type"])
                        & (base["reltn_relation_code"] == rel["rel_code"]), "left")
-    people = (people.join(_role_counts(cat, base if keys is not None else None),
-                          "inc_per_id", "left")
+    people = (people.join(_role_counts(cat, per_ids), "inc_per_id", "left")
               .join(matched, person_key, "left"))
 
     code = F.col("reltn_relation_code")
