@@ -70,3 +70,14 @@ def test_report_set_equals_single_reports(spark):
     for name, df in shared.items():
         alone = (me.metrics_summary if name == "metrics_summary" else getattr(pr, name))(cat, P)
         assert _same(df, alone), name
+
+
+def test_empty_year_runs_every_report(spark):
+    """A year without data: empty materialized cohort, empty proofs, one KPI row."""
+    from blotter.operators.reports import report_set
+    cat = catalog_for(spark, SF_SMALL)
+    out = report_set(cat, Params(report_year=1990))
+    for name, df in out.items():
+        n = df.count()
+        assert n == (1 if name == "metrics_summary" else 0), name
+    assert out["metrics_summary"].collect()[0]["total_reports"] == 0
