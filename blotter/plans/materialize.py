@@ -17,7 +17,9 @@ written once, as a parquet table in the cluster's shared folder named by
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 def _checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        # Unset only in local tests; clusters name a shared directory.
+        # Unset only in local tests; clusters name a shared directory.  A folder
+        # this process created itself is also removed by it at exit.
         d = tempfile.mkdtemp(prefix="blotter-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, d, True)
         spark.conf.set("spark.checkpoint.dir", d)
     return d
 
@@ -47,7 +51,9 @@ def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     no extra job.
     """
     spark = df.sparkSession
-    path = "/".join([scratch_dir(spark).rstrip("/"), "materialized", uuid.uuid4().hex])
+    # One folder per application, so a finished run's tables can be dropped together.
+    path = "/".join([scratch_dir(spark).rstrip("/"), "materialized",
+                     spark.sparkContext.applicationId, uuid.uuid4().hex])
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     # The schema is known: reading with it skips the footer-reading inference job.
