@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 from blotter.plans.materialize import _checkpoint_dir
@@ -25,6 +28,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         b = b.master(master)
     conf = dict(CONF)
+    # Catalog metadata of the (external) fixture tables; keeps the working
+    # directory clean.  On a cluster the deployment's warehouse applies.
+    conf["spark.sql.warehouse.dir"] = os.path.join(tempfile.gettempdir(), "blotter-warehouse")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -224,40 +224,72 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-# Bump when the derivation changes, so a written copy is never reused stale.
-FIXTURE_VERSION = "v2"
-
-# Storage layout of the written relations.  Incidents are range-partitioned and
-# sorted by report date, so each file and row group covers a date range that
-# the cohort's year filter can skip by min/max statistics; the other large
-# relations are hash-clustered by the key they are joined and grouped on.
+# Bump when the derivation or the layout changes, so a written copy is never
+# reused stale.
+FIXTURE_VERSION = "v3"
+
+# Storage layout of the written relations.
+#
+# * Incidents are range-partitioned and sorted by report date, so each file
+#   and row group covers a date range that the cohort's year filter can skip
+#   by min/max statistics.
+# * The incident-keyed relations (and the two that are keyed by case and by
+#   person row) are *bucketed* on that key into BUCKETS buckets, as external
+#   tables in the shared folder.  Aggregations and joins on the bucket key then
+#   need no exchange: the rollups group by incident id straight off the scan.
+# * Arrests are hash-clustered by report number; the code tables are one file.
+BUCKETS = 8
 _RANGE = {"incidents": ("report_date", "incident_id")}
-_CLUSTER = {
+_BUCKET = {
     "offenses": "inc_incident_id", "incident_people": "inc_incident_id",
-    "incident_person_roles": "inc_per_id", "incident_properties": "incsup_incident_id",
-    "incident_vehicles": "incident_id", "incident_addresses": "incident_id",
-    "inc_case_inc_status_vw": "incident_id", "incident_cases": "inc_case_id",
-    "arrests": "inc_report_number", "addresses": "address_id",
+    "incident_properties": "incsup_incident_id", "incident_vehicles": "incident_id",
+    "incident_addresses": "incident_id", "inc_case_inc_status_vw": "incident_id",
+    "incident_person_roles": "inc_per_id", "incident_cases": "inc_case_id",
+    "addresses": "address_id",
 }
+_CLUSTER = {"arrests": "inc_report_number"}
+
+
+def _table_name(out_dir: str, name: str) -> str:
+    tag = "".join(c if c.isalnum() else "_" for c in out_dir.split("/fixtures/")[-1])
+    return f"blotter_{tag}_{name}"
 
 
 def write_fixtures(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
     """Derive the 16 relations and write them as parquet under ``out_dir``."""
     n = max(1, spark.sparkContext.defaultParallelism)
     for name, df in derive(spark, sf_dir).items():
+        path = out_dir.rstrip("/") + "/" + name
+        if name in _BUCKET:
+            key = _BUCKET[name]
+            (df.write.mode("overwrite").option("path", path)
+             .bucketBy(BUCKETS, key).sortBy(key).saveAsTable(_table_name(out_dir, name)))
+            continue
         if name in _RANGE:
             df = df.repartitionByRange(n, *_RANGE[name]).sortWithinPartitions(*_RANGE[name])
         elif name in _CLUSTER:
             df = df.repartition(n, _CLUSTER[name])
         else:
             df = df.coalesce(1)
-        df.write.mode("overwrite").parquet(out_dir.rstrip("/") + "/" + name)
+        df.write.mode("overwrite").parquet(path)
     return out_dir
 
 
 def fixture_dir(spark: SparkSession, sf_dir: str) -> str:
     tag = sf_dir.rstrip("/").split("://")[-1].strip("/").replace("/", "_")
-    return "/".join([scratch_dir(spark).rstrip("/"), "fixtures", FIXTURE_VERSION, tag])
+    return "/".join([scratch_dir(spark).rstrip("/"), "fixtures",
+                     f"{FIXTURE_VERSION}-b{BUCKETS}", tag])
+
+
+def _bucketed(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """Register a written bucketed relation in this session's catalog; read it."""
+    path = out + "/" + name
+    table = _table_name(out, name)
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
+                     for f in spark.read.parquet(path).schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet "
+              f"CLUSTERED BY ({_BUCKET[name]}) INTO {BUCKETS} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
 
 
 def _written(spark: SparkSession, out: str) -> dict[str, DataFrame] | None:
@@ -268,7 +300,8 @@ def _written(spark: SparkSession, out: str) -> dict[str, DataFrame] | None:
     file system the cluster uses.
     """
     try:
-        return {n: spark.read.parquet(out + "/" + n) for n in RELATIONS}
+        return {n: _bucketed(spark, out, n) if n in _BUCKET
+                else spark.read.parquet(out + "/" + n) for n in RELATIONS}
     except AnalysisException:
         return None
 
@@ -277,8 +310,8 @@ def fixture_catalog(spark: SparkSession, sf_dir: str, *, lazy: bool = False, **k
     """Catalog over the derived relations.
 
     By default they are written once (per scratch directory) and read back as
-    plain parquet tables, as the real relations would be stored; ``lazy=True``
-    keeps them as unmaterialized derivations instead.
+    stored tables (plain or bucketed parquet), as the real relations would be
+    stored; ``lazy=True`` keeps them as unmaterialized derivations instead.
     """
     if lazy:
         return Catalog(derive(spark, sf_dir), **kw)
