@@ -77,3 +77,14 @@ def test_two_hop_tables_filtered_map_side(spark):
         pr.proof_open_reports(cat, P), "simple")
     semis = [l for l in text.splitlines() if "LeftSemi" in l]
     assert semis and all("BroadcastHashJoin" in l for l in semis), semis
+
+
+def test_bucketed_rollups_need_no_exchange(spark):
+    """Incident-keyed rollups group straight off the bucketed scan."""
+    from blotter.operators import rollups as ro
+    cat = catalog_for(spark, SF_MID)
+    for fn in (ro.property_loss, ro.vehicle_counts):
+        df = fn(cat)
+        df.collect()
+        final = plan_text(df, "simple").split("== Initial Plan ==")[0]
+        assert "Exchange" not in final, fn.__name__
