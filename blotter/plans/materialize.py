@@ -52,8 +52,8 @@ def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """
     spark = df.sparkSession
     # One folder per application, so a finished run's tables can be dropped together.
-    path = "/".join([scratch_dir(spark).rstrip("/"), "materialized",
-                     spark.sparkContext.applicationId, uuid.uuid4().hex])
+    app = spark.conf.get("spark.app.id", None) or "app"
+    path = "/".join([scratch_dir(spark).rstrip("/"), "materialized", app, uuid.uuid4().hex])
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     # The schema is known: reading with it skips the footer-reading inference job.

@@ -257,7 +257,7 @@ def _table_name(out_dir: str, name: str) -> str:
 
 def write_fixtures(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
     """Derive the 16 relations and write them as parquet under ``out_dir``."""
-    n = max(1, spark.sparkContext.defaultParallelism)
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
     for name, df in derive(spark, sf_dir).items():
         path = out_dir.rstrip("/") + "/" + name
         if name in _BUCKET:
