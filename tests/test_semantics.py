@@ -163,3 +163,43 @@ def test_optional_report_number_filter(spark):
     one = Params(report_year=1998, report_number="R2")
     assert rows(co.cohort_base(cat, one), "incident_id") == [(2,)]
     assert me.metrics_summary(cat, one).collect()[0]["total_reports"] == 1
+
+
+def test_sort_puts_null_report_numbers_last(spark):
+    # S4/S5: ascending sort with NULLs last, on the proof's output columns.
+    d = ts(1998, 5, 5)
+    cat = make_catalog(spark, incidents=[incident(1, None, d), incident(2, "R2", d),
+                                         incident(3, "R1", d)],
+                       offenses=[(i, "OC1", "PLACE", None) for i in (1, 2, 3)])
+    got = [r["report_number"] for r in pr.proof_total_reports(cat, P).collect()]
+    assert got == ["R1", "R2", None]
+
+
+def test_report_case_numbers_are_the_largest_string(spark):
+    # S10: MAX over the incidents' case lists, not their union.
+    cat = make_catalog(
+        spark, incidents=[incident(1, "R1", ts(1998, 1, 2)), incident(2, "R1", ts(1998, 1, 3))],
+        offenses=[(1, "OC1", "PLACE", None), (2, "OC1", "PLACE", None)],
+        incident_cases=[(10, "C9", "STATUS", "C"), (11, "C10", "STATUS", "C"),
+                        (12, "C2", "STATUS", "C")],
+        inc_case_inc_status_vw=[(1, 10), (2, 11), (2, 12)])
+    r = pr.proof_summed_loss_value(cat, P).collect()[0]
+    assert r["case_numbers"] == "C9"  # 'C9' > 'C10, C2' as text
+
+
+def test_reopened_counts_as_open(spark):
+    # S13: substring OPEN in the upper-cased description.
+    cat = make_catalog(spark, incident_cases=[(1, "C1", "STATUS", "R"), (2, "C2", "STATUS", "C"),
+                                               (3, "C3", "STATUS", "N")])
+    assert rows(ro.case_open_flags(cat), "inc_case_id", "is_open") == [(1, 1), (2, 0), (3, 0)]
+
+
+def test_relation_code_substrings_and_repeated_offenses(spark):
+    # S14: 'OFFICER' contains OFF, so it counts; S26: repeated offense rows collapse.
+    cat = make_catalog(
+        spark, incidents=[incident(7, "R7", ts(1998, 8, 1))],
+        offenses=[(7, "OC1", "PLACE", None)] * 3,
+        incident_people=[(1, 7, 5, "REL", "OFFICER", None), (2, 7, 6, "REL", "VI", None)])
+    assert co.cohort_base(cat, P).count() == 1
+    r = pr.proof_avg_suspects(cat, P).collect()[0]
+    assert r["suspect_count"] == 1 and r["matched_relation_code_rows"] == 1
