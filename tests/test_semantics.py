@@ -203,3 +203,17 @@ def test_relation_code_substrings_and_repeated_offenses(spark):
     assert co.cohort_base(cat, P).count() == 1
     r = pr.proof_avg_suspects(cat, P).collect()[0]
     assert r["suspect_count"] == 1 and r["matched_relation_code_rows"] == 1
+
+
+def test_arrest_without_id_closed_proof_vs_kpi(spark):
+    # SURVEY §1.5: the KPI flags a report arrested if any arrest row exists; the
+    # closed proof requires COUNT(DISTINCT arrest_id) = 0.  An arrest row with a
+    # NULL id therefore keeps the report in the closed proof but not in the KPI.
+    cat = make_catalog(
+        spark, incidents=[incident(9, "R9", ts(1998, 9, 9))],
+        offenses=[(9, "OC1", "PLACE", None)],
+        arrests=[(None, "A9", "TN0830400", "R9", ts(1998, 9, 10), 1)])
+    k = me.metrics_summary(cat, P).collect()[0]
+    assert k["reports_with_arrest"] == 1 and k["closed_by_other_means_reports"] == 0
+    closed = pr.proof_closed_by_other_means(cat, P).collect()
+    assert [(r["report_number"], r["arrest_count"]) for r in closed] == [("R9", 0)]
