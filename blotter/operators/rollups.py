@@ -6,8 +6,10 @@ its whole input table, as the standalone definition does; with it the input is
 first semi-joined to the cohort.  The rollups are only ever left/inner joined
 back to the cohort on the same key, so the restricted and unrestricted forms
 give the same report rows, while the restricted one aggregates only cohort
-data.  The semi join also leaves the input hash-partitioned on the key, so the
-following aggregation and the join back to the cohort add no exchange.
+data.  Keys within the broadcast budget make that semi join map-side, which
+keeps the input's storage partitioning: on the bucketed relations the
+aggregation by incident id then adds no exchange.  Beyond the budget the semi
+join shuffles on the key and the aggregation reuses that partitioning.
 """
 
 from __future__ import annotations
@@ -60,9 +62,10 @@ def _arrests(cat: Catalog, keys: DataFrame | None, columns: tuple[str, ...]) ->
 # the bridge to the cohort is a semi join; restricting the second table
 # (``incident_cases``, ``addresses``) needs the bridge's restricted ids, whose
 # size the planner cannot know from file statistics.  The restricted bridge is
-# therefore materialized once per cohort: with exact statistics, a small id set
-# is broadcast into a map-side semi join of the second table (no exchange of
-# that whole table), and a large one falls back to a shuffle join as before.
+# therefore materialized once per cohort, its row count observed by the write:
+# an id set within the broadcast budget is broadcast into a map-side semi join
+# of the second table (no exchange of that whole table), and a larger one
+# falls back to a shuffle join.
 
 _FIRST_HOP: "weakref.WeakKeyDictionary[DataFrame, dict]" = weakref.WeakKeyDictionary()
 

@@ -58,7 +58,7 @@ def _with_incident(ip: DataFrame, inc: DataFrame) -> DataFrame:
 def _people(cat: Catalog, keys: DataFrame | None) -> DataFrame:
     """Person rows with their incident's report number and agency.
 
-    For a cohort, the cohort's person rows are materialized once (exact size),
+    For a cohort, the cohort's person rows are materialized once (counted),
     so the role and arrest joins that hang off them are planned from their
     true, usually small, size: roles are then filtered map-side by a broadcast
     semi join instead of shuffling the whole role table.
