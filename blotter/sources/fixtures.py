@@ -226,28 +226,31 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 # Bump when the derivation or the layout changes, so a written copy is never
 # reused stale.
-FIXTURE_VERSION = "v3"
+FIXTURE_VERSION = "v4"
 
 # Storage layout of the written relations.
 #
-# * Incidents are range-partitioned and sorted by report date, so each file
-#   and row group covers a date range that the cohort's year filter can skip
-#   by min/max statistics.
-# * The incident-keyed relations (and the two that are keyed by case and by
-#   person row) are *bucketed* on that key into BUCKETS buckets, as external
-#   tables in the shared folder.  Aggregations and joins on the bucket key then
-#   need no exchange: the rollups group by incident id straight off the scan.
+# * The incident-keyed relations, incidents included (and the ones keyed by
+#   case, person row and address), are *bucketed* on that key into BUCKETS
+#   buckets, as external tables in the shared folder.  Aggregations and joins
+#   on the bucket key then need no exchange: the rollups group by incident id
+#   straight off the scan, and incidents join the other tables co-located.
+# * Within each bucket, incidents are sorted by report date, so every row
+#   group covers a date range that the cohort's year filter skips by min/max
+#   statistics.
 # * Arrests are hash-clustered by report number; the code tables are one file.
 BUCKETS = 8
-_RANGE = {"incidents": ("report_date", "incident_id")}
+_RANGE: dict[str, tuple[str, ...]] = {}
 _BUCKET = {
-    "offenses": "inc_incident_id", "incident_people": "inc_incident_id",
+    "incidents": "incident_id", "offenses": "inc_incident_id", "incident_people": "inc_incident_id",
     "incident_properties": "incsup_incident_id", "incident_vehicles": "incident_id",
     "incident_addresses": "incident_id", "inc_case_inc_status_vw": "incident_id",
     "incident_person_roles": "inc_per_id", "incident_cases": "inc_case_id",
     "addresses": "address_id",
 }
 _CLUSTER = {"arrests": "inc_report_number"}
+# Sort order within buckets, where it is not the bucket key itself.
+_BUCKET_SORT = {"incidents": ("report_date", "incident_id")}
 
 
 def _table_name(out_dir: str, name: str) -> str:
@@ -263,7 +266,8 @@ def write_fixtures(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
         if name in _BUCKET:
             key = _BUCKET[name]
             (df.write.mode("overwrite").option("path", path)
-             .bucketBy(BUCKETS, key).sortBy(key).saveAsTable(_table_name(out_dir, name)))
+             .bucketBy(BUCKETS, key).sortBy(*_BUCKET_SORT.get(name, (key,)))
+             .saveAsTable(_table_name(out_dir, name)))
             continue
         if name in _RANGE:
             df = df.repartitionByRange(n, *_RANGE[name]).sortWithinPartitions(*_RANGE[name])
