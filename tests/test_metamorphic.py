@@ -81,3 +81,15 @@ def test_empty_year_runs_every_report(spark):
         n = df.count()
         assert n == (1 if name == "metrics_summary" else 0), name
     assert out["metrics_summary"].collect()[0]["total_reports"] == 0
+
+
+def test_catalog_from_registered_views(spark):
+    """Catalog.from_tables reads relations registered under other names."""
+    cat = catalog_for(spark, SF_SMALL)
+    names = {}
+    for n in RELATIONS:
+        view = f"src_{n}"
+        cat.raw(n).createOrReplaceTempView(view)
+        names[n] = view
+    other = Catalog.from_tables(spark, names)
+    assert _kpi(other) == _kpi(cat)
