@@ -217,3 +217,18 @@ def test_arrest_without_id_closed_proof_vs_kpi(spark):
     assert k["reports_with_arrest"] == 1 and k["closed_by_other_means_reports"] == 0
     closed = pr.proof_closed_by_other_means(cat, P).collect()
     assert [(r["report_number"], r["arrest_count"]) for r in closed] == [("R9", 0)]
+
+
+def test_catalog_and_params_validate_early(spark):
+    import pytest
+
+    from blotter.sources.catalog import Catalog
+    from blotter.sources.schemas import SCHEMAS
+    tables = {n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
+    tables["arrests"] = tables["arrests"].drop("person_id")
+    with pytest.raises(KeyError, match="person_id"):
+        Catalog(tables)
+    with pytest.raises(ValueError):
+        Params(agency="")
+    with pytest.raises(ValueError):
+        Params(nibrs="")
