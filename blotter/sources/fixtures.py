@@ -12,6 +12,8 @@ every report reads its whole input.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -310,18 +312,39 @@ def _written(spark: SparkSession, out: str) -> dict[str, DataFrame] | None:
         return None
 
 
+def _published(spark: SparkSession, base: str) -> dict[str, DataFrame] | None:
+    """Relations of a complete, published fixture set under ``base``, if any."""
+    try:
+        paths = sorted(r[0] for r in spark.read.parquet(base + "/_published").collect())
+    except AnalysisException:
+        return None
+    for path in paths:
+        tables = _written(spark, path)
+        if tables is not None:
+            return tables
+    return None
+
+
 def fixture_catalog(spark: SparkSession, sf_dir: str, *, lazy: bool = False, **kw) -> Catalog:
     """Catalog over the derived relations.
 
     By default they are written once (per scratch directory) and read back as
     stored tables (plain or bucketed parquet), as the real relations would be
     stored; ``lazy=True`` keeps them as unmaterialized derivations instead.
+
+    Each writer writes into its own directory and then publishes it by adding
+    its path to a small pointer table, so concurrent first runs never
+    overwrite a set another process is reading; readers take any published,
+    complete set.
     """
     if lazy:
         return Catalog(derive(spark, sf_dir), **kw)
-    out = fixture_dir(spark, sf_dir)
-    tables = _written(spark, out)
+    base = fixture_dir(spark, sf_dir)
+    tables = _published(spark, base)
     if tables is None:
+        out = base + "/" + uuid.uuid4().hex
         write_fixtures(spark, sf_dir, out)
+        spark.range(1).select(F.lit(out).alias("path")) \
+            .write.mode("append").parquet(base + "/_published")
         tables = _written(spark, out)
     return Catalog(tables, **kw)
