@@ -77,3 +77,22 @@ def test_evidence_matches_bruteforce(spark, seed):
     assert got == expect
     counts = {r["incident_id"]: r["suspect_count"] for r in suspect_counts(cat).collect()}
     assert counts == {i: v["suspect_count"] for i, v in expect.items() if v["suspect_count"]}
+
+
+def test_text_lists_match_python(spark):
+    """ordered_set_text / ordered_list_text vs. sorted-join in plain Python."""
+    from blotter.functions.text import ordered_list_text, ordered_set_text
+    rnd = random.Random(7)
+    words = ["b", "a", "B", "aa", "a b", "10", "2", None]
+    data = [(g, rnd.choice(words)) for g in range(300) for _ in range(rnd.randint(0, 6))]
+    df = spark.createDataFrame(data, "g int, v string")
+    got = {r["g"]: (r["s"], r["l"]) for r in df.groupBy("g").agg(
+        ordered_set_text("v", ", ").alias("s"), ordered_list_text("v", " | ").alias("l")).collect()}
+    groups = defaultdict(list)
+    for g, v in data:
+        groups[g].append(v)
+    for g, vals in groups.items():
+        present = [v for v in vals if v is not None]
+        want_set = ", ".join(sorted(set(present))) or None
+        want_list = " | ".join(sorted(present)) or None
+        assert got[g] == (want_set, want_list), (g, vals)
