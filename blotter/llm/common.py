@@ -83,6 +83,24 @@ def map_rows(df: DataFrame, new: StructType, text: str,
     return df.select(*dict.fromkeys([*keep, *df.columns])).mapInArrow(run, out)
 
 
+def expand_rows(df: DataFrame, out: StructType, text: str,
+                make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+    """Like ``map_rows``, but a slice may give any number of rows and none of ``df``'s columns stay."""
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+        schema = to_arrow_schema(out)
+        compute = make()
+        for batch in batches:
+            for part in pieces(batch, text):
+                cols = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type)
+                        for c, f in zip(compute(part), schema)]
+                if len(cols[0]):
+                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return df.mapInArrow(run, out)
+
+
 def field(name: str, kind) -> StructField:
     return StructField(name, kind, True)
 

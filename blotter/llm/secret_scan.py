@@ -251,7 +251,9 @@ def span_list(col: str):
 
 def digest(found: DataFrame) -> DataFrame:
     """The counts per kind, the digest of the base spans and the list of all spans."""
-    count = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in KINDS}
-    return found.select("row.*", *[c.alias(n) for n, c in count.items()],
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("row.*", *[count(k) for k in KINDS],
                         F.sha2(span_list("base").cast("binary"), 256).alias("base_sha256"),
                         span_list("spans").alias("spans"))

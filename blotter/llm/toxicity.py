@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructType
 
-from blotter.llm.common import field, map_rows, pick, raw, with_row
+from blotter.llm.common import expand_rows, field, map_rows, pick, raw, with_row
 from blotter.llm.decontaminate import WORD_BYTES
 
 FEATURES = 20_000
@@ -260,31 +260,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 every.update(own)
                 if y:
                     toxic.update(own)
-            return every, toxic, batch.num_rows
+            return [list(every), list(every.values()), [toxic[f] for f in every]]
 
         return compute
 
     counted = StructType([field("feature", BinaryType()), field("n_all", LongType()), field("n_tox", LongType())])
-
-    def count(batches):
-        import pyarrow as pa
-
-        from blotter.llm.common import pieces
-        compute = make()
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                every, toxic, n = compute(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(every), pa.binary()), pa.array(list(every.values()), pa.int64()),
-                     pa.array([toxic[f] for f in every], pa.int64())], names=["feature", "n_all", "n_tox"])
-
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_all, n_tox = sum(sizes.values()), sizes.get(1, 0)
     share = n_tox / n_all if n_all else 0.0
     if not 0 < n_tox < n_all:
         return {"share": share}
     z = (F.col("n_tox") - F.col("n_all") * share) / F.sqrt(F.col("n_all") * (share * (1 - share)))
-    top = (rows.mapInArrow(count, counted).groupBy("feature")
+    top = (expand_rows(rows, counted, "text", make).groupBy("feature")
            .agg(F.sum("n_all").alias("n_all"), F.sum("n_tox").alias("n_tox"))
            .where(F.col("n_all") >= LEAST_DOCS)
            .orderBy(F.abs(z).desc(), "feature").limit(FEATURES).collect())
