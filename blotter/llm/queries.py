@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.llm import decontaminate, secret_scan, sentencepiece_codec, simhash, toxicity
+from blotter.llm import (
+    decontaminate,
+    embedding_join,
+    html_extract,
+    secret_scan,
+    sentencepiece_codec,
+    simhash,
+    toxicity,
+    warc,
+)
+from blotter.plans.materialize import scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +31,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.*", *sentencepiece_codec.CODED.names)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_extract.extract_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return rows.select("row.*", *html_extract.EXTRACTED.names)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_dir(spark).rstrip('/')}/warc/{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archive(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
@@ -27,6 +51,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.locate_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
                                            carry=["doc_id"])
@@ -42,5 +70,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op6_secrets, op7_simhash, op9_decontaminate, op10_toxicity)}
-ORACLE: dict[str, str] = {}
+#: DuckDB's SQL for the queries that it can express.
+ORACLE: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+            CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id > first THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (d)""",
+}
+
+QUERIES = {f.__name__: f for f in (
+    op1_sentencepiece, op2_html, op5_warc, op6_secrets, op7_simhash, op8_embeddings, op9_decontaminate, op10_toxicity)}
