@@ -14,6 +14,8 @@ from blotter.llm import (
     secret_scan,
     sentencepiece_codec,
     simhash,
+    substring_dedup,
+    suffix_dedup,
     toxicity,
     warc,
 )
@@ -36,6 +38,14 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.*", *html_extract.EXTRACTED.names)
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch_dir(spark).rstrip('/')}/warc/{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
@@ -82,4 +92,5 @@ ORACLE: dict[str, str] = {
 }
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentencepiece, op2_html, op5_warc, op6_secrets, op7_simhash, op8_embeddings, op9_decontaminate, op10_toxicity)}
+    op1_sentencepiece, op2_html, op3_suffixes, op4_substrings, op5_warc, op6_secrets, op7_simhash, op8_embeddings,
+    op9_decontaminate, op10_toxicity)}
