@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
+    BinaryType,
     BooleanType,
     ByteType,
     DateType,
@@ -14,30 +15,41 @@ from pyspark.sql.types import (
     IntegerType,
     LongType,
     ShortType,
+    StringType,
     StructType,
     TimestampNTZType,
     TimestampType,
 )
 
 # Largest cohort-derived relation (cohort incidents, keys, first hops) that is
-# broadcast, in bytes of row data.  The row limit follows from each relation's
-# schema (``max_rows``): about 1.2M rows of cohort incidents, 0.5M person rows.
+# broadcast, in bytes of its actual row data (strings measured, not guessed).
 COHORT_BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 _FIXED = {ByteType: 1, BooleanType: 1, ShortType: 2, IntegerType: 4, DateType: 4,
           FloatType: 4, LongType: 8, DoubleType: 8, TimestampType: 8, TimestampNTZType: 8,
           DecimalType: 16}
-_VARIABLE = 24  # strings and anything else: a conservative average
+_FIELD = 8  # slot of a field in a row
 
 
-def row_width(schema: StructType) -> int:
-    """Approximate bytes per row of ``schema`` (8 bytes of overhead per field)."""
-    return sum(8 + _FIXED.get(type(f.dataType), _VARIABLE) for f in schema.fields)
+def row_bytes(schema: StructType) -> Column:
+    """Bytes of a row of ``schema``: fixed widths plus the real length of strings and binaries.
+
+    Fields of other types (arrays, structs) count as their text.
+    """
+    fixed = sum(_FIELD + _FIXED.get(type(f.dataType), 0) for f in schema.fields)
+    total = F.lit(fixed).cast("long")
+    for f in schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, StringType | BinaryType):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif type(f.dataType) not in _FIXED:
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return total
 
 
-def max_rows(schema: StructType) -> int:
-    """Rows of ``schema`` that fit the broadcast byte budget."""
-    return COHORT_BROADCAST_MAX_BYTES // max(1, row_width(schema))
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of ``df``: one aggregating job, nothing else leaves the executors."""
+    return int(df.agg(F.coalesce(F.sum(row_bytes(df.schema)), F.lit(0))).first()[0])
 
 
 def semi(df: DataFrame, keys: DataFrame, on: list[str] | str) -> DataFrame:
@@ -45,27 +57,16 @@ def semi(df: DataFrame, keys: DataFrame, on: list[str] | str) -> DataFrame:
     return df.join(keys, on=on, how="left_semi")
 
 
-def within_bound(rows: int, schema: StructType) -> bool:
-    """Whether ``rows`` rows of ``schema`` fit the broadcast byte budget."""
-    return rows <= max_rows(schema)
-
-
-def row_bound_ok(df: DataFrame) -> bool:
-    """Whether ``df`` fits the budget (reads at most the row limit + 1 rows).
-
-    Meant for materialized (parquet) frames, where this is a cheap scan; when
-    the row count is already known, use ``within_bound``.
-    """
-    bound = max_rows(df.schema)
-    return df.limit(bound + 1).count() <= bound
+def within_bound(n_bytes: int) -> bool:
+    """Whether so many bytes of rows fit the broadcast budget."""
+    return n_bytes <= COHORT_BROADCAST_MAX_BYTES
 
 
 def broadcast_if_bounded(df: DataFrame, proof: int | None = None) -> DataFrame:
     """``broadcast(df)`` when ``df`` fits the budget, else ``df`` unhinted.
 
-    ``proof`` is a known row count at least as large as ``df``'s (e.g. of the
+    ``proof`` is a known byte count at least as large as ``df``'s (e.g. of the
     materialized rows a distinct key set was taken from); without it the rows
-    are counted.  Beyond the budget joins against ``df`` stay shuffle joins.
+    are measured.  Beyond the budget joins against ``df`` stay shuffle joins.
     """
-    ok = row_bound_ok(df) if proof is None else within_bound(proof, df.schema)
-    return F.broadcast(df) if ok else df
+    return F.broadcast(df) if within_bound(measured_bytes(df) if proof is None else proof) else df

@@ -13,7 +13,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,20 +58,11 @@ def any_of(*conds: Column) -> Column:
     return reduce(or_, conds)
 
 
-def all_of(*conds: Column) -> Column:
-    return reduce(and_, conds)
-
-
 def flag(cond: Column) -> Column:
     """Boolean to 1/0 integer (NULL counts as 0)."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
 
 
-def count_if(cond: Column) -> Column:
-    """``SUM(CASE WHEN cond THEN 1 ELSE 0 END)`` as BIGINT."""
-    return F.sum(flag(cond).cast("long"))
-
-
 def collapse_spaces(c: Column) -> Column:
     """``TRIM(REGEXP_REPLACE(c, ' +', ' '))``: space runs to one, ends trimmed."""
     return F.trim(F.regexp_replace(c, " +", " "))

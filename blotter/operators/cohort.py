@@ -5,14 +5,13 @@ Plan shape (the point of writing it this way rather than joining in text order):
 1. The code tables (bounded, broadcast) are joined into a small *code map* of
    offense codes that qualify, with their descriptions.
 2. Incidents are read with the agency and a half-open date range pushed into
-   the parquet scan (``year(col) = y`` would only push ``IsNotNull``) and
-   materialized, so their real size is known.
+   the parquet scan (``year(col) = y`` would only push ``IsNotNull``); their real
+   bytes are measured by one aggregating job over that scan.
 3. Offense rows are matched to the code map map-side (broadcast hash join).
-   A cohort within the broadcast budget is broadcast too, so offense rows meet it
-   map-side and none is shuffled; a larger one is joined on ``incident_id``
-   after the offense rows are pre-aggregated per incident into the set of
-   their distinct code tuples (bounded by the code map, so one incident with
-   a huge number of offense rows still costs one small row).
+   Incidents within the broadcast budget are broadcast too, so offense rows meet
+   them map-side and none is shuffled; more are joined on ``incident_id`` with
+   the distinct (incident, code fields) rows, so an incident with a huge number of
+   repeated offense rows costs only its distinct ones after the map-side combine.
 4. The final DISTINCT is map-side combined (broadcast case) or runs within the
    join's partitioning (shuffle case).
 """
@@ -25,10 +24,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blotter.functions.joins import broadcast_if_bounded, within_bound
+from blotter.functions.joins import broadcast_if_bounded, measured_bytes, within_bound
 from blotter.functions.text import any_of, upper_in
 from blotter.params import Params
-from blotter.plans.materialize import materialize_counted
+from blotter.plans.materialize import Size
 from blotter.sources.catalog import Catalog
 
 BASE_COLUMNS = ("incident_id", "inc_report_number", "agency_code", "report_date",
@@ -105,35 +104,23 @@ def _offense_rows(cat: Catalog, p: Params, *, described: bool,
 
 def _cohort(cat: Catalog, p: Params, cols: tuple[str, ...], *, described: bool,
             inclusive: bool) -> DataFrame:
-    """Cohort rows; the join strategy follows the checked size of the incidents.
+    """Cohort rows; the join strategy follows the measured size of the incidents.
 
-    The filtered incidents are materialized first, so their real size is known:
-
-    * within the broadcast budget they are broadcast and offense rows meet them
+    * Within the broadcast budget they are broadcast and offense rows meet them
       map-side: no offense row is shuffled at all, only the cohort rows for
-      the final DISTINCT (map-side combined);
-    * beyond it, offense rows are pre-aggregated per incident into the set of
-      their distinct code tuples (bounded by the code map, so a hot incident
-      costs one small row) and joined on ``incident_id``; the DISTINCT then
-      runs within that partitioning.
+      the final DISTINCT (map-side combined).
+    * Beyond it, offense rows are reduced to their distinct code fields per
+      incident (map-side combined) and joined on ``incident_id``.
     """
-    inc, n_inc = materialize_counted(cohort_incidents(cat, p))
+    inc = cohort_incidents(cat, p)
     rows, fields = _offense_rows(cat, p, described=described, inclusive=inclusive)
     year = F.year("report_date").alias("report_year")
-    if within_bound(n_inc, inc.schema):
-        b = F.broadcast(inc)
-        joined = rows.join(b, rows["inc_incident_id"] == b["incident_id"])
-        out = joined.select("incident_id", "inc_report_number", "agency_code", "report_date",
-                            year, *fields)
+    if within_bound(measured_bytes(inc)):
+        inc = F.broadcast(inc)
     else:
-        sets = rows.groupBy(F.col("inc_incident_id").alias("incident_id")).agg(
-            F.collect_set(F.struct(*fields)).alias("codes"))
-        exploded = inc.join(sets, "incident_id").select(
-            "incident_id", "inc_report_number", "agency_code", "report_date", year,
-            F.explode("codes").alias("c"))
-        out = exploded.select("incident_id", "inc_report_number", "agency_code",
-                              "report_date", "report_year",
-                              *[F.col(f"c.{f}").alias(f) for f in fields])
+        rows = rows.distinct()
+    out = rows.join(inc, rows["inc_incident_id"] == inc["incident_id"]).select(
+        "incident_id", "inc_report_number", "agency_code", "report_date", year, *fields)
     return out.select(*cols).distinct()
 
 
@@ -143,12 +130,12 @@ def cohort_incident_keys(cat: Catalog, p: Params) -> DataFrame:
     The KPI needs no code columns, so this is the incidents that have a
     qualifying offense row, by the same size-checked strategy as ``_cohort``.
     """
-    inc, n_inc = materialize_counted(cohort_incidents(cat, p))
+    inc = cohort_incidents(cat, p)
     cmap = code_map(cat, p, described=False, inclusive=False)
     off = cat.table("offenses", columns=("inc_incident_id", "offns_cd_offense_code"))
     off = off.join(cmap.select("offense_code"),
                    off["offns_cd_offense_code"] == cmap["offense_code"], "left_semi")
-    if within_bound(n_inc, inc.schema):
+    if within_bound(measured_bytes(inc)):
         b = F.broadcast(inc)
         joined = off.join(b, off["inc_incident_id"] == b["incident_id"])
         return joined.select(*inc.columns).distinct()
@@ -171,32 +158,33 @@ def cohort_inclusive(cat: Catalog, p: Params) -> DataFrame:
     return _cohort(cat, p, INCLUSIVE_COLUMNS, described=True, inclusive=True)
 
 
-def cohort_keys(cohort: DataFrame, rows: int | None = None) -> DataFrame:
+def cohort_keys(cohort: DataFrame, n_bytes: int | None = None) -> DataFrame:
     """Distinct incident keys of a (materialized) cohort, for restricting rollups.
 
     Broadcast-hinted when the cohort rows fit the broadcast budget, so every
     semi join restricting a rollup to the cohort filters map-side.
     """
     keys = cohort.select("incident_id", "inc_report_number", "agency_code").distinct()
-    return broadcast_if_bounded(keys, proof=rows)
+    return broadcast_if_bounded(keys, proof=n_bytes)
 
 
 @dataclass(frozen=True, eq=False)
 class Cohort:
     """A materialized cohort and its (bound-checked, maybe broadcast) keys.
 
-    Sharing one instance between reports shares the cohort, and the first-hop
-    tables materialized for its keys, instead of recomputing them per report.
+    Sharing one instance between reports shares the cohort (and, after
+    ``rollups.share_first_hops(keys)``, the first-hop tables of its keys).
     """
 
     rows: DataFrame
     keys: DataFrame
+    size: Size
 
     @classmethod
-    def of(cls, materialized: tuple[DataFrame, int]) -> "Cohort":
-        """From ``materialize_counted`` output: the rows and their count."""
-        rows, n = materialized
-        return cls(rows, cohort_keys(rows, n))
+    def of(cls, materialized: tuple[DataFrame, Size]) -> "Cohort":
+        """From ``materialize_sized`` output: the rows and their size."""
+        rows, size = materialized
+        return cls(rows, cohort_keys(rows, size.bytes), size)
 
     def incidents(self) -> DataFrame:
         """Distinct incidents (id, report number, agency, report date)."""

@@ -25,22 +25,29 @@ from blotter.operators import cohort as co
 from blotter.operators import rollups as ro
 from blotter.operators.suspects import suspect_counts
 from blotter.params import Params
-from blotter.plans.materialize import materialize_counted
+from blotter.plans.materialize import materialize_sized
 from blotter.sources.catalog import Catalog
 
 MONEY_OUT = ro.MONEY_OUT
+# A rollup row (an id and at most two numbers) is narrower than a cohort row, which
+# holds an id, a timestamp and two texts; this factor leaves room for row overhead.
+ROLLUP_ROW = 2
 METRIC_COLUMNS = ("has_arrest", "is_open", "closed_by_other_means", "total_loss_value",
                   "total_recovered_value", "suspect_count", "vehicle_count",
                   "has_vehicle_info")
 
 
-def _with_metrics(rows: DataFrame, cat: Catalog, keys: DataFrame) -> DataFrame:
-    """Attach the five rollups to cohort rows; every join is on incident_id."""
-    m = (rows.join(ro.incident_status(cat, keys), "incident_id", "left")
-         .join(ro.property_loss(cat, keys), "incident_id", "left")
-         .join(suspect_counts(cat, keys), "incident_id", "left")
-         .join(ro.vehicle_counts(cat, keys), "incident_id", "left")
-         .join(ro.per_incident(keys, ro.arrest_flags(cat, keys)), "incident_id", "left"))
+def _with_metrics(rows: DataFrame, cat: Catalog, keys: DataFrame, n_bytes: int) -> DataFrame:
+    """Attach the five rollups to cohort rows; every join is on incident_id.
+
+    A rollup holds at most one narrow row per cohort incident, so where the
+    cohort's measured bytes (``n_bytes``) bound all five, they are broadcast.
+    """
+    rollups = [ro.incident_status(cat, keys), ro.property_loss(cat, keys), suspect_counts(cat, keys),
+               ro.vehicle_counts(cat, keys), ro.per_incident(keys, ro.arrest_flags(cat, keys))]
+    m = rows
+    for r in rollups:
+        m = m.join(broadcast_if_bounded(r, proof=ROLLUP_ROW * n_bytes), "incident_id", "left")
     has_arrest = F.coalesce(F.col("has_arrest"), F.lit(0))
     is_open = F.coalesce(F.col("is_open"), F.lit(0))
     zero = F.lit(0).cast(MONEY_OUT)
@@ -59,10 +66,10 @@ def _with_metrics(rows: DataFrame, cat: Catalog, keys: DataFrame) -> DataFrame:
 
 def incident_metrics(cat: Catalog, p: Params) -> DataFrame:
     """Cohort rows (incident x offense) with the eight per-incident metrics."""
-    ri, n = materialize_counted(co.cohort_base(cat, p))
+    ri, size = materialize_sized(co.cohort_base(cat, p), rebalance=False)
     ri = ri.select("incident_id", "inc_report_number", "report_date", "agency_code",
                    "offense_code", "offense_desc")
-    return _with_metrics(ri, cat, co.cohort_keys(ri, n))
+    return _with_metrics(ri, cat, co.cohort_keys(ri, size.bytes), size.bytes)
 
 
 def report_metrics(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
@@ -72,11 +79,11 @@ def report_metrics(cat: Catalog, p: Params, cohort: co.Cohort | None = None) ->
     ``Cohort`` (e.g. the proofs') it reuses that one and its first hops.
     """
     if cohort is None:
-        inc, n = materialize_counted(co.cohort_incident_keys(cat, p))
-        keys = broadcast_if_bounded(inc, proof=n)
+        inc, size = materialize_sized(co.cohort_incident_keys(cat, p), rebalance=False)
+        keys = broadcast_if_bounded(inc, proof=size.bytes)
     else:
-        inc, keys = cohort.incidents(), cohort.keys
-    m = _with_metrics(inc, cat, keys)
+        inc, keys, size = cohort.incidents(), cohort.keys, cohort.size
+    m = _with_metrics(inc, cat, keys, size.bytes)
     return m.groupBy("agency_code", "inc_report_number").agg(
         F.min(F.year("report_date")).alias("report_year"),
         *[F.max(c).alias(c) for c in METRIC_COLUMNS])

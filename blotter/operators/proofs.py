@@ -15,7 +15,7 @@ from blotter.operators import cohort as co
 from blotter.operators import rollups as ro
 from blotter.operators.suspects import suspect_evidence
 from blotter.params import CODE_SEP, DESC_SEP, Params
-from blotter.plans.materialize import materialize_counted
+from blotter.plans.materialize import materialize_sized
 from blotter.sources.catalog import Catalog
 
 HEAD = ("report_year", "agency_code", "report_number", "incident_id", "case_numbers",
@@ -31,7 +31,7 @@ def _asc(*cols: str) -> list[Column]:
 
 def described_cohort(cat: Catalog, p: Params) -> co.Cohort:
     """The proofs' cohort, materialized once; pass it to several proofs to share it."""
-    return co.Cohort.of(materialize_counted(co.cohort_described(cat, p)))
+    return co.Cohort.of(materialize_sized(co.cohort_described(cat, p), rebalance=False))
 
 
 def _cohort_with_cases(cat: Catalog, p: Params,
@@ -69,8 +69,8 @@ def proof_total_reports(cat: Catalog, p: Params,
 
 def proof_total_reports_inclusive(cat: Catalog, p: Params) -> DataFrame:
     """Wide detail rows: listed offense codes too, with address and place."""
-    ri, n = materialize_counted(co.cohort_inclusive(cat, p))
-    keys = co.cohort_keys(ri, n)
+    ri, size = materialize_sized(co.cohort_inclusive(cat, p), rebalance=False)
+    keys = co.cohort_keys(ri, size.bytes)
     rows = (ri.join(ro.case_numbers(cat, keys), "incident_id", "left")
             .join(ro.occurrence_addresses(cat, keys), "incident_id", "left"))
     return rows.select(

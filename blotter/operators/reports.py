@@ -8,11 +8,13 @@ proof has its own, wider cohort.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from blotter.operators import metrics as me
 from blotter.operators import proofs as pr
+from blotter.operators import rollups as ro
 from blotter.params import Params
+from blotter.plans.materialize import drop_folder, new_run_folder, writing_to
 from blotter.sources.catalog import Catalog
 
 SHARED = (
@@ -22,11 +24,36 @@ SHARED = (
 )
 
 
-def report_set(cat: Catalog, p: Params) -> dict[str, DataFrame]:
-    """``{name: DataFrame}`` for the KPI row and all nine proofs of ``p``."""
-    cohort = pr.described_cohort(cat, p)
-    out = {"metrics_summary": me.metrics_summary(cat, p, cohort)}
-    for name in SHARED:
-        out[name] = getattr(pr, name)(cat, p, cohort)
-    out["proof_total_reports_inclusive"] = pr.proof_total_reports_inclusive(cat, p)
+class ReportSet(dict[str, DataFrame]):
+    """``{name: DataFrame}``; owns the folder of its materialized tables.
+
+    The reports stay lazy and read those tables, so run them before ``close``
+    (or use the set as a context manager), which deletes the folder.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        super().__init__()
+        self._spark, self.folder = spark, folder
+
+    def close(self) -> None:
+        drop_folder(self._spark, self.folder)
+
+    def __enter__(self) -> ReportSet:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
+
+def report_set(cat: Catalog, p: Params) -> ReportSet:
+    """The KPI row and all nine proofs of ``p``."""
+    spark = cat.raw("incidents").sparkSession
+    out = ReportSet(spark, new_run_folder(spark))
+    with writing_to(out.folder):
+        cohort = pr.described_cohort(cat, p)
+        ro.share_first_hops(cohort.keys)
+        out["metrics_summary"] = me.metrics_summary(cat, p, cohort)
+        for name in SHARED:
+            out[name] = getattr(pr, name)(cat, p, cohort)
+        out["proof_total_reports_inclusive"] = pr.proof_total_reports_inclusive(cat, p)
     return out

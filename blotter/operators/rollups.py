@@ -19,7 +19,7 @@ import weakref
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.functions.joins import broadcast_if_bounded, semi
+from blotter.functions.joins import semi, within_bound
 from blotter.functions.text import (
     collapse_spaces,
     flag,
@@ -29,7 +29,7 @@ from blotter.functions.text import (
     upper_contains,
 )
 from blotter.params import CODE_SEP, DESC_SEP, LOSS_CODE, OPEN_WORD, RECOVERED_STATUS
-from blotter.plans.materialize import materialize_counted
+from blotter.plans.materialize import materialize_sized
 from blotter.sources.catalog import Catalog
 
 MONEY_OUT = "decimal(38,2)"
@@ -48,48 +48,51 @@ def _report_keys(keys: DataFrame | None) -> DataFrame | None:
     return keys.filter(F.col("inc_report_number").isNotNull()).select(*REPORT_KEYS)
 
 
-def _arrests(cat: Catalog, keys: DataFrame | None, columns: tuple[str, ...]) -> DataFrame:
+def arrest_rows(cat: Catalog, keys: DataFrame | None, columns: tuple[str, ...]) -> DataFrame:
     a = cat.table("arrests", columns=columns + ("agency_code", "inc_report_number"),
                   where=lambda d: d["inc_report_number"].isNotNull()
-                  & (d["inc_report_number"] != F.lit("")))
+                  & (d["inc_report_number"] != F.lit("")), nonblank=("inc_report_number",))
     rk = _report_keys(keys)
     return a if rk is None else semi(a, rk, REPORT_KEYS)
 
 
 # -- two-hop rollups ---------------------------------------------------------
 #
-# Cases and addresses hang off incidents through a bridge table.  Restricting
-# the bridge to the cohort is a semi join; restricting the second table
-# (``incident_cases``, ``addresses``) needs the bridge's restricted ids, whose
-# size the planner cannot know from file statistics.  The restricted bridge is
-# therefore materialized once per cohort, its row count observed by the write:
-# an id set within the broadcast budget is broadcast into a map-side semi join
-# of the second table (no exchange of that whole table), and a larger one
-# falls back to a shuffle join.
+# Cases, addresses and roles hang off incidents through a first table (bridge,
+# links, person rows).  Restricting that to the cohort is a map-side semi join.
+# A single report joins the second table to it directly: stored bucketed on the
+# join key, the second table is not exchanged.
+#
+# Several reports on one cohort (``report_set``) share the restricted first
+# table: it is materialized once, its bytes observed by the write, and an id set
+# within the broadcast budget also filters the second table map-side.
+
+_SHARED_HOPS: "weakref.WeakKeyDictionary[DataFrame, dict]" = weakref.WeakKeyDictionary()
 
-_FIRST_HOP: "weakref.WeakKeyDictionary[DataFrame, dict]" = weakref.WeakKeyDictionary()
+
+def share_first_hops(keys: DataFrame) -> None:
+    """From now on first hops of the cohort ``keys`` are materialized and shared."""
+    _SHARED_HOPS.setdefault(keys, {})
 
 
 def first_hop(keys: DataFrame, name: str, df: DataFrame,
               restrict=None) -> DataFrame:
-    """``df`` restricted to the cohort ``keys``, materialized once per cohort.
-
-    The table itself carries no broadcast hint: it is also the preserved side
-    of left joins, where a hint on it would only rule out broadcasting the
-    other side.  Use ``first_hop_ids`` for the hinted key sets.
-    """
-    memo = _FIRST_HOP.setdefault(keys, {})
+    """``df`` restricted to the cohort ``keys``; materialized once if they share hops."""
+    rows = restrict(df, keys) if restrict else _restrict(df, keys, "incident_id")
+    if keys not in _SHARED_HOPS:
+        return rows
+    memo = _SHARED_HOPS[keys]
     if name not in memo:
-        rows = restrict(df, keys) if restrict else _restrict(df, keys, "incident_id")
-        memo[name] = materialize_counted(rows)
+        memo[name] = materialize_sized(rows)
     return memo[name][0]
 
 
-def first_hop_ids(keys: DataFrame, name: str, *cols: str, distinct: bool = False) -> DataFrame:
-    """Columns of a materialized first hop, broadcast-hinted within the budget."""
-    table, n = _FIRST_HOP[keys][name]
-    ids = table.select(*cols)
-    return broadcast_if_bounded(ids.distinct() if distinct else ids, proof=n)
+def by_first_hop(df: DataFrame, keys: DataFrame | None, name: str, col: str) -> DataFrame:
+    """``df`` limited to the ids of a shared first hop that fits the budget; else ``df``."""
+    hop = _SHARED_HOPS.get(keys, {}).get(name) if keys is not None else None
+    if hop is None or not within_bound(hop[1].bytes):
+        return df
+    return semi(df, F.broadcast(hop[0].select(col)), col)
 
 
 def _bridge(cat: Catalog, keys: DataFrame | None) -> DataFrame:
@@ -98,11 +101,8 @@ def _bridge(cat: Catalog, keys: DataFrame | None) -> DataFrame:
 
 
 def _cases(cat: Catalog, keys: DataFrame | None, **kw) -> DataFrame:
-    """Case rows; for a cohort, only those its bridge rows reach (after ``_bridge``)."""
-    cases = cat.table("incident_cases", **kw)
-    if keys is None:
-        return cases
-    return semi(cases, first_hop_ids(keys, "cases", "inc_case_id"), "inc_case_id")
+    """Case rows; for a shared cohort, only those its bridge rows reach (after ``_bridge``)."""
+    return by_first_hop(cat.table("incident_cases", **kw), keys, "cases", "inc_case_id")
 
 
 def case_numbers(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
@@ -174,7 +174,7 @@ def occurrence_addresses(cat: Catalog, keys: DataFrame | None = None) -> DataFra
     addresses = cat.table("addresses")
     if keys is not None:
         ia = first_hop(keys, "addresses", ia)
-        addresses = semi(addresses, first_hop_ids(keys, "addresses", "address_id"), "address_id")
+        addresses = by_first_hop(addresses, keys, "addresses", "address_id")
     return (ia.join(addresses, "address_id")
             .groupBy("incident_id")
             .agg(ordered_set_text(occurrence_address(), DESC_SEP)
@@ -197,19 +197,19 @@ def per_incident(keys: DataFrame, report_rollup: DataFrame) -> DataFrame:
 
 def arrest_flags(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """(agency_code, inc_report_number) -> has_arrest = 1, one row per report."""
-    return (_arrests(cat, keys, ()).select(*REPORT_KEYS).distinct()
+    return (arrest_rows(cat, keys, ()).select(*REPORT_KEYS).distinct()
             .withColumn("has_arrest", F.lit(1)))
 
 
 def arrest_counts(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """(agency_code, inc_report_number) -> COUNT(DISTINCT arrest_id)."""
-    return (_arrests(cat, keys, ("arrest_id",)).groupBy(*REPORT_KEYS)
+    return (arrest_rows(cat, keys, ("arrest_id",)).groupBy(*REPORT_KEYS)
             .agg(F.countDistinct("arrest_id").alias("arrest_count")))
 
 
 def arrest_rollup(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """Report -> arrest count, ordered arrest numbers (duplicates kept), dates."""
-    a = _arrests(cat, keys, ("arrest_id", "arrest_num", "arrest_date"))
+    a = arrest_rows(cat, keys, ("arrest_id", "arrest_num", "arrest_date"))
     return a.groupBy(*REPORT_KEYS).agg(
         F.countDistinct("arrest_id").alias("arrest_count"),
         ordered_list_text("arrest_num", CODE_SEP).alias("arrest_numbers"),

@@ -29,16 +29,21 @@ itself one of the nine test conditions, so a row meeting it always passes:
   times the arrests with an id.
 
 Here ``n_roles`` and ``n_arrests`` count the NULL row of an empty side as one.
+
+None of the nine conditions looks at arrests, so person rows that cannot pass
+are dropped before the arrests are joined.  Each side is read once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blotter.functions.joins import semi
 from blotter.functions.text import any_of, upper_contains, upper_contains_any, upper_in
-from blotter.operators.rollups import first_hop, first_hop_ids
+from blotter.operators.rollups import arrest_rows, by_first_hop, first_hop
 from blotter.params import (
     OFFENDER_WORD,
     RELATION_CODE_FRAGMENTS,
@@ -56,13 +61,7 @@ def _with_incident(ip: DataFrame, inc: DataFrame) -> DataFrame:
 
 
 def _people(cat: Catalog, keys: DataFrame | None) -> DataFrame:
-    """Person rows with their incident's report number and agency.
-
-    For a cohort, the cohort's person rows are materialized once (counted),
-    so the role and arrest joins that hang off them are planned from their
-    true, usually small, size: roles are then filtered map-side by a broadcast
-    semi join instead of shuffling the whole role table.
-    """
+    """Person rows with their incident's report number and agency."""
     ip = cat.table("incident_people")
     if keys is None:
         inc = cat.table("incidents").select(
@@ -73,10 +72,8 @@ def _people(cat: Catalog, keys: DataFrame | None) -> DataFrame:
         df, k.select("incident_id", "inc_report_number", "agency_code")))
 
 
-def _role_counts(cat: Catalog, per_ids: DataFrame | None) -> DataFrame:
-    roles = cat.table("incident_person_roles")
-    if per_ids is not None:
-        roles = semi(roles, per_ids, "inc_per_id")
+def _role_counts(cat: Catalog, keys: DataFrame | None) -> DataFrame:
+    roles = by_first_hop(cat.table("incident_person_roles"), keys, "people", "inc_per_id")
     rc = cat.lookup("role_codes").withColumnRenamed("role_type", "rc_role_type")
     rows = roles.join(rc, roles["role_type"] == rc["rc_role_type"], "left")
     is_type = upper_in("role_type", SUSPECT_ROLE_TYPES)
@@ -89,14 +86,8 @@ def _role_counts(cat: Catalog, per_ids: DataFrame | None) -> DataFrame:
 
 
 def _arrest_counts(cat: Catalog, keys: DataFrame | None) -> DataFrame:
-    a = cat.table("arrests", columns=("arrest_id", "agency_code", "inc_report_number",
-                                      "person_id"))
-    a = a.filter(F.col("inc_report_number").isNotNull() & F.col("agency_code").isNotNull()
-                 & F.col("person_id").isNotNull())
-    if keys is not None:
-        rk = keys.filter(F.col("inc_report_number").isNotNull()).select(
-            "agency_code", "inc_report_number")
-        a = semi(a, rk, ["agency_code", "inc_report_number"])
+    a = arrest_rows(cat, keys, ("arrest_id", "person_id")).filter(
+        F.col("agency_code").isNotNull() & F.col("person_id").isNotNull())
     return a.groupBy(F.col("inc_report_number").alias("a_report"),
                      F.col("agency_code").alias("a_agency"),
                      F.col("person_id").alias("a_person")).agg(
@@ -105,35 +96,21 @@ def _arrest_counts(cat: Catalog, keys: DataFrame | None) -> DataFrame:
 
 
 def person_rows(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
-    """One row per (person row x relation code row) with its fan-out arithmetic.
-
-    The matching arrests of a person row depend on (report, agency, person id).
-    They are found by an *inner* join of the distinct person keys with the
-    pre-aggregated arrests (NULL keys drop out before its exchange), then
-    attached back on (inc_per_id, report, agency, person id): ``inc_per_id``
-    in that key spreads the rows evenly even when one report number or person
-    id (or NULL) covers a large share of them.  Role counts attach on
-    ``inc_per_id`` as the role table is keyed by it.
+    """One row per passing (person row x relation code row) with its fan-out arithmetic.
+
+    Role counts attach on ``inc_per_id``.  Rows that pass then meet the
+    pre-aggregated arrests on (report, agency, person id).  Rows with a NULL among
+    these never match; their report number is replaced by a text of their own
+    that no report has, so they spread over all tasks instead of piling up in
+    one.  A hot report or person is split by AQE.
     """
     base = _people(cat, keys)
-    person_key = ["inc_per_id", "inc_report_number", "agency_code", "per_person_id"]
-    arrests = _arrest_counts(cat, keys)
-    if keys is None:
-        cand, per_ids = base.select(*person_key).distinct(), None
-    else:  # hinted key sets of the materialized cohort person rows
-        cand = first_hop_ids(keys, "people", *person_key, distinct=True)
-        per_ids = first_hop_ids(keys, "people", "inc_per_id")
-    matched = cand.join(arrests, (cand["inc_report_number"] == arrests["a_report"])
-                        & (cand["agency_code"] == arrests["a_agency"])
-                        & (cand["per_person_id"] == arrests["a_person"])).select(
-        *person_key, "n_arrest_rows", "n_arrest_ids")
     rel = cat.lookup("ejs_codes").select(
         F.col("code_type").alias("rel_type"), F.col("code").alias("rel_code"),
         F.col("description").alias("rel_desc"))
     people = base.join(rel, (base["relation_code_type"] == rel["rel_type"])
                        & (base["reltn_relation_code"] == rel["rel_code"]), "left")
-    people = (people.join(_role_counts(cat, per_ids), "inc_per_id", "left")
-              .join(matched, person_key, "left"))
+    people = people.join(_role_counts(cat, keys), "inc_per_id", "left")
 
     code = F.col("reltn_relation_code")
     desc_suspect = upper_contains("rel_desc", SUSPECT_WORD)
@@ -144,26 +121,42 @@ def person_rows(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     person_hit = desc_suspect | desc_offender | code_hit | suspus
 
     n_roles = F.greatest(F.coalesce(F.col("n_roles"), F.lit(0)), F.lit(1))
+    n_pass = F.when(person_hit, n_roles).otherwise(F.coalesce(F.col("n_role_pass"), F.lit(0)))
+    person = ("inc_report_number", "agency_code", "per_person_id")
+    whole = reduce(and_, [F.col(c).isNotNull() for c in person])
+    passing = people.select(
+        "incident_id", "inc_per_id", "agency_code", "per_person_id",
+        F.when(whole, F.col("inc_report_number")).otherwise(
+            F.concat(F.lit("\u0000"), F.coalesce(F.col("inc_per_id").cast("string"), F.lit("")),
+                     F.lit("/"), F.coalesce(F.col("incident_id").cast("string"), F.lit(""))))
+        .alias("report_key"),
+        n_pass.alias("n_pass"), n_roles.alias("n_roles"),
+        F.coalesce(F.col("n_role_type"), F.lit(0)).alias("n_role_type"),
+        F.coalesce(F.col("n_role_word"), F.lit(0)).alias("n_role_word"),
+        desc_suspect.alias("desc_suspect"), desc_offender.alias("desc_offender"),
+        suspus.alias("suspus"), code_hit.alias("code_hit")).filter(F.col("n_pass") > 0)
+    arrests = _arrest_counts(cat, keys)
+    rows = passing.join(arrests, (passing["report_key"] == arrests["a_report"])
+                        & (passing["agency_code"] == arrests["a_agency"])
+                        & (passing["per_person_id"] == arrests["a_person"]), "left")
+    n_pass, n_roles = F.col("n_pass"), F.col("n_roles")
     arrest_rows = F.coalesce(F.col("n_arrest_rows"), F.lit(0))
     arrest_ids = F.coalesce(F.col("n_arrest_ids"), F.lit(0))
     n_arrests = F.greatest(arrest_rows, F.lit(1))
-    n_pass = F.when(person_hit, n_roles).otherwise(F.coalesce(F.col("n_role_pass"), F.lit(0)))
 
-    def rows_if(cond: Column) -> Column:
-        return F.when(cond, n_roles * n_arrests).otherwise(F.lit(0))
+    def rows_if(name: str) -> Column:
+        return F.when(F.col(name), n_roles * n_arrests).otherwise(F.lit(0))
 
-    return people.select(
+    return rows.select(
         F.col("incident_id"), F.col("inc_per_id"),
-        n_pass.alias("pass_roles"),
-        (n_pass > 0).alias("passes"),
         # some passing row has a NULL arrest side: no arrest, or one without id
-        ((n_pass > 0) & ((arrest_rows == 0) | (arrest_rows > arrest_ids))).alias("is_suspect"),
-        (F.coalesce(F.col("n_role_type"), F.lit(0)) * n_arrests).alias("role_type_rows"),
-        (F.coalesce(F.col("n_role_word"), F.lit(0)) * n_arrests).alias("role_desc_rows"),
-        rows_if(desc_suspect).alias("suspect_rows"),
-        rows_if(desc_offender).alias("offender_rows"),
-        rows_if(suspus).alias("suspus_rows"),
-        rows_if(code_hit).alias("relation_code_rows"),
+        ((arrest_rows == 0) | (arrest_rows > arrest_ids)).alias("is_suspect"),
+        (F.col("n_role_type") * n_arrests).alias("role_type_rows"),
+        (F.col("n_role_word") * n_arrests).alias("role_desc_rows"),
+        rows_if("desc_suspect").alias("suspect_rows"),
+        rows_if("desc_offender").alias("offender_rows"),
+        rows_if("suspus").alias("suspus_rows"),
+        rows_if("code_hit").alias("relation_code_rows"),
         (n_pass * arrest_ids).alias("excluded_rows"))
 
 
@@ -182,7 +175,7 @@ def suspect_evidence(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
 
     Incidents with at least one passing row appear (suspect_count may be 0).
     """
-    rows = person_rows(cat, keys).filter(F.col("passes"))
+    rows = person_rows(cat, keys)
     s = lambda c: F.sum(F.col(c).cast("long"))
     return rows.groupBy("incident_id").agg(
         F.countDistinct(F.when(F.col("is_suspect"), F.col("inc_per_id"))).alias("suspect_count"),

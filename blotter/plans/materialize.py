@@ -10,9 +10,11 @@ written once, as a parquet table in the cluster's shared folder named by
 * the planner sizes the re-read table from its real file size.  (A
   ``Dataset.checkpoint()`` would keep the *estimate* of the plan that produced
   it, which is the size of the whole scanned table, so a small cohort would
-  never be broadcast.)  With the true size, a small cohort, or a small set of
-  ids derived from it, is broadcast into the rollups' semi joins, and a large
-  one is shuffled.
+  never be broadcast.)
+
+The folder must be shared: with a non-local master an unset
+``spark.checkpoint.dir`` is an error, and the re-read row count must equal the
+written one.
 """
 
 from __future__ import annotations
@@ -22,44 +24,110 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from blotter.functions.joins import row_bytes
+
+
+class Size(NamedTuple):
+    rows: int
+    bytes: int
+
+
+class IncompleteWrite(RuntimeError):
+    """A written intermediate does not read back as a whole."""
+
+
+_RUN_FOLDER: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (``local`` or ``local[n]``)."""
+    return spark.conf.get("spark.master", "").split("[")[0] == "local"
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``.
 
-def _checkpoint_dir(spark: SparkSession) -> str:
+    Unset, a local session (tests) gets a temporary one, removed at exit; on a
+    cluster that would be a machine-local folder, so there it is an error.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        # Unset only in local tests; clusters name a shared directory.  A folder
-        # this process created itself is also removed by it at exit.
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="blotter-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         atexit.register(shutil.rmtree, d, True)
         spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Shared scratch folder: the checkpoint directory (set only when unset)."""
-    return _checkpoint_dir(spark)
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def new_run_folder(spark: SparkSession) -> str:
+    app = spark.conf.get("spark.app.id", None) or "app"
+    return "/".join([scratch_dir(spark).rstrip("/"), "materialized", app, f"run-{uuid.uuid4().hex}"])
+
 
+@contextmanager
+def writing_to(folder: str) -> Iterator[None]:
+    """Tables materialized inside go to ``folder``, whose owner drops it."""
+    token = _RUN_FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _RUN_FOLDER.reset(token)
 
-def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """Write ``df`` as parquet under the shared folder now.
 
-    Returns the re-read table and its row count.  The count is observed by the
-    write job itself (``DataFrame.observe``), so size-based join choices cost
-    no extra job.
+def _write(df: DataFrame, measure: Column, rebalance: bool, verify: bool | None) -> tuple[DataFrame, Size]:
+    """Write ``df`` as parquet under the shared folder now, and read it back.
+
+    Row count and ``measure`` are observed by the write job itself
+    (``DataFrame.observe``), so they cost no extra job.  ``rebalance`` evens out the files (a map-side join would leave one per scan
+    task; rows that end in a shuffle need it not).  ``verify`` compares the re-read row count with the written one; by
+    default where the folder could be machine-local, i.e. on any cluster.
     """
     spark = df.sparkSession
-    # One folder per application, so a finished run's tables can be dropped together.
-    app = spark.conf.get("spark.app.id", None) or "app"
-    path = "/".join([scratch_dir(spark).rstrip("/"), "materialized", app, uuid.uuid4().hex])
+    folder = _RUN_FOLDER.get()
+    if folder is None:
+        # One folder per application, so a finished run's tables can be dropped together.
+        app = spark.conf.get("spark.app.id", None) or "app"
+        folder = "/".join([scratch_dir(spark).rstrip("/"), "materialized", app])
+    path = f"{folder}/{uuid.uuid4().hex}"
+    out = df.hint("rebalance") if rebalance else df
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    out.observe(seen, F.count(F.lit(1)).alias("rows"),
+                F.coalesce(F.sum(measure), F.lit(0)).alias("bytes")).write.parquet(path)
+    size = Size(int(seen.get["rows"]), int(seen.get["bytes"]))
     # The schema is known: reading with it skips the footer-reading inference job.
-    return spark.read.schema(df.schema).parquet(path), int(seen.get["rows"])
+    again = spark.read.schema(df.schema).parquet(path)
+    if not is_local(spark) if verify is None else verify:
+        check_rows(again, size.rows, path)
+    return again, size
+
+
+def check_rows(df: DataFrame, rows: int, path: str) -> None:
+    found = df.count()
+    if found != rows:
+        raise IncompleteWrite(f"{path}: {rows} rows were written, {found} are read; is the folder shared?")
+
+
+def materialize_sized(df: DataFrame, *, rebalance: bool = True,
+                      verify: bool | None = None) -> tuple[DataFrame, Size]:
+    """The re-read table and its size in rows and bytes."""
+    return _write(df, row_bytes(df.schema), rebalance, verify)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``materialize_counted`` without the count."""
-    return materialize_counted(df)[0]
+def materialize(df: DataFrame, *, rebalance: bool = True, verify: bool | None = None) -> DataFrame:
+    """The re-read table."""
+    return _write(df, F.lit(0), rebalance, verify)[0]

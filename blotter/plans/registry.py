@@ -3,7 +3,7 @@
 The test tables under ``sf_dir`` are TPC-H style; the 16 input relations are
 derived from them by Spark and written once as parquet
 (``blotter.sources.fixtures``), so every query reads its whole input and its
-work grows with the scale factor.  Catalogs are cached per session and
+work grows with the scale factor.  Catalogs are cached per application and
 directory so the derivation and the lookup-size checks run once.
 """
 
@@ -23,12 +23,12 @@ from blotter.params import Params
 from blotter.sources.catalog import Catalog
 from blotter.sources.fixtures import fixture_catalog
 
-_CATALOGS: dict[tuple[int, str], Catalog] = {}
+_CATALOGS: dict[tuple[str, str], Catalog] = {}
 _LOCK = threading.Lock()
 
 
 def catalog_for(spark: SparkSession, sf_dir: str) -> Catalog:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     with _LOCK:  # one writer of the derived relations per session and directory
         if key not in _CATALOGS:
             _CATALOGS[key] = fixture_catalog(spark, sf_dir)

@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-from blotter.plans.materialize import _checkpoint_dir
+from blotter.plans.materialize import scratch_dir
 
 CONF = {
     # Runtime re-planning: coalesce small shuffle partitions, split skewed
@@ -28,9 +28,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         b = b.master(master)
     conf = dict(CONF)
-    # Catalog metadata of the (external) fixture tables; keeps the working
-    # directory clean.  On a cluster the deployment's warehouse applies.
-    conf["spark.sql.warehouse.dir"] = os.path.join(tempfile.gettempdir(), "blotter-warehouse")
+    if (master or "").split("[")[0] == "local":
+        # Catalog metadata of the (external) fixture tables; keeps the working
+        # directory clean.  On a cluster the deployment's warehouse applies.
+        conf["spark.sql.warehouse.dir"] = os.path.join(tempfile.gettempdir(), "blotter-warehouse")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -44,6 +45,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a scratch one only when unset (tests)."""
-    d = _checkpoint_dir(spark)
+    d = scratch_dir(spark)
     spark.sparkContext.setCheckpointDir(d)
     return d

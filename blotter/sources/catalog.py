@@ -23,19 +23,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from blotter.functions.joins import measured_bytes
 from blotter.sources.schemas import LOOKUPS, SCHEMAS
 
-# Largest lookup table we broadcast.  The code tables are dimension lists
-# (hundreds of rows in practice); the bound is checked per table, and a table
-# beyond it is joined by a normal shuffle join instead.
-BROADCAST_MAX_ROWS = 200_000
+# Largest lookup table we broadcast, in bytes of its rows.  The code tables are
+# dimension lists (a few KB in practice); the bound is checked per table, and a
+# table beyond it is joined by a normal shuffle join instead.
+BROADCAST_MAX_BYTES = 16 * 1024 * 1024
 
 
 class Catalog:
     """Holds the raw inputs; hands out pruned, typed, blank-normalized views."""
 
     def __init__(self, tables: Mapping[str, DataFrame], *,
-                 broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> None:
+                 broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> None:
         missing = [n for n in SCHEMAS if n not in tables]
         if missing:
             raise KeyError(f"catalog lacks relations: {missing}")
@@ -45,7 +46,7 @@ class Catalog:
             if lack:
                 raise KeyError(f"relation {name} lacks columns {lack}")
         self._raw = dict(tables)
-        self._broadcast_max_rows = broadcast_max_rows
+        self._broadcast_max_bytes = broadcast_max_bytes
         self._small: dict[str, bool] = {}
 
     # -- constructors -----------------------------------------------------
@@ -70,34 +71,38 @@ class Catalog:
         return self._raw[name]
 
     def table(self, name: str, where: Column | Callable[[DataFrame], Column] | None = None,
-              columns: tuple[str, ...] | None = None) -> DataFrame:
-        """Typed, blank-normalized relation; ``where`` runs on raw columns."""
+              columns: tuple[str, ...] | None = None, nonblank: tuple[str, ...] = ()) -> DataFrame:
+        """Typed, blank-normalized relation; ``where`` runs on raw columns.
+
+        ``nonblank`` columns, which ``where`` already keeps from being blank, are passed
+        on as they are, so storage bucketed on them stays usable.
+        """
         schema = SCHEMAS[name]
         df = self._raw[name]
         fields = [f for f in schema.fields if columns is None or f.name in columns]
         typed = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
         if where is not None:
             typed = typed.filter(where(typed) if callable(where) else where)
-        return typed.select([_blank_to_null(f.name) if isinstance(f.dataType, StringType)
+        return typed.select([_blank_to_null(f.name)
+                             if isinstance(f.dataType, StringType) and f.name not in nonblank
                              else F.col(f.name) for f in fields])
 
     def lookup(self, name: str) -> DataFrame:
-        """A code table, broadcast-hinted only when its row count is bounded."""
+        """A code table, broadcast-hinted only when its bytes are bounded."""
         if name not in LOOKUPS:
             raise KeyError(f"{name} is not a lookup relation")
         return self.bounded(name, self.table(name))
 
     def bounded(self, key: str, df: DataFrame) -> DataFrame:
-        """``broadcast(df)`` if ``df`` has at most the bound of rows, else ``df``.
+        """``broadcast(df)`` if ``df``'s rows have at most the bound of bytes, else ``df``.
 
-        The check is one small job (it stops reading at bound + 1 rows) run once
-        per key and catalog.  Beyond the bound the join stays a shuffle join,
+        The check is one small job (an aggregate over real string lengths) run
+        once per key and catalog.  Beyond the bound the join stays a shuffle join,
         which adaptive execution may still turn into a broadcast from runtime
         statistics.
         """
         if key not in self._small:
-            n = df.limit(self._broadcast_max_rows + 1).count()
-            self._small[key] = n <= self._broadcast_max_rows
+            self._small[key] = measured_bytes(df) <= self._broadcast_max_bytes
         return F.broadcast(df) if self._small[key] else df
 
 

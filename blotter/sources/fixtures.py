@@ -228,29 +228,29 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 # Bump when the derivation or the layout changes, so a written copy is never
 # reused stale.
-FIXTURE_VERSION = "v4"
+FIXTURE_VERSION = "v5"
 
 # Storage layout of the written relations.
 #
 # * The incident-keyed relations, incidents included (and the ones keyed by
-#   case, person row and address), are *bucketed* on that key into BUCKETS
-#   buckets, as external tables in the shared folder.  Aggregations and joins
+#   case, person row, address and, for arrests, report), are *bucketed* on that
+#   key, as external tables in the shared folder.  The number of buckets follows
+#   from the input's bytes (``bucket_count``).  Aggregations and joins
 #   on the bucket key then need no exchange: the rollups group by incident id
 #   straight off the scan, and incidents join the other tables co-located.
 # * Within each bucket, incidents are sorted by report date, so every row
 #   group covers a date range that the cohort's year filter skips by min/max
 #   statistics.
-# * Arrests are hash-clustered by report number; the code tables are one file.
-BUCKETS = 8
-_RANGE: dict[str, tuple[str, ...]] = {}
+# * The code tables are one file.
+BUCKET_BYTES = 128 * 1024 * 1024
+LEAST_BUCKETS, MOST_BUCKETS = 8, 16384
 _BUCKET = {
-    "incidents": "incident_id", "offenses": "inc_incident_id", "incident_people": "inc_incident_id",
-    "incident_properties": "incsup_incident_id", "incident_vehicles": "incident_id",
-    "incident_addresses": "incident_id", "inc_case_inc_status_vw": "incident_id",
-    "incident_person_roles": "inc_per_id", "incident_cases": "inc_case_id",
-    "addresses": "address_id",
+    "incidents": ("incident_id",), "offenses": ("inc_incident_id",), "incident_people": ("inc_incident_id",),
+    "incident_properties": ("incsup_incident_id",), "incident_vehicles": ("incident_id",),
+    "incident_addresses": ("incident_id",), "inc_case_inc_status_vw": ("incident_id",),
+    "incident_person_roles": ("inc_per_id",), "incident_cases": ("inc_case_id",),
+    "addresses": ("address_id",), "arrests": ("inc_report_number",),
 }
-_CLUSTER = {"arrests": "inc_report_number"}
 # Sort order within buckets, where it is not the bucket key itself.
 _BUCKET_SORT = {"incidents": ("report_date", "incident_id")}
 
@@ -260,45 +260,46 @@ def _table_name(out_dir: str, name: str) -> str:
     return f"blotter_{tag}_{name}"
 
 
-def write_fixtures(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
+def bucket_count(spark: SparkSession, sf_dir: str) -> int:
+    """A power of two that keeps buckets of the largest input at about ``BUCKET_BYTES``."""
+    plan = spark.read.parquet(f"{sf_dir}/lineitem.parquet")._jdf.queryExecution().optimizedPlan()
+    n_bytes = int(str(plan.stats().sizeInBytes()))
+    n = 1 << max(0, -(-n_bytes // BUCKET_BYTES) - 1).bit_length()
+    return min(max(n, LEAST_BUCKETS), MOST_BUCKETS)
+
+
+def write_fixtures(spark: SparkSession, sf_dir: str, out_dir: str, buckets: int) -> str:
     """Derive the 16 relations and write them as parquet under ``out_dir``."""
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
     for name, df in derive(spark, sf_dir).items():
         path = out_dir.rstrip("/") + "/" + name
         if name in _BUCKET:
             key = _BUCKET[name]
             (df.write.mode("overwrite").option("path", path)
-             .bucketBy(BUCKETS, key).sortBy(*_BUCKET_SORT.get(name, (key,)))
+             .bucketBy(buckets, *key).sortBy(*_BUCKET_SORT.get(name, key))
              .saveAsTable(_table_name(out_dir, name)))
             continue
-        if name in _RANGE:
-            df = df.repartitionByRange(n, *_RANGE[name]).sortWithinPartitions(*_RANGE[name])
-        elif name in _CLUSTER:
-            df = df.repartition(n, _CLUSTER[name])
-        else:
-            df = df.coalesce(1)
-        df.write.mode("overwrite").parquet(path)
+        df.coalesce(1).write.mode("overwrite").parquet(path)
     return out_dir
 
 
-def fixture_dir(spark: SparkSession, sf_dir: str) -> str:
+def fixture_dir(spark: SparkSession, sf_dir: str, buckets: int) -> str:
     tag = sf_dir.rstrip("/").split("://")[-1].strip("/").replace("/", "_")
     return "/".join([scratch_dir(spark).rstrip("/"), "fixtures",
-                     f"{FIXTURE_VERSION}-b{BUCKETS}", tag])
+                     f"{FIXTURE_VERSION}-b{buckets}", tag])
 
 
-def _bucketed(spark: SparkSession, out: str, name: str) -> DataFrame:
+def _bucketed(spark: SparkSession, out: str, name: str, buckets: int) -> DataFrame:
     """Register a written bucketed relation in this session's catalog; read it."""
     path = out + "/" + name
     table = _table_name(out, name)
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                      for f in spark.read.parquet(path).schema.fields)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet "
-              f"CLUSTERED BY ({_BUCKET[name]}) INTO {BUCKETS} BUCKETS LOCATION '{path}'")
+              f"CLUSTERED BY ({', '.join(_BUCKET[name])}) INTO {buckets} BUCKETS LOCATION '{path}'")
     return spark.table(table)
 
 
-def _written(spark: SparkSession, out: str) -> dict[str, DataFrame] | None:
+def _written(spark: SparkSession, out: str, buckets: int) -> dict[str, DataFrame] | None:
     """The written relations, or None if any is missing (e.g. an interrupted run).
 
     A parquet directory only becomes readable once its write job committed, so
@@ -306,20 +307,20 @@ def _written(spark: SparkSession, out: str) -> dict[str, DataFrame] | None:
     file system the cluster uses.
     """
     try:
-        return {n: _bucketed(spark, out, n) if n in _BUCKET
+        return {n: _bucketed(spark, out, n, buckets) if n in _BUCKET
                 else spark.read.parquet(out + "/" + n) for n in RELATIONS}
     except AnalysisException:
         return None
 
 
-def _published(spark: SparkSession, base: str) -> dict[str, DataFrame] | None:
+def _published(spark: SparkSession, base: str, buckets: int) -> dict[str, DataFrame] | None:
     """Relations of a complete, published fixture set under ``base``, if any."""
     try:
         paths = sorted(r[0] for r in spark.read.parquet(base + "/_published").collect())
     except AnalysisException:
         return None
     for path in paths:
-        tables = _written(spark, path)
+        tables = _written(spark, path, buckets)
         if tables is not None:
             return tables
     return None
@@ -339,12 +340,13 @@ def fixture_catalog(spark: SparkSession, sf_dir: str, *, lazy: bool = False, **k
     """
     if lazy:
         return Catalog(derive(spark, sf_dir), **kw)
-    base = fixture_dir(spark, sf_dir)
-    tables = _published(spark, base)
+    buckets = bucket_count(spark, sf_dir)
+    base = fixture_dir(spark, sf_dir, buckets)
+    tables = _published(spark, base, buckets)
     if tables is None:
         out = base + "/" + uuid.uuid4().hex
-        write_fixtures(spark, sf_dir, out)
+        write_fixtures(spark, sf_dir, out, buckets)
         spark.range(1).select(F.lit(out).alias("path")) \
             .write.mode("append").parquet(base + "/_published")
-        tables = _written(spark, out)
+        tables = _written(spark, out, buckets)
     return Catalog(tables, **kw)

@@ -3,17 +3,18 @@
 import pytest
 
 import __spark_entry__ as entry
+from blotter.plans.registry import QUERIES
 from conftest import SF_MID, SF_SMALL
 from oracle_check import compare, duck_connect
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 # Multi-incident reports (MAX grain) first occur at sf0.01.
 MID = ["metrics_summary", "report_metrics", "proof_avg_suspects",
        "proof_closed_by_other_means", "proof_reports_with_arrest"]
 
 
 def test_every_query_has_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(NAMES) <= set(entry.queries()) & set(entry.oracle_sql())
     assert len(NAMES) == 30
 
 
@@ -50,14 +51,34 @@ def test_entry_smoke(spark):
     assert rows[0]["report_year"] == 1998 and rows[0]["total_reports"] == 80
 
 
-LARGE_PATH = ["cohort_described", "cohort_inclusive", "metrics_summary", "proof_avg_suspects",
-              "proof_open_reports", "proof_total_reports_inclusive"]
+COHORT_KEYS = [n for n in NAMES if n.startswith(("cohort_", "proof_")) or n in (
+    "incident_metrics", "report_metrics", "metrics_summary", "vehicle_links")]
 
 
-@pytest.mark.parametrize("name", LARGE_PATH)
-def test_large_cohort_strategy_matches_oracle(spark, duck_mid, monkeypatch, name):
-    """Budget 0 forces the shuffle strategies (no cohort broadcast anywhere)."""
+@pytest.fixture
+def no_broadcast(spark, monkeypatch):
+    """Budget 0, lookup bound 0 and no automatic broadcasts: every join is a shuffle join."""
     import blotter.functions.joins as joins
+    from blotter.plans.registry import catalog_for
+    from blotter.sources.catalog import Catalog
     monkeypatch.setattr(joins, "COHORT_BROADCAST_MAX_BYTES", 0)
-    ok, msg = compare(entry.queries()[name](spark, SF_MID), duck_mid, entry.oracle_sql()[name])
+    thresholds = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in thresholds}
+    for k in thresholds:
+        spark.conf.set(k, "-1")
+    cat = catalog_for(spark, SF_MID)
+    yield Catalog(cat._raw, broadcast_max_bytes=0)
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", COHORT_KEYS)
+def test_shuffle_joins_match_oracle(spark, duck_mid, no_broadcast, monkeypatch, name):
+    import blotter.plans.registry as registry
+    from blotter.plans.inspect import plan_text
+    assert len(COHORT_KEYS) == 16
+    monkeypatch.setattr(registry, "catalog_for", lambda *_: no_broadcast)
+    df = QUERIES[name](spark, SF_MID)
+    assert "BroadcastHashJoin" not in plan_text(df, "simple")
+    ok, msg = compare(df, duck_mid, entry.oracle_sql()[name])
     assert ok, msg

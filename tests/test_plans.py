@@ -1,5 +1,6 @@
 """Plan shape checks and KPI/proof reconciliation (§5 item 3)."""
 
+import pytest
 from conftest import SF_MID
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from blotter.operators import proofs as pr
 from blotter.params import Params
 from blotter.plans.inspect import operators, plan_text, pushed_filters
 from blotter.plans.registry import catalog_for
+from blotter.sources.catalog import Catalog
+from blotter.sources.schemas import RELATIONS
 
 P = Params()
 
@@ -70,11 +73,12 @@ def test_inclusive_without_extra_codes_equals_described(spark):
 
 
 def test_two_hop_tables_filtered_map_side(spark):
-    """incident_cases and person roles are semi-joined to the cohort's first hop
-    by a broadcast (the first hop is materialized, so its real size is known)."""
+    """In a report set, incident_cases and person roles are semi-joined to the cohort's
+    shared first hop by a broadcast (materialized, so its real size is known)."""
+    from blotter.operators.reports import report_set
     cat = catalog_for(spark, SF_MID)
-    text = plan_text(pr.proof_avg_suspects(cat, P), "simple") + plan_text(
-        pr.proof_open_reports(cat, P), "simple")
+    with report_set(cat, P) as out:
+        text = plan_text(out["proof_avg_suspects"], "simple") + plan_text(out["proof_open_reports"], "simple")
     semis = [l for l in text.splitlines() if "LeftSemi" in l]
     assert semis and all("BroadcastHashJoin" in l for l in semis), semis
 
@@ -83,8 +87,48 @@ def test_bucketed_rollups_need_no_exchange(spark):
     """Incident-keyed rollups group straight off the bucketed scan."""
     from blotter.operators import rollups as ro
     cat = catalog_for(spark, SF_MID)
-    for fn in (ro.property_loss, ro.vehicle_counts):
+    for fn in (ro.property_loss, ro.vehicle_counts, ro.arrest_flags, ro.arrest_counts, ro.arrest_rollup):
         df = fn(cat)
         df.collect()
         final = plan_text(df, "simple").split("== Initial Plan ==")[0]
         assert "Exchange" not in final, fn.__name__
+
+
+def test_suspects_read_people_once(spark):
+    import re
+
+    from blotter.operators import suspects as su
+    cat = catalog_for(spark, SF_MID)
+    for fn in (su.suspect_counts, su.suspect_evidence):
+        df = fn(cat)
+        df.collect()
+        final = plan_text(df, "simple").split("== Initial Plan ==")[0]
+        assert len(re.findall(r"FileScan parquet \S*incident_people\b", final)) == 1, fn.__name__
+        assert len(re.findall(r"\bExchange (?:hash|range|Single)", final)) <= 5, fn.__name__
+
+
+ORDER = {
+    "proof_total_reports": ("report_date", "report_number", "incident_id", "offense_code"),
+    "proof_total_reports_inclusive": ("report_date", "report_number", "incident_id", "offense_code"),
+    "proof_total_vehicles_linked": ("report_date", "report_number", "vehicle_id"),
+    **{n: ("report_date", "report_number") for n in (
+        "proof_reports_with_arrest", "proof_open_reports", "proof_closed_by_other_means",
+        "proof_summed_loss_value", "proof_avg_suspects", "proof_reports_with_vehicle_info")},
+}
+
+
+@pytest.mark.parametrize("name", sorted(ORDER))
+def test_proof_order(spark, name):
+    """Documented sort keys, ascending, NULLs last; dates made to tie, some reports and vehicles NULL."""
+    cat = catalog_for(spark, SF_MID)
+    raw = {n: cat.raw(n) for n in RELATIONS}
+    inc = raw["incidents"]
+    raw["incidents"] = inc.withColumns({
+        "report_date": F.date_trunc("year", "report_date").cast("timestamp_ntz"),
+        "inc_report_number": F.when(F.col("incident_id") % 5 != 0, F.col("inc_report_number"))})
+    rows = getattr(pr, name)(Catalog(raw), P).collect()
+    keys = [tuple((r[c] is None, "" if r[c] is None else r[c]) for c in ORDER[name]) for r in rows]
+    assert keys == sorted(keys)
+    assert len(keys) > 3 and len({k[0] for k in keys}) < len(keys)
+    if name not in ("proof_reports_with_arrest",):  # which needs a report number
+        assert any(k[1][0] for k in keys)
