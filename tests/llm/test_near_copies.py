@@ -85,7 +85,7 @@ def vectors():
     return table + [table[4], (None, out[2], 7)]
 
 
-@pytest.mark.parametrize("cell,chunk", [(4096, 2048), (20, 7)])
+@pytest.mark.parametrize("cell,chunk", [(8192, 8192), (20, 7)])
 def test_embeddings(spark, monkeypatch, cell, chunk):
     monkeypatch.setattr(embedding_join, "CELL", cell)
     table = vectors()
