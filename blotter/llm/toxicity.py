@@ -9,8 +9,8 @@ Only documents carry labels, so token labels come from them:
 2. A token of a toxic training row is labelled toxic if one of its features is
    nearly always in toxic rows.  The CRF (two states, features of the current
    word, transitions) is fitted by gradient ascent on the conditional
-   likelihood of a bounded sample (``SAMPLE`` rows of each class, texts of at
-   most ``SAMPLE_CHARS``).
+   likelihood of a bounded sample (about ``SAMPLE`` rows of each class, chosen by a
+   hash of their text, of at most ``SAMPLE_CHARS``).
 3. Every text is tagged whole: forward-backward gives each token's marginal;
    their largest value and sum go through a logistic fit (same sample,
    weighted to the class shares of all training rows) to the document score;
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructType
 
-from blotter.llm.common import expand_rows, field, map_rows, pick, raw, with_row
+from blotter.llm.common import cut, expand_rows, field, map_rows, pick, raw, with_row
 from blotter.llm.decontaminate import WORD_BYTES
 
 FEATURES = 20_000
@@ -49,6 +49,8 @@ SAMPLE_CHARS = 8_000
 PREFIXES = (4, 5, 6)
 #: A feature marks a token as toxic if so many of its documents are toxic, and by such a margin.
 SHARE, MARGIN, LEAST_DOCS = 0.9, 6.0, 5
+#: Most ranks of z-scores (in sixteenths).
+RANKS = 16_000
 BLOCK = 64
 REMEMBERED = 1_000_000
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -244,11 +246,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int =
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> dict:
-    """The model: CRF and logistic weights.  Reads all labelled training rows; brings to the
-    driver at most ``FEATURES`` counts and ``2 * SAMPLE`` texts of ``SAMPLE_CHARS``."""
+    """The model: CRF and logistic weights.  Reads all labelled training rows, which are
+    written once; brings to the driver at most ``FEATURES`` counts and about
+    ``2 * SAMPLE`` texts of at most ``SAMPLE_CHARS``."""
     known = (pick(labels, id=id_col, y=label_col).where("id IS NOT NULL AND y IS NOT NULL")
              .where(~held_out(F.col("id"))).groupBy("id").agg((F.max("y") > 0).cast("int").alias("y")))
-    rows = pick(docs, id=id_col, text=text_col).where("text IS NOT NULL").join(known, "id").select("id", "text", "y")
+    texts = pick(docs, id=id_col, text=text_col).where("text IS NOT NULL").where(~held_out(F.col("id")))
+    rows = cut(texts.join(known, "id").select("id", "text", "y"))
 
     def make():
         def compute(batch):
@@ -271,16 +275,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not 0 < n_tox < n_all:
         return {"share": share}
     z = (F.col("n_tox") - F.col("n_all") * share) / F.sqrt(F.col("n_all") * (share * (1 - share)))
-    top = (expand_rows(rows, counted, "text", make).groupBy("feature")
-           .agg(F.sum("n_all").alias("n_all"), F.sum("n_tox").alias("n_tox"))
-           .where(F.col("n_all") >= LEAST_DOCS)
-           .orderBy(F.abs(z).desc(), "feature").limit(FEATURES).collect())
-    stats = {bytes(r.feature): (r.n_all, r.n_tox) for r in top}
-    short = rows.where(F.length("text") <= SAMPLE_CHARS)
+    counts = cut(expand_rows(rows, counted, "text", make).groupBy("feature")
+                 .agg(F.sum("n_all").alias("n_all"), F.sum("n_tox").alias("n_tox"))
+                 .where(F.col("n_all") >= LEAST_DOCS)
+                 .withColumn("rank", F.least(F.floor(F.abs(z) * 16), F.lit(RANKS)).cast("int")))
+    # The least rank whose features, with those of higher ones, are at most FEATURES (one row a rank).
+    least, held = RANKS + 1, 0
+    for r in counts.groupBy("rank").count().orderBy(F.col("rank").desc()).collect():
+        held += r["count"]
+        if held > FEATURES:
+            break
+        least = r["rank"]
+    stats = {bytes(r.feature): (r.n_all, r.n_tox)
+             for r in sorted(counts.where(F.col("rank") >= least).collect(), key=lambda r: bytes(r.feature))}
     sample = []
-    for y in (0, 1):
-        sample += (short.where(F.col("y") == y).orderBy(F.xxhash64(F.col("id").cast("string")), "id", "text")
-                   .limit(SAMPLE).collect())
+    for y, n in sorted(sizes.items()):
+        part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < math.ceil((1 << 30) * min(1.0, SAMPLE / n))
+        sample += (rows.where((F.col("y") == y) & part & (F.length("text") <= SAMPLE_CHARS))
+                   .select("text", "y").limit(2 * SAMPLE).collect())
+    sample.sort(key=lambda r: (r.y, r.text))
     texts, toxic = [r.text.encode() for r in sample], [r.y for r in sample]
     crf = fit_crf(texts, toxic, stats, share)
     y = np.array(toxic, float)
