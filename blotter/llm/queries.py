@@ -82,6 +82,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB's SQL for the queries that it can express.
 ORACLE: dict[str, str] = {
+    "op3_suffixes": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        c AS (SELECT doc_id, o, substr(x, 2 * o + 1, 2 * 699) AS part
+              FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2, 500)) AS o FROM d)),
+        w AS (SELECT doc_id, o + s AS s, md5(substr(part, 2 * s + 1, 400)) AS k
+              FROM (SELECT *, unnest(range(0, least(500, length(part) // 2 - 199))) AS s FROM c
+                    WHERE length(part) >= 400)),
+        r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+        e AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before,
+                     lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS after FROM w JOIN r USING (k)),
+        y AS (SELECT doc_id, s AS a, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS i FROM e
+              WHERE before IS NULL OR s > before + 200),
+        z AS (SELECT doc_id, s + 200 AS b, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS i FROM e
+              WHERE after IS NULL OR after > s + 200),
+        j AS (SELECT doc_id, i, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY i), 0) AS rest
+              FROM y JOIN z USING (doc_id, i)),
+        o AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+                     string_agg(substr(x, 2 * rest + 1, 2 * (a - rest)), '' ORDER BY i)
+                     || substr(any_value(x), 2 * max(b) + 1) AS kept
+              FROM j JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+            coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(kept), t)) AS kept_sha256
+        FROM d LEFT JOIN o USING (doc_id)""",
+    "op4_substrings": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                                              lambda x: x <> '') AS w FROM documents),
+        v AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS k
+              FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50)),
+        f AS (SELECT k, min(doc_id) AS first FROM v GROUP BY k),
+        g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM v JOIN f USING (k) WHERE first < doc_id),
+        n AS (SELECT doc_id, count(*) AS n_removed FROM g GROUP BY doc_id),
+        o AS (SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS kept
+              FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN g USING (doc_id, p)
+              GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+            sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)""",
     "op5_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
@@ -89,6 +126,35 @@ ORACLE: dict[str, str] = {
             CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN page_id > first THEN first END AS refers_to
         FROM p LEFT JOIN f USING (d)""",
+    "op8_embeddings": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        ok AS (SELECT vec_id, e, list_inner_product(e, e) AS q FROM v
+               WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+              WHERE x.q > 0 AND y.q > 0 AND list_inner_product(x.e, y.e) / sqrt(x.q * y.q) >= 0.95),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM c LEFT JOIN n USING (vec_id)""",
+    "op9_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        k AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[s:s + 12], ' ') AS t
+              FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+        h AS (SELECT doc_id, s, n, item
+              FROM (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS t
+                    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s
+                          FROM d, (SELECT DISTINCT n FROM k))) JOIN k USING (n, t)),
+        c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
+        m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
 }
 
 QUERIES = {f.__name__: f for f in (
