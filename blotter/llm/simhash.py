@@ -41,6 +41,8 @@ DISTANCE = 3
 BITS = 64
 #: Most fingerprints in one subtree before it is cut again.
 MOST = 50_000
+#: Fingerprints whose subtrees are walked together, about.
+WALKED = 50_000
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -75,13 +77,17 @@ def fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | Non
     return map_rows(with_row(docs, carry, text=text_col), StructType([field("fp", LongType())]), "text", make)
 
 
-def trie_links(fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the sorted distinct ``fps`` (uint64) that differ in at most ``budget`` bits."""
-    n = len(fps)
-    # A node is a range of the sorted fingerprints that share a prefix; pairs are walked level by level.
-    a_lo, a_hi = np.array([0]), np.array([n])
-    b_lo, b_hi = np.array([0]), np.array([n])
-    cost = np.zeros(1, np.int64)
+def trie_links(fps: np.ndarray, budget: int, border: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of ``fps`` (uint64) that differ in at most ``budget`` bits.
+
+    ``border`` cuts ``fps`` into tries (sorted and distinct each) that are walked together.
+    """
+    border = np.array([0, len(fps)]) if border is None else border
+    # A node is a range of sorted fingerprints that share a prefix; pairs are walked level by level.
+    some = np.diff(border) > 1
+    a_lo, a_hi = border[:-1][some], border[1:][some]
+    b_lo, b_hi = a_lo, a_hi
+    cost = np.zeros(len(a_lo), np.int64)
     for bit in range(BITS - 1, -1, -1):
         ones = np.concatenate(([0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)))
         a_mid = a_hi - (ones[a_hi] - ones[a_lo])
@@ -117,7 +123,7 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]
         x, y = find(x), find(y)
         if x != y:
             root[max(x, y)] = min(x, y)
-    return [(x, find(x)) for x in range(n) if find(x) != x]
+    return [(x, find(x)) for x in range(n) if root[x] != x]
 
 
 def blocks_of(mask: int, parts: int) -> list[int]:
@@ -136,30 +142,32 @@ def fingerprint_links(fps: DataFrame, budget: int = DISTANCE, most: int = MOST)
     out = StructType([field("a", LongType()), field("b", LongType())])
 
     def walk(batches):
-        def close(rows):
-            v = np.unique(np.concatenate(rows))
-            for i in range(len(v) > 1):
-                x, y = trie_links(v, budget)
-                pairs = np.array(forest(len(v), x, y), np.int64).reshape(-1, 2)
-                ends = v.view(np.int64)[pairs]
+        def close(mask, value, fp):
+            """Walks whole subtrees together."""
+            if len(fp) < 2:
+                return
+            new = np.concatenate(([True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])))
+            fp = fp[np.lexsort((fp, np.cumsum(new)))]
+            x, y = trie_links(fp, budget, np.append(np.flatnonzero(new), len(fp)))
+            ends = fp.view(np.int64)[np.array(forest(len(fp), x, y), np.int64).reshape(-1, 2)]
+            if len(ends):
                 yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
-        key, rows = None, []
+        held = None
         for batch in batches:
-            g, v = batch.column("mask").to_numpy(), batch.column("value").to_numpy()
-            f = batch.column("fp").to_numpy().view(np.uint64)
-            border = np.flatnonzero((g[1:] != g[:-1]) | (v[1:] != v[:-1])) + 1
-            for part in np.split(np.arange(len(f)), border):
-                if not len(part):
-                    continue
-                now = (g[part[0]], v[part[0]])
-                if now != key and rows:
-                    yield from close(rows)
-                    rows = []
-                key = now
-                rows.append(f[part])
-        if rows:
-            yield from close(rows)
+            rows = (batch.column("mask").to_numpy(), batch.column("value").to_numpy(),
+                    batch.column("fp").to_numpy().view(np.uint64))
+            held = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows))
+            if len(held[0]) < WALKED:
+                continue
+            # All but the last subtree, which may go on in the next batch.
+            mask, value, _ = held
+            last = np.flatnonzero((mask != mask[-1]) | (value != value[-1]))
+            end = int(last[-1]) + 1 if len(last) else 0
+            yield from close(*(x[:end] for x in held))
+            held = tuple(x[end:] for x in held)
+        if held is not None:
+            yield from close(*held)
 
     spark = fps.sparkSession
     todo = fps.withColumn("mask", F.lit(0).cast("long")).withColumn("value", F.lit(0).cast("long"))
