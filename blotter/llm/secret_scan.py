@@ -29,6 +29,7 @@ import bz2
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,37 +101,55 @@ def _chars(run: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """A text and, for each of its characters, the original span [starts, ends); None: the document itself."""
+    """A text unwrapped from ``parent``; ``to_parent`` maps a span of it to one of the parent's."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, parent: Layer | None = None, to_parent=None):
+        self.text, self.parent, self.to_parent = text, parent, to_parent
 
     def span(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.starts is None else (self.starts[a], max(self.ends[a:b]))
+        """The document's span behind [a, b)."""
+        layer = self
+        while layer.parent is not None:
+            a, b = layer.to_parent(a, b)
+            layer = layer.parent
+        return a, b
 
     def key(self):
-        return self.text, (None if not self.starts else (self.starts[0], self.ends[-1]))
+        return self.text, self.span(0, len(self.text))
 
     def unescaped(self) -> Layer | None:
-        text, starts, ends, at = [], [], [], 0
-
-        def plain(a: int, b: int) -> None:
-            text.append(self.text[a:b])
-            starts.extend(range(a, b) if self.starts is None else self.starts[a:b])
-            ends.extend(range(a + 1, b + 1) if self.starts is None else self.ends[a:b])
+        """The layer with its escapes decoded; keeps places of decoded characters and plain stretches only."""
+        text: list[str] = []
+        new: list[int] = []  # where a piece begins in the new text, and its place in this one
+        start: list[int] = []
+        end: list[int] = []
+        size = at = 0
+
+        def add(piece: str, a: int, b: int) -> None:
+            nonlocal size
+            if piece:
+                text.append(piece)
+                new.append(size)
+                start.append(a)
+                end.append(b)
+                size += len(piece)
 
         for m in ESCAPE.finditer(self.text):
-            plain(at, m.start())
+            add(self.text[at:m.start()], at, m.start())
             for c, a, b in _chars(m[0]):
-                s, e = self.span(m.start() + a, m.start() + b)
-                text.append(c)
-                starts.append(s)
-                ends.append(e)
+                add(c, m.start() + a, m.start() + b)
             at = m.end()
         if not at:
             return None
-        plain(at, len(self.text))
-        return Layer("".join(text), starts, ends)
+        add(self.text[at:], at, len(self.text))
+
+        def to_parent(a: int, b: int) -> tuple[int, int]:
+            i, j = bisect_right(new, a) - 1, bisect_right(new, b - 1) - 1
+            # A plain stretch is as long as its source; in it, places go side by side.
+            return (start[i] + (a - new[i] if len(text[i]) == end[i] - start[i] else 0),
+                    start[j] + b - new[j] if len(text[j]) == end[j] - start[j] else end[j])
+
+        return Layer("".join(text), self, to_parent)
 
     def unwrapped(self):
         """Layers inside the base64 runs."""
@@ -139,36 +158,27 @@ class Layer:
             if len(body) % 4 == 1:
                 continue
             data = base64.b64decode(body + "=" * (-len(body) % 4))
-            whole = self.span(m.start(), m.end())
-            for magic, opened in PACKED:
-                if data.startswith(magic):
-                    try:
-                        if magic == b"\xfd7zXZ" or magic == b"BZh":
-                            data = opened().decompress(data, MAX_UNPACKED)
-                        else:
-                            data = opened().decompress(data, MAX_UNPACKED)
-                    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-                        break
-                    text = data.decode("utf-8", "replace")
-                    yield Layer(text, [whole[0]] * len(text), [whole[1]] * len(text))
-                    break
-            else:
+            whole = m.span()
+            unpack = next((opened for magic, opened in PACKED if data.startswith(magic)), None)
+            if unpack is not None:
                 try:
-                    text = data.decode("utf-8")
-                except UnicodeDecodeError:
+                    text = unpack().decompress(data, MAX_UNPACKED).decode("utf-8", "replace")
+                except (zlib.error, OSError, lzma.LZMAError, EOFError):
                     continue
-                if not text.translate(CONTROLS) == text:
-                    continue
-                starts, ends, at = [], [], 0
-                for c in text:
-                    size = len(c.encode())
-                    a = m.start() + at // 3 * 4
-                    b = min(m.start() + (at + size + 2) // 3 * 4, m.end())
-                    s, e = self.span(a, b)
-                    starts.append(s)
-                    ends.append(e)
-                    at += size
-                yield Layer(text, starts, ends)
+                yield Layer(text, self, lambda a, b, whole=whole: whole)
+                continue
+            try:
+                text = data.decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if text.translate(CONTROLS) != text:
+                continue
+
+            def groups(a: int, b: int, text=text, whole=whole) -> tuple[int, int]:
+                a, b = (a, b) if text.isascii() else (len(text[:a].encode()), len(text[:b].encode()))
+                return whole[0] + a // 3 * 4, min(whole[0] + -(-b // 3) * 4, whole[1])
+
+            yield Layer(text, self, groups)
 
 
 #: Characters that text does not hold.
@@ -184,11 +194,11 @@ def all_spans(text: str, data: bytes | None = None) -> tuple[list, list]:
     seen = {todo[0].key()}
     while todo:
         layer = todo.pop()
-        if layer.starts is not None:
+        if layer.parent is not None:
             for a, kind, b in base_spans(layer.text):
                 s, e = layer.span(a, b)
                 found.add((s, kind, e))
-        inner = data if layer.starts is None else layer.text.encode("utf-8", "surrogatepass")
+        inner = data if layer.parent is None else layer.text.encode("utf-8", "surrogatepass")
         new = []
         if b"%" in inner or b"\\" in inner or b"&#" in inner:
             new.append(layer.unescaped())

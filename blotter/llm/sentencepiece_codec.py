@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -79,7 +80,10 @@ class Codec:
         """Ids of the best path through ``text`` (marks already in place)."""
         n = len(text)
         low = float("-inf")
-        best, back = [0.0] + [low] * n, [(0, -1)] * (n + 1)
+        # Plain lists are quicker; a very long run gets arrays of machine numbers.
+        pack = array if n > 100_000 else lambda _, x: x
+        best, sizes, ids = pack("d", [low]) * (n + 1), pack("i", [1]) * (n + 1), pack("i", [-1]) * (n + 1)
+        best[0] = 0.0
         done = 0  # positions up to here are final
 
         def unknown(upto: int) -> None:
@@ -89,18 +93,18 @@ class Codec:
                 done += 1
                 s = best[done - 1] + self.unk_score
                 if s > best[done]:
-                    best[done], back[done] = s, (1, -1)
+                    best[done], sizes[done], ids[done] = s, 1, -1
 
         if self.pieces:
             for end, (size, score, i) in self.automaton.iter(text):
                 unknown(end)
                 s = best[end + 1 - size] + score
                 if s > best[end + 1]:
-                    best[end + 1], back[end + 1] = s, (size, i)
+                    best[end + 1], sizes[end + 1], ids[end + 1] = s, size, i
         unknown(n)
         out: list[int] = []
         while n:
-            size, i = back[n]
+            size, i = sizes[n], ids[n]
             if i < 0:
                 out += [self.byte_ids[b] for b in reversed(text[n - 1].encode("utf-8", "surrogatepass"))]
                 n -= 1

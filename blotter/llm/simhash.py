@@ -56,10 +56,11 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     k = max(1, n - shingle + 1)
     end = (start + size)[-k:].tolist()
     h64 = xxhash.xxh64_intdigest
-    hashes = np.array([h64(flat[a:b], 42) for a, b in zip(start.tolist(), end)], ">u8")
+    begin = start.tolist()
     ones = np.zeros(BITS, np.int64)
     for i in range(0, k, 8192):
-        ones += np.unpackbits(hashes[i:i + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        hashes = np.array([h64(flat[a:b], 42) for a, b in zip(begin[i:i + 8192], end[i:i + 8192])], ">u8")
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > k).tobytes(), "big")
 
 
