@@ -30,6 +30,8 @@ from blotter.sources.schemas import LOOKUPS, SCHEMAS
 # dimension lists (a few KB in practice); the bound is checked per table, and a
 # table beyond it is joined by a normal shuffle join instead.
 BROADCAST_MAX_BYTES = 16 * 1024 * 1024
+# Largest one that is kept on the driver, as part of the plans that use it.
+LOCAL_MAX_BYTES = 1024 * 1024
 
 
 class Catalog:
@@ -47,7 +49,7 @@ class Catalog:
                 raise KeyError(f"relation {name} lacks columns {lack}")
         self._raw = dict(tables)
         self._broadcast_max_bytes = broadcast_max_bytes
-        self._small: dict[str, bool] = {}
+        self._small: dict[str, DataFrame] = {}
 
     # -- constructors -----------------------------------------------------
     @classmethod
@@ -96,14 +98,21 @@ class Catalog:
     def bounded(self, key: str, df: DataFrame) -> DataFrame:
         """``broadcast(df)`` if ``df``'s rows have at most the bound of bytes, else ``df``.
 
-        The check is one small job (an aggregate over real string lengths) run
-        once per key and catalog.  Beyond the bound the join stays a shuffle join,
-        which adaptive execution may still turn into a broadcast from runtime
-        statistics.
+        The check is one small job (the sum of real string lengths) run once per
+        key and catalog.  A table of at most ``LOCAL_MAX_BYTES`` is then held as a
+        local relation, so no later query scans or joins its parts again.  Beyond
+        the bound the join stays a shuffle join, which adaptive execution may still
+        turn into a broadcast from runtime statistics.
         """
         if key not in self._small:
-            self._small[key] = measured_bytes(df) <= self._broadcast_max_bytes
-        return F.broadcast(df) if self._small[key] else df
+            n_bytes = measured_bytes(df)
+            if n_bytes > self._broadcast_max_bytes:
+                self._small[key] = df
+            elif n_bytes > LOCAL_MAX_BYTES:
+                self._small[key] = F.broadcast(df)
+            else:
+                self._small[key] = F.broadcast(df.sparkSession.createDataFrame(df.collect(), df.schema))
+        return self._small[key]
 
 
 def read_parquet_any(spark: SparkSession, root: str, name: str) -> DataFrame:
