@@ -53,11 +53,13 @@ aside audio button canvas datalist dialog fieldset footer form frameset head ifr
 noscript object optgroup option script search select style svg template textarea title video
 """.split())
 CONTENT_TAGS = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED_NAMES = frozenset("""
-ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment comments consent cookie
-cookies copyright disqus footer form gdpr hidden legal login masthead menu modal nav navbar navigation newsletter notice
-notices overlay pager pagination popup promo promoted promotion recommended related respond search share sharing sidebar
-signup skip social sponsor sponsored subscribe toolbar widget
+ad adbox ads adslot advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment commentlist
+comments consent cookie cookies copyright disclaimer discussion disqus footer form gdpr hidden legal login masthead menu
+modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended
+related replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subnav subscribe
+toast toolbar topbar topnav widget
 """.split())
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
@@ -71,16 +73,17 @@ LETTERS = re.compile(r"[^\W\d_]+")
 GOOD, BAD, OPEN = 1, 0, None
 
 
-def boilerplate(tag: str, attributes: str) -> bool:
-    """Whether a start tag opens something that is no article text."""
-    if tag in DROPPED_TAGS:
+def boilerplate(tag: str, attributes: str, inside: int = 0) -> bool:
+    """Whether a start tag opens something that is no article text; ``inside`` an article, a header is its own."""
+    if tag in DROPPED_TAGS or tag == "header" and not inside:
         return True
     if not attributes.strip() or tag in CONTENT_TAGS and "comment" not in attributes.lower() or tag in ("html", "body"):
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if any(w in DROPPED_NAMES for w in NAME.findall(value)):
+            words = NAME.findall(value)
+            if any(w in DROPPED_NAMES for w in words) or "header" in words and not inside and tag not in HEADINGS:
                 return True
         elif name == "role" and value in DROPPED_ROLES:
             return True
@@ -159,9 +162,7 @@ def blocks_of(html: str) -> list[Block]:
                     break
         if tag in VOID_TAGS:
             continue
-        gone = top[1] or boilerplate(tag, m[3])
-        if tag == "header" and not top[2]:
-            gone = True
+        gone = top[1] or boilerplate(tag, m[3], top[2])
         if gone and not top[1]:
             close()
         if m[3].endswith("/") and tag not in BLOCK_TAGS and tag not in RAW_TAGS:

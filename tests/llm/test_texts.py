@@ -87,6 +87,10 @@ PAGES = [
     (f"<p>{LONG}</p><ul><li><a href=1>one link</a></li><li><a href=2>two link</a></li></ul><p>{LONG}</p>",
      None),
     ("<article><p>Zzz qqq.</p></article>", "Zzz qqq."),
+    (f"<body><div class='site-header'>{LONG}</div><header>{LONG}</header><article class='post'><header><h1>H</h1></header>"
+     f"<p>{LONG}</p><section class='reader-comments'><article class='comment'><p>{LONG}</p></article></section>"
+     f"<div role=alert>{LONG}</div><p style='display: none'>{LONG}</p><p>a&#x26;b <a href=x>linked</a></p></article>"
+     f"<div class=topnav>{LONG}</div>", f"H\n{LONG.strip()}\na&b linked"),
     (None, ""), ("", ""), ("<br>", ""), ("<p class='x>broken <b", None),
 ]
 
