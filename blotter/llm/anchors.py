@@ -15,11 +15,12 @@ strings themselves.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from blotter.llm.common import cut, expand_rows, field, pick
+from blotter.llm.common import cut, expand_rows, field, map_rows, pick
 
 #: Units that are hashed at once.
 SEGMENT = 1 << 18
@@ -91,7 +92,8 @@ def runs(units: np.ndarray, border: np.ndarray, length: int, gram: int):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-RUNS = StructType([field("h", LongType()), field("key", LongType()), field("id", LongType()), field("place", LongType())])
+HASHES = StructType([field("h", LongType()), field("key", LongType()), field("id", LongType()), field("n", LongType())])
+PLACES = ArrayType(StructType([field("place", LongType()), field("h", LongType())]))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,24 +107,47 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def candidates(df: DataFrame, find, repeats: Column) -> DataFrame:
     """id, digest, text and the runs whose anchor's hash repeats, for documents that have any.
 
-    ``find`` makes a function from a slice's (bytes, borders) to ``runs``; ``repeats``
-    is the condition on a hash's group, over n, low and high (its smallest and largest id).
+    ``find`` makes a function from a slice's texts to ``runs``; ``repeats`` is the
+    condition on a hash's group, over n, low and high (its smallest and largest id).
+    A document counts a hash once, with its number, so a line that it repeats
+    over and over is one row.
     """
     def make():
         found = find()
 
         def compute(batch):
-            h, doc, start, size = found(batch.column("text"))
-            keys, ids = (batch.column(c).to_numpy()[doc] for c in ("key", "id"))
-            return [h, keys, ids, start * RUN + size]
+            h, doc, _, _ = found(batch.column("text"))
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))[:len(h)])
+            keys, ids = (batch.column(c).to_numpy()[doc[head]] for c in ("key", "id"))
+            return [h[head], keys, ids, np.diff(np.append(head, len(h)))]
 
         return compute
 
-    rows = expand_rows(df.select("key", "id", "text"), RUNS, "text", make)
-    again = (rows.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    rows = expand_rows(df.select("key", "id", "text"), HASHES, "text", make)
+    again = (rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
              .where(repeats).select("h"))
-    lists = (rows.select("h", "key", "place").join(again, "h")
-             .groupBy("key").agg(F.collect_set(F.struct("place", "h")).alias("runs")))
-    return cut(df.select("key", "id", "digest", "text").join(lists, "key").drop("key"))
+    # Written, so that the join has two plain shuffles and a hot hash can be split over tasks.
+    again = cut(again)
+    lists = rows.select("h", "key").join(again, "h").groupBy("key").agg(F.collect_set("h").alias("hashes"))
+    texts = df.select("key", "id", "digest", "text").join(lists, "key")
+
+    def make_places():
+        found = find()
 
+        def compute(batch):
+            h, doc, start, size = found(batch.column("text"))
+            own = batch.column("hashes")
+            known, of = own.flatten().to_numpy(), np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))
+            # Of document and hash one number; should two fall together, there is one candidate more.
+            keep = np.isin(mixed(h.view(np.uint64) + mixed(doc.astype(np.uint64))),
+                           mixed(known.view(np.uint64) + mixed(of.astype(np.uint64))))
+            h, doc, place = h[keep], doc[keep], (start * RUN + size)[keep]
+            border = np.searchsorted(doc, np.arange(len(own) + 1))
+            rows = pa.StructArray.from_arrays([pa.array(place), pa.array(h)], names=["place", "h"])
+            return [pa.ListArray.from_arrays(pa.array(border, pa.int32()), rows)]
+
+        return compute
 
+    return cut(map_rows(texts, StructType([field("runs", PLACES)]), "text", make_places, keep=("id", "digest", "text")))

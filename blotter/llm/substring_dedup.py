@@ -129,9 +129,9 @@ KEPT = StructType([field("n_words", LongType()), field("n_removed", LongType()),
 
 
 def earlier_starts(found: DataFrame) -> DataFrame:
-    """id, digest, start and the stretches of windows with their smallest id, for every candidate run
-    that holds a window of an earlier document."""
-    strings = cut(packed_strings(found, word_slices, STRINGS, lambda h, s, i, d, start: (h, s, i))
+    """id, digest, starts of runs and the stretches of windows after each with their smallest id, for the
+    runs that hold a window of an earlier document."""
+    strings = cut(packed_strings(found, word_slices, STRINGS, lambda h, s, i, d, starts: (h, s, i))
                   .groupBy("h", "s").agg(F.min("id").alias("n")))
     small, large = split_by_size(strings)
     answers = by_bucket(small, EARLIEST, solve_words, "n")
@@ -141,14 +141,14 @@ def earlier_starts(found: DataFrame) -> DataFrame:
             return (b" ".join(words[i:i + LENGTH]) for i in range(len(words) - LENGTH + 1))
 
         w = cut(each_window(large, "n", windows))
-        least = w.groupBy("window").agg(F.min("n").alias("low"))
+        least = cut(w.groupBy("window").agg(F.min("n").alias("low")))
         at = F.col("at").cast("long")
         answers = answers.union(
             w.join(least, "window").groupBy("h", "digest16")
             .agg(F.flatten(F.collect_list(F.array(at, at + 1, F.col("low")))).alias("earliest")))
-    places = packed_strings(found, word_slices, PLACED, lambda h, s, i, d, start: (h, digest16(s), i, d, start))
+    places = packed_strings(found, word_slices, PLACED, lambda h, s, i, d, starts: (h, digest16(s), i, d, starts))
     earlier = F.expr("exists(sequence(2, size(earliest) - 1, 3), i -> earliest[i] < id)")
-    return places.join(answers, ["h", "digest16"]).where(earlier).select("id", "digest", "start", "earliest")
+    return places.join(answers, ["h", "digest16"]).where(earlier).select("id", "digest", "starts", "earliest")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,7 +156,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     df = keyed(docs, id_col, text_col)
     found = candidates(df, find_words, F.col("low") < F.col("high"))
     lists = (earlier_starts(found).groupBy("id", "digest")
-             .agg(F.collect_list(F.struct("start", "earliest")).alias("starts")))
+             .agg(F.collect_list(F.struct("starts", "earliest")).alias("found")))
     texts = found.select("id", "digest", "text").join(lists, ["id", "digest"])
 
     def make():
@@ -164,14 +164,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             data, border = raw(batch.column("text"))
             rows = []
             for a, b, i, own in zip(border, border[1:], batch.column("id").to_pylist(),
-                                    batch.column("starts").to_pylist()):
+                                    batch.column("found").to_pylist()):
                 words = data[a:b].split()
                 gone = np.zeros(len(words) + 1, np.int32)
                 for r in own:
                     x = np.array(r["earliest"], np.int64).reshape(-1, 3)
-                    x = x[x[:, 2] < i, :2] + r["start"]
-                    np.add.at(gone, x[:, 0], 1)
-                    np.add.at(gone, x[:, 1] - 1 + LENGTH, -1)
+                    x = x[x[:, 2] < i, :2].reshape(1, -1, 2) + np.array(r["starts"]).reshape(-1, 1, 1)
+                    np.add.at(gone, x[..., 0], 1)
+                    np.add.at(gone, x[..., 1] - 1 + LENGTH, -1)
                 gone = np.cumsum(gone)[:-1] > 0
                 kept = b" ".join([words[k] for k in np.flatnonzero(~gone).tolist()])
                 rows.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()))

@@ -175,9 +175,9 @@ def repeated_in(strings: list[bytes], counts: list[int], length: int = LENGTH) -
     return [[0, n] if c > 1 else ranges(found[f:f + n]) for f, n, c in zip(text.first.tolist(), starts, counts)]
 
 
-STRINGS = StructType([field("h", LongType()), field("s", BinaryType())])
+STRINGS = StructType([field("h", LongType()), field("s", BinaryType()), field("n", LongType())])
 PLACED = StructType([field("h", LongType()), field("digest16", BinaryType()), field("id", LongType()),
-                     field("digest", LongType()), field("start", LongType())])
+                     field("digest", LongType()), field("starts", ArrayType(LongType()))])
 REPEATED = StructType([field("h", LongType()), field("digest16", BinaryType()), field("repeated", ArrayType(IntegerType()))])
 WINDOWS = StructType([field("window", BinaryType()), field("h", LongType()), field("digest16", BinaryType()),
                       field("at", IntegerType()), field("n", LongType())])
@@ -189,7 +189,7 @@ def digest16(s: bytes) -> bytes:
 
 
 def packed_strings(found: DataFrame, slices, out: StructType, row) -> DataFrame:
-    """A row for each candidate run: ``slices`` gives its packed string, ``row`` its columns."""
+    """A row for each different string of a document: ``slices`` packs a run, ``row`` gives the columns."""
     def make():
         def compute(batch):
             data, border = raw(batch.column("text"))
@@ -197,9 +197,11 @@ def packed_strings(found: DataFrame, slices, out: StructType, row) -> DataFrame:
             for a, b, own, i, d in zip(border, border[1:], batch.column("runs").to_pylist(),
                                        batch.column("id").to_pylist(), batch.column("digest").to_pylist()):
                 cut_out = slices(data[a:b])
+                strings: dict[tuple, list[int]] = {}
                 for r in own:
                     start, n = divmod(r["place"], RUN)
-                    rows.append(row(r["h"], cut_out(start, n), i, d, start))
+                    strings.setdefault((r["h"], cut_out(start, n)), []).append(start)
+                rows += [row(h, s, i, d, starts) for (h, s), starts in strings.items()]
             return [list(c) for c in zip(*rows)] if rows else [[] for _ in out.fields]
 
         return compute
@@ -287,19 +289,19 @@ def find_bytes():
 
 
 def repeated_starts(found: DataFrame) -> DataFrame:
-    """id, digest, start and the ranges of repeated starts after it, for every candidate run that has any."""
-    strings = cut(packed_strings(found, byte_slices, STRINGS, lambda h, s, i, d, start: (h, s))
-                  .groupBy("h", "s").agg(F.count("*").alias("n")))
+    """id, digest, starts of runs and the ranges of repeated starts after each, for the runs that have any."""
+    strings = cut(packed_strings(found, byte_slices, STRINGS, lambda h, s, i, d, starts: (h, s, len(starts)))
+                  .groupBy("h", "s").agg(F.sum("n").alias("n")))
     small, large = split_by_size(strings)
     answers = by_bucket(small, REPEATED, solve_bytes, "n").where(F.size("repeated") > 0)
     if large is not None:
         w = cut(each_window(large, "n", lambda s: (s[i:i + LENGTH] for i in range(len(s) - LENGTH + 1))))
-        again = w.groupBy("window").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("window")
+        again = cut(w.groupBy("window").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("window"))
         answers = answers.union(
             w.join(again, "window").groupBy("h", "digest16")
             .agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("repeated")))
-    places = packed_strings(found, byte_slices, PLACED, lambda h, s, i, d, start: (h, digest16(s), i, d, start))
-    return places.join(answers, ["h", "digest16"]).select("id", "digest", "start", "repeated")
+    places = packed_strings(found, byte_slices, PLACED, lambda h, s, i, d, starts: (h, digest16(s), i, d, starts))
+    return places.join(answers, ["h", "digest16"]).select("id", "digest", "starts", "repeated")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,19 +309,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     df = keyed(docs, id_col, text_col)
     found = candidates(df, find_bytes, F.col("n") > 1)
     lists = (repeated_starts(found).groupBy("id", "digest")
-             .agg(F.collect_list(F.struct("start", "repeated")).alias("starts")))
+             .agg(F.collect_list(F.struct("starts", "repeated")).alias("found")))
     texts = found.select("id", "digest", "text").join(lists, ["id", "digest"])
 
     def make():
         def compute(batch):
             data, border = raw(batch.column("text"))
             rows = []
-            for a, b, own in zip(border, border[1:], batch.column("starts").to_pylist()):
+            for a, b, own in zip(border, border[1:], batch.column("found").to_pylist()):
                 gone = np.zeros(b - a + 1, np.int32)
                 for r in own:
-                    x = np.array(r["repeated"], np.int64).reshape(-1, 2) + r["start"]
-                    np.add.at(gone, x[:, 0], 1)
-                    np.add.at(gone, x[:, 1] - 1 + LENGTH, -1)
+                    x = np.array(r["repeated"], np.int64).reshape(1, -1, 2) + np.array(r["starts"]).reshape(-1, 1, 1)
+                    np.add.at(gone, x[..., 0], 1)
+                    np.add.at(gone, x[..., 1] - 1 + LENGTH, -1)
                 gone = np.cumsum(gone)[:-1] > 0
                 kept = np.frombuffer(data[a:b], np.uint8)[~gone].tobytes()
                 rows.append((int(gone.sum()), len(ranges(gone)) // 2, hashlib.sha256(kept).hexdigest()))
