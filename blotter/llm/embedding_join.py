@@ -9,8 +9,8 @@ vectors.  Equal vectors are first merged to one with a count.
    exceeds that to its nearest pivot by at most 2 eps.  By the triangle inequality
    no vector within eps can be in another cell: d(y,p) <= d(x,p) + eps <=
    d(x,q) + eps <= d(y,q) + 2 eps for x in p's cell and any pivot q.
-3. Cells join independently.  A cell is cut into chunks of about ``CHUNK`` own
-   vectors; a task holds one chunk and streams the whole cell (own vectors and
+3. Cells join independently.  A cell is cut into chunks of at most about ``CHUNK``
+   own vectors; a task holds one chunk and streams the whole cell (own vectors and
    replicas) past it, so neither memory nor a task grows with a hot cell.
    Each vector belongs to one chunk, so its links are counted once.  Cosines are
    taken in double precision.
@@ -41,10 +41,14 @@ from blotter.llm.common import cut, field, pick
 from blotter.llm.graph import connected_components
 
 COSINE = 0.95
-CELL = 4096
+CELL = 8192
 PIVOTS = 1024
 PIVOT_BYTES = 16 << 20
-CHUNK = 2048
+#: Own vectors that a task holds: fewer chunks move fewer rows, at most CHUNK_BYTES of doubles.
+CHUNK = 8192
+CHUNK_BYTES = 32 << 20
+#: Rows and columns of a block of cosines.
+BLOCK = 2048
 
 
 def unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -155,8 +159,8 @@ def _joined(placed: DataFrame, cosine: float, tasks: int) -> DataFrame:
                     yield from close()
                     key, held, own, total = now, [], None, None
                 dim = int(now[0])
-                for at in range(a, b, CHUNK):
-                    part = batch.slice(at, min(CHUNK, b - at))
+                for at in range(a, b, BLOCK):
+                    part = batch.slice(at, min(BLOCK, b - at))
                     k1, k2, rep, m = (part.column(c).to_numpy() for c in ("k1", "k2", "rep", "m"))
                     v = unit(part.column("v"), dim)
                     if kind == 0:
@@ -169,8 +173,8 @@ def _joined(placed: DataFrame, cosine: float, tasks: int) -> DataFrame:
                         reps = np.concatenate([h[2] for h in held])
                         keys = np.concatenate([np.stack([h[0], h[1]], 1) for h in held])
                         total = np.zeros(len(own), np.int64)
-                    for o in range(0, len(own), CHUNK):
-                        x, y = np.nonzero(own[o:o + CHUNK] @ v.T >= cosine)
+                    for o in range(0, len(own), BLOCK):
+                        x, y = np.nonzero(own[o:o + BLOCK] @ v.T >= cosine)
                         x += o
                         # A vector meets itself once, whatever its cosine rounds to.
                         total += np.bincount(x, m[y], len(own)).astype(np.int64)
@@ -197,7 +201,7 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     placed = _assigned(distinct, pivots, eps)
     # At most PIVOTS rows for each vector length.
     sizes = placed.where("own").groupBy("dim", "cell").count().collect()
-    chunks = [(r.dim, r.cell, -(-r["count"] // chunk)) for r in sizes]
+    chunks = [(r.dim, r.cell, -(-r["count"] // max(1, min(chunk, CHUNK_BYTES // (8 * r.dim))))) for r in sizes]
     table = F.broadcast(rows.sparkSession.createDataFrame(chunks, "dim int, cell int, chunks int"))
     placed = placed.join(table, ["dim", "cell"])
     columns = ["dim", "cell", "k1", "k2", "rep", "m", "v"]
