@@ -252,7 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = (pick(labels, id=id_col, y=label_col).where("id IS NOT NULL AND y IS NOT NULL")
              .where(~held_out(F.col("id"))).groupBy("id").agg((F.max("y") > 0).cast("int").alias("y")))
     texts = pick(docs, id=id_col, text=text_col).where("text IS NOT NULL").where(~held_out(F.col("id")))
-    rows = cut(texts.join(known, "id").select("id", "text", "y"))
+    # Labels grow with the documents, so they are never broadcast.
+    rows = cut(texts.join(known.hint("merge"), "id").select("id", "text", "y"))
 
     def make():
         def compute(batch):
