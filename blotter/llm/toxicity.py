@@ -9,11 +9,13 @@ Only documents carry labels, so token labels come from them:
 2. A token of a toxic training row is labelled toxic if one of its features is
    nearly always in toxic rows.  The CRF (two states, features of the current
    word, transitions) is fitted by gradient ascent on the conditional
-   likelihood of a bounded sample (about ``SAMPLE`` rows of each class, chosen by a
-   hash of their text, of at most ``SAMPLE_CHARS``).
+   likelihood of a bounded sample (about ``SAMPLE`` rows of each class, of any
+   length, chosen by a hash of their text).  A text of more than ``SAMPLE_BYTES``
+   stands there by windows of ``WINDOW`` words that a hash draws among those with
+   and without a marked word, each weighted by the windows it stands for.
 3. Every text is tagged whole: forward-backward gives each token's marginal;
-   their largest value and sum go through a logistic fit (same sample,
-   weighted to the class shares of all training rows) to the document score;
+   their largest value and sum go through a logistic fit (same sample, whole
+   texts, weighted to the class shares of all training rows) to the document score;
    runs of tokens with a marginal of 1/2 or more are the offending spans.
 
 Rows whose crc32 of the id as text is a multiple of 5 are held out: neither
@@ -33,6 +35,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -45,7 +48,8 @@ from blotter.llm.decontaminate import WORD_BYTES
 
 FEATURES = 20_000
 SAMPLE = 800
-SAMPLE_CHARS = 8_000
+#: Bytes of words of one sampled text that the CRF is fitted on, words of a window, bytes sent of an unknown word.
+SAMPLE_BYTES, WINDOW, WORD_SENT = 8_000, 64, 64
 PREFIXES = (4, 5, 6)
 #: A feature marks a token as toxic if so many of its documents are toxic, and by such a margin.
 SHARE, MARGIN, LEAST_DOCS = 0.9, 6.0, 5
@@ -67,13 +71,13 @@ def held_out(id_col):
 # ---- the chain ----
 
 def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray,
-              pairs: bool = False):
+              pairs: bool = False, weight: np.ndarray | None = None):
     """Probability of the toxic state at each token.
 
     ``emit``: log-odds of the current word's evidence; ``first``: whether a token
     starts a text; ``trans`` and ``start``: positive weights (not normalised).
     With ``pairs`` also the expected numbers of the four transitions and of the
-    two first states, and the log partition function.
+    two first states (a token counts ``weight`` times), and the log partition function.
     """
     n = len(emit)
     size = -(-n // BLOCK) * BLOCK
@@ -135,35 +139,66 @@ def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.
     joint = [before[i] * flat[4 + 2 * i + j] * flat[2 + j] for i in (0, 1) for j in (0, 1)]
     total = sum(joint)
     inner = ~first
-    moves = np.array([[(joint[2 * i + j] / total)[inner].sum() for j in (0, 1)] for i in (0, 1)])
-    starts = np.array([(1 - prob)[first].sum(), prob[first].sum()])
+    w = np.ones(n) if weight is None else weight
+    moves = np.array([[(joint[2 * i + j] / total * w)[inner].sum() for j in (0, 1)] for i in (0, 1)])
+    starts = np.array([((1 - prob) * w)[first].sum(), (prob * w)[first].sum()])
     return prob, moves, starts, log_z
 
 
 # ---- fitting, on the driver, from bounded inputs ----
 
-def _chain(texts: list[bytes]):
-    words, first = [], []
-    for t in texts:
-        ws = t.translate(WORD_BYTES).split()
-        words += ws
-        first += [True] + [False] * (len(ws) - 1) if ws else []
-    return words, np.array(first, bool)
-
-
-def fit_crf(texts: list[bytes], toxic: list[int], stats: dict[bytes, tuple[int, int]], share: float,
-            rounds: int = 40) -> dict:
-    """Feature weights, transitions and start weights from documents' derived token labels."""
+def marks_of(stats: dict[bytes, tuple[int, int]], share: float) -> set[bytes]:
+    """The features that mark a token of a toxic row as toxic."""
     marks = set()
     for f, (n_all, n_tox) in stats.items():
         z = (n_tox - n_all * share) / math.sqrt(max(n_all * share * (1 - share), 1e-9))
         if n_all >= LEAST_DOCS and n_tox >= SHARE * n_all and z >= MARGIN:
             marks.add(f)
+    return marks
+
+
+def windows_of(words: list[bytes], stats: dict, marks: set[bytes]) -> tuple[list[bytes], list[float]]:
+    """What the CRF is fitted on of one text, and how many windows each of them stands for."""
+    # Of a long word that is no feature, the prefixes are all that counts; no word holds a zero byte.
+    words = [w if len(w) <= WORD_SENT or b"w" + w in stats else w[:WORD_SENT] + b"\0" for w in words]
+    if sum(map(len, words)) + len(words) <= SAMPLE_BYTES:
+        return ([b" ".join(words)], [1.0]) if words else ([], [])
+    kinds: tuple[list, list] = ([], [])
+    for k in range(0, len(words), WINDOW):
+        part = words[k:k + WINDOW]
+        marked = not marks.isdisjoint(f for w in part for f in features_of(w))
+        window = b" ".join(part)
+        kinds[marked].append((zlib.crc32(window, k & 0xFFFFFFFF), k, window))
+    out, weight, left = [], [], SAMPLE_BYTES
+    few, many = sorted(kinds, key=len)
+    for kind, most in ((few, SAMPLE_BYTES // 2), (many, SAMPLE_BYTES)):
+        taken = []
+        for *_, window in sorted(kind):
+            most_left = min(most, left) - len(window)
+            if taken and most_left < 0:
+                break
+            taken.append(window)
+            most, left = most - len(window), left - len(window)
+        out += taken
+        weight += [len(kind) / len(taken)] * len(taken) if taken else []
+    return out, weight
+
+
+def fit_crf(texts: list[bytes], toxic: list[int], weight: list[float], stats: dict[bytes, tuple[int, int]],
+            marks: set[bytes], rounds: int = 40) -> dict:
+    """Feature weights, transitions and start weights from documents' derived token labels.
+
+    ``texts``: words joined by spaces (one at least), each counting ``weight`` times."""
     ids = {f: i for i, f in enumerate(stats)}
-    words, first = _chain(texts)
-    doc_of = np.cumsum(first) - 1
-    with_words = [y for t, y in zip(texts, toxic) if t.translate(WORD_BYTES).split()]
-    in_toxic = np.array(with_words, bool)[doc_of] if len(words) else np.zeros(0, bool)
+    chains = [t.split(b" ") for t in texts]
+    words = [w for ws in chains for w in ws]
+    size = np.array([len(ws) for ws in chains], np.int64)
+    first = np.zeros(len(words), bool)
+    first[np.cumsum(size) - size] = True
+    in_toxic = np.repeat(np.array(toxic, bool), size)
+    times = np.repeat(np.array(weight, float), size)
+    if len(words):
+        times /= times.mean()
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(words))}
     own = [features_of(w) for w in vocabulary]
     marked = np.array([any(f in marks for f in fs) for fs in own], bool)
@@ -174,15 +209,17 @@ def fit_crf(texts: list[bytes], toxic: list[int], stats: dict[bytes, tuple[int,
     weights, bias = np.zeros(len(ids)), np.zeros(1)
     log_trans, log_start = np.zeros((2, 2)), np.zeros(2)
     inner = np.flatnonzero(~first)
-    seen_moves = np.array([[((label[inner - 1] == i) & (label[inner] == j)).sum() for j in (0, 1)] for i in (0, 1)])
-    seen_starts = np.array([(~label[first]).sum(), label[first].sum()])
-    seen = np.bincount(token[label], minlength=len(vocabulary)).astype(float)
+    seen_moves = np.array([[times[inner][(label[inner - 1] == i) & (label[inner] == j)].sum() for j in (0, 1)]
+                           for i in (0, 1)])
+    seen_starts = np.array([times[first & ~label].sum(), times[first & label].sum()])
+    seen = np.bincount(token[label], times[label], len(vocabulary))
     groups = [weights, bias, log_trans, log_start]
     past = [np.full(g.shape, 1e-8) for g in groups]
     for _ in range(rounds if n and label.any() else 0):
         word_score = bias + np.bincount(pair[:, 0], weights[pair[:, 1]], len(vocabulary))
-        prob, moves, starts, _ = marginals(word_score[token], first, np.exp(log_trans), np.exp(log_start), True)
-        miss = seen - np.bincount(token, prob, len(vocabulary))
+        prob, moves, starts, _ = marginals(word_score[token], first, np.exp(log_trans), np.exp(log_start), True,
+                                           times)
+        miss = seen - np.bincount(token, prob * times, len(vocabulary))
         steps = [np.bincount(pair[:, 1], miss[pair[:, 0]], len(ids)) - 0.5 * weights, miss.sum(keepdims=True),
                  seen_moves - moves, seen_starts - starts]
         for g, p, s in zip(groups, past, steps):  # Adagrad: a rate for each weight
@@ -247,8 +284,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int =
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> dict:
     """The model: CRF and logistic weights.  Reads all labelled training rows, which are
-    written once; brings to the driver at most ``FEATURES`` counts and about
-    ``2 * SAMPLE`` texts of at most ``SAMPLE_CHARS``."""
+    written once; brings to the driver at most ``FEATURES`` counts and, of about
+    ``2 * SAMPLE`` texts, about ``SAMPLE_BYTES`` of words and the evidence of the whole text."""
     known = (pick(labels, id=id_col, y=label_col).where("id IS NOT NULL AND y IS NOT NULL")
              .where(~held_out(F.col("id"))).groupBy("id").agg((F.max("y") > 0).cast("int").alias("y")))
     texts = pick(docs, id=id_col, text=text_col).where("text IS NOT NULL").where(~held_out(F.col("id")))
@@ -289,19 +326,47 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         least = r["rank"]
     stats = {bytes(r.feature): (r.n_all, r.n_tox)
              for r in sorted(counts.where(F.col("rank") >= least).collect(), key=lambda r: bytes(r.feature))}
-    sample = []
+    parts = []
     for y, n in sorted(sizes.items()):
         part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < math.ceil((1 << 30) * min(1.0, SAMPLE / n))
-        sample += (rows.where((F.col("y") == y) & part & (F.length("text") <= SAMPLE_CHARS))
-                   .select("text", "y").limit(2 * SAMPLE).collect())
-    sample.sort(key=lambda r: (r.y, r.text))
-    texts, toxic = [r.text.encode() for r in sample], [r.y for r in sample]
-    crf = fit_crf(texts, toxic, stats, share)
-    y = np.array(toxic, float)
-    border = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64))).tolist()
-    tagger = Tagger(crf)
-    x = tagger.evidence(*tagger.tag(b"".join(texts), border))
-    weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+        parts.append(rows.where((F.col("y") == y) & part).select("y", "text").limit(2 * SAMPLE))
+    drawn = cut(parts[0].union(parts[1]).withColumn("key", F.md5(F.col("text").cast("binary"))))
+    return fit(drawn, stats, share)
+
+
+def fit(drawn: DataFrame, stats: dict[bytes, tuple[int, int]], share: float) -> dict:
+    """The model from the sampled rows (y, key, text), whose texts stay in the tasks."""
+    marks = marks_of(stats, share)
+
+    def show():
+        def compute(batch):
+            data, border = raw(batch.column("text"))
+            data = data.translate(WORD_BYTES)
+            return list(zip(*[windows_of(data[a:b].split(), stats, marks) for a, b in zip(border, border[1:])]))
+
+        return compute
+
+    def collected(new: StructType, make):
+        rows = map_rows(drawn.select(F.struct("y", "key").alias("row"), "text"), new, "text", make).collect()
+        return sorted(rows, key=lambda r: (r.row.y, r.row.key))
+
+    sample = collected(StructType([field("windows", ArrayType(BinaryType())), field("times", ArrayType(DoubleType()))]), show)
+    y = np.array([r.row.y for r in sample], float)
+    if not 0 < y.sum() < len(y):
+        return {"share": share}
+    crf = fit_crf([bytes(w) for r in sample for w in r.windows], [r.row.y for r in sample for _ in r.windows],
+                  [t for r in sample for t in r.times], stats, marks)
+
+    def weigh():
+        tagger = Tagger(crf)
+
+        def compute(batch):
+            return [list(tagger.evidence(*tagger.tag(*raw(batch.column("text")))))]
+
+        return compute
+
+    x = np.array([r.evidence for r in collected(StructType([field("evidence", ArrayType(DoubleType()))]), weigh)])
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     return {"share": share, "crf": crf, "logistic": fit_logistic(x, y, weight)}
 
 

@@ -320,3 +320,34 @@ def test_toxicity_without_labels(spark):
     model = toxicity.train(docs, labels.where("false"))
     assert {r.score for r in toxicity.score(docs, model, carry=["doc_id"]).collect()} == {0.0}
     assert toxicity.score(empty(spark), model).count() == 0
+
+
+def long_rows(spark, n, words, toxic_only=False):
+    """Rows of far more than ``SAMPLE_BYTES``; every fifth has two toxic words somewhere."""
+    rng = random.Random(3)
+    out = []
+    for i in range(n):
+        bad = i % 5 == 0
+        own = prose(rng, words if bad or not toxic_only else 30).split()
+        for _ in range(2 if bad else 0):
+            own.insert(rng.randrange(len(own)), rng.choice(["scumbag", "moronic"]))
+        out.append((i, " ".join(own), int(bad)))
+    return spark.createDataFrame(out, "doc_id long, text string, toxic int").repartition(4)
+
+
+@pytest.mark.parametrize("toxic_only", [False, True])
+def test_long_training_rows_count(spark, toxic_only):
+    table = long_rows(spark, 150, 3000, toxic_only)
+    model = toxicity.train(table.drop("toxic"), table.drop("text"))
+    got = toxicity.score(table, model, carry=["doc_id"]).select("row.doc_id", "score").collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 5 == 0) for r in got)
+
+
+def test_windows_of_long_texts():
+    stats = {b"wbad": (9, 9)}
+    words = [b"w%d" % k for k in range(50_000)] + [b"bad"] + [b"x" * 9000]
+    windows, times = toxicity.windows_of(words, stats, {b"wbad"})
+    assert sum(b"bad" in w.split(b" ") for w in windows) == 1
+    assert round(sum(times)) == -(-len(words) // toxicity.WINDOW)
+    assert sum(map(len, windows)) <= toxicity.SAMPLE_BYTES + 65 * toxicity.WINDOW
+    assert toxicity.windows_of([], stats, set()) == ([], [])
