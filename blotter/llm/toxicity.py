@@ -9,8 +9,8 @@ Only documents carry labels, so token labels come from them:
 2. A token of a toxic training row is labelled toxic if one of its features is
    nearly always in toxic rows.  The CRF (two states, features of the current
    word, transitions) is fitted by gradient ascent on the conditional
-   likelihood of a bounded sample (about ``SAMPLE`` rows of each class, of any
-   length, chosen by a hash of their text).  A text of more than ``SAMPLE_BYTES``
+   likelihood of a bounded sample (``SAMPLE`` distinct texts of each class, of any
+   length, those of the least digests, each counting as often as it has rows).  A text of more than ``SAMPLE_BYTES``
    stands there by windows of ``WINDOW`` words that a hash draws among those with
    and without a marked word, each weighted by the windows it stands for.
 3. Every text is tagged whole: forward-backward gives each token's marginal;
@@ -284,13 +284,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int =
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> dict:
     """The model: CRF and logistic weights.  Reads all labelled training rows, which are
-    written once; brings to the driver at most ``FEATURES`` counts and, of about
-    ``2 * SAMPLE`` texts, about ``SAMPLE_BYTES`` of words and the evidence of the whole text."""
+    written once; brings to the driver at most ``FEATURES`` counts and, of at most
+    ``2 * SAMPLE`` distinct texts, about ``SAMPLE_BYTES`` of words and the evidence of the whole text."""
     known = (pick(labels, id=id_col, y=label_col).where("id IS NOT NULL AND y IS NOT NULL")
              .where(~held_out(F.col("id"))).groupBy("id").agg((F.max("y") > 0).cast("int").alias("y")))
     texts = pick(docs, id=id_col, text=text_col).where("text IS NOT NULL").where(~held_out(F.col("id")))
     # Labels grow with the documents, so they are never broadcast.
-    rows = cut(texts.join(known.hint("merge"), "id").select("id", "text", "y"))
+    rows = cut(texts.join(known.hint("merge"), "id").select(
+        "text", "y", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), F.monotonically_increasing_id().alias("at")))
 
     def make():
         def compute(batch):
@@ -307,8 +308,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return compute
 
     counted = StructType([field("feature", BinaryType()), field("n_all", LongType()), field("n_tox", LongType())])
-    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n_all, n_tox = sum(sizes.values()), sizes.get(1, 0)
+    # Equal texts of a class are one: its number of rows, and one place to read it from.
+    distinct = cut(rows.groupBy("y", "key").agg(F.count("*").alias("n"), F.min("at").alias("at")))
+    sizes = {r.y: r for r in distinct.groupBy("y").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()}
+    n_all, n_tox = sum(r.n for r in sizes.values()), sizes[1].n if 1 in sizes else 0
     share = n_tox / n_all if n_all else 0.0
     if not 0 < n_tox < n_all:
         return {"share": share}
@@ -326,16 +329,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         least = r["rank"]
     stats = {bytes(r.feature): (r.n_all, r.n_tox)
              for r in sorted(counts.where(F.col("rank") >= least).collect(), key=lambda r: bytes(r.feature))}
-    parts = []
-    for y, n in sorted(sizes.items()):
-        part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < math.ceil((1 << 30) * min(1.0, SAMPLE / n))
-        parts.append(rows.where((F.col("y") == y) & part).select("y", "text").limit(2 * SAMPLE))
-    drawn = cut(parts[0].union(parts[1]).withColumn("key", F.md5(F.col("text").cast("binary"))))
+    chosen = []
+    for y, r in sorted(sizes.items()):
+        own = distinct.where(F.col("y") == y)
+        if r.texts > 8 * SAMPLE:  # the least keys are among the first ones, of which four times as many are to be expected
+            own = own.where(F.col("key") < F.lit(((4 * SAMPLE << 64) // r.texts).to_bytes(8, "big")))
+        chosen.append(own.orderBy("key").limit(SAMPLE).select("at", "n"))
+    drawn = cut(rows.join(F.broadcast(chosen[0].union(chosen[1])), "at").select("y", "key", "n", "text"))
     return fit(drawn, stats, share)
 
 
 def fit(drawn: DataFrame, stats: dict[bytes, tuple[int, int]], share: float) -> dict:
-    """The model from the sampled rows (y, key, text), whose texts stay in the tasks."""
+    """The model from the sampled texts (y, key, n rows, text), which stay in the tasks."""
     marks = marks_of(stats, share)
 
     def show():
@@ -347,26 +352,29 @@ def fit(drawn: DataFrame, stats: dict[bytes, tuple[int, int]], share: float) ->
         return compute
 
     def collected(new: StructType, make):
-        rows = map_rows(drawn.select(F.struct("y", "key").alias("row"), "text"), new, "text", make).collect()
-        return sorted(rows, key=lambda r: (r.row.y, r.row.key))
+        rows = map_rows(drawn.select(F.struct("y", "key", "n").alias("row"), "text"), new, "text", make).collect()
+        return sorted(rows, key=lambda r: (r.row.y, bytes(r.row.key)))
 
     sample = collected(StructType([field("windows", ArrayType(BinaryType())), field("times", ArrayType(DoubleType()))]), show)
     y = np.array([r.row.y for r in sample], float)
     if not 0 < y.sum() < len(y):
         return {"share": share}
     crf = fit_crf([bytes(w) for r in sample for w in r.windows], [r.row.y for r in sample for _ in r.windows],
-                  [t for r in sample for t in r.times], stats, marks)
+                  [t * r.row.n for r in sample for t in r.times], stats, marks)
 
     def weigh():
         tagger = Tagger(crf)
 
         def compute(batch):
-            return [list(tagger.evidence(*tagger.tag(*raw(batch.column("text")))))]
+            data, border = raw(batch.column("text"))
+            # Each text on its own, so that rounding does not depend on its neighbours.
+            return [[tagger.evidence(*tagger.tag(data[a:b], [0, b - a]))[0] for a, b in zip(border, border[1:])]]
 
         return compute
 
     x = np.array([r.evidence for r in collected(StructType([field("evidence", ArrayType(DoubleType()))]), weigh)])
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    n = np.array([r.row.n for r in sample], float)
+    weight = len(n) * n * np.where(y == 1, share / n[y == 1].sum(), (1 - share) / n[y == 0].sum())
     return {"share": share, "crf": crf, "logistic": fit_logistic(x, y, weight)}
 
 

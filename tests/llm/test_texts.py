@@ -351,3 +351,28 @@ def test_windows_of_long_texts():
     assert round(sum(times)) == -(-len(words) // toxicity.WINDOW)
     assert sum(map(len, windows)) <= toxicity.SAMPLE_BYTES + 65 * toxicity.WINDOW
     assert toxicity.windows_of([], stats, set()) == ([], [])
+
+
+def test_copies_are_drawn_once_and_counted(spark, monkeypatch):
+    """Toxic rows in few groups of copies are in the sample, whatever the partitions, as often as they occur."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 10)
+    rng = random.Random(11)
+    groups = [" ".join([*prose(rng, 12).split(), w, *prose(rng, 9).split()]) for w in ("scumbag", "moronic scumbag", "moronic")]
+    out = [(i, groups[i % 3], 1) for i in range(150)] + [(i, prose(rng, 20), 0) for i in range(150, 600)]
+    out += [(i, "the same clean text", 0) for i in range(600, 800)]
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda drawn, *a: (seen.append(drawn.collect()), fit(drawn, *a))[1])
+    models = []
+    for parts in (1, 7):
+        table = spark.createDataFrame(out, "doc_id long, text string, toxic int").repartition(parts, "doc_id")
+        models.append(toxicity.train(table.drop("toxic"), table.drop("text")))
+    kept = [r for r in out if zlib.crc32(str(r[0]).encode()) % 5]
+    for drawn in seen:
+        assert {r.text: r.n for r in drawn if r.y} == {g: sum(r[1] == g for r in kept) for g in groups}
+        clean = sorted({r[1] for r in kept if not r[2]}, key=lambda t: hashlib.md5(t.encode()).digest())[:10]
+        assert {r.text: r.n for r in drawn if not r.y} == {t: sum(r[1] == t for r in kept) for t in clean}
+    assert models[0]["crf"]["weights"] == models[1]["crf"]["weights"]
+    assert (models[0]["logistic"] == models[1]["logistic"]).all()
+    got = toxicity.score(table, models[0], carry=["doc_id"]).select("row.doc_id", "score").collect()
+    assert all(r.score >= 0.5 for r in got if r.doc_id < 150) and all(r.score < 0.5 for r in got if r.doc_id >= 600)
