@@ -11,6 +11,13 @@ outside it are boilerplate too; inside it, a long block without stop words is
 undecided (prose of an unknown language, tables) rather than boilerplate, and a
 block without any decided neighbour stays.
 
+On other pages, blocks of prose that follow each other are long or short by their
+joint length.  A page whose prose has few stop words as a whole is of a language
+without a list (or with too short a one): there, and in a script without lists,
+missing stop words say nothing, and blocks are judged by links and length.  If no
+block is good, the runs of undecided blocks stay that hold a longer block or are
+long together, and all undecided blocks of a page that has no decided one.
+
 Text: character references are decoded, white space in a block becomes one
 space, blocks are trimmed and joined by one line feed in page order.
 
@@ -33,7 +40,8 @@ from blotter.llm.common import field, map_rows, with_row
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.10, 0.20
 LINKS_OUTSIDE, LINKS_INSIDE = 0.2, 0.6
-STOP_WORDS = frozenset("""
+#: Languages that share words stand together; the list that fits a block best counts.
+STOP_LISTS = [frozenset(x.split()) for x in ("""
 a an and are as at be but by for from has have he her his i if in is it its not of on or she that the their there they
 this to was we were which will with you
 aber als am auch auf aus bei das dem den der des die ein eine einer es für im ist mit nicht noch sich sie sind so und
@@ -41,7 +49,55 @@ von vor war werden wie wird zu zum zur
 au aux avec ce cette dans de des du elle en est et il la le les leur mais ne ou par pas plus pour que qui sa se son sont
 sur un une
 al como con del el ella en era es esta este la las lo los más no o para pero por que se sin su sus un una y
-""".split())
+""", """
+и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по ее мне было вот от о из ему для при это
+этот эта эти или мы они был была были быть который которые до если уже когда также их чем
+""", """
+і й в у не що він на я з із як а то все вона так його але та до від за по для при це цей ця ці або ми вони був була
+було були який які якщо вже коли також їх про
+""", """
+и в на не че той се за от да с си е са като а но по до при това този тази тези или ние те беше бяха който които ще му ги
+""", """
+i w we z ze na do nie się że to jest są o od po za jak ale co dla przez przy który która które oraz tym tego jego jej
+ich był była było były być a u tak czy już tylko
+""", """
+a i v ve s se na do z ze že je jsou o od po za jak ale pro při který která které byl byla bylo být nebo by si jeho ako
+sa so nie to sú bol bola bolo pre pri ktorý ktorá ktoré
+""", """
+i u na se je da su za od iz o po s sa kao ali što koji koja koje bio bila bilo biti ili ne to ovaj ova in je ki za pa ni
+""", """
+ve bir bu da de için ile o ne gibi daha çok olarak olan var en kadar sonra ama her ki mi ya ise değil onun ben biz onlar
+""", """
+di e il la lo i gli le un uno una a in che non è per con da del della dei delle nel nella al alla si come più ma anche
+sono era ha sul dal su se o
+""", """
+de e o a os as um uma em no na nos nas que não é para com por do da dos das ao à se como mais mas foi são era ou seu sua
+""", """
+de het een en van in is dat op te zijn met voor niet aan er om ook als maar bij door uit naar was dan nog of wordt die hij
+""", """
+och att det i en som på är av för med den till inte om ett har de var men så vi kan från eller hade og er på til ikke af
+at han hun et fra jeg vi ble blev
+""", """
+ja on ei se että hän oli mutta kun niin ovat joka ole myös tai kuin jos sen mitä olla ollut vain sekä nyt
+""", """
+a az és hogy nem is egy ez meg de van volt ha már csak mint el vagy még azt ki be lesz után
+""", """
+și de a în la cu nu că pe o un se din mai este sunt care pentru au fost ca sau dar lui ale prin
+""", """
+yang dan di ke dari untuk dengan ini itu pada tidak adalah dalam juga akan atau oleh ada telah sebagai bahwa tersebut
+""", """
+và của là có cho không được một trong các đã với những người để này khi ở từ cũng như đến
+""", """
+και το η ο να του της με για την που τα στο στη από ότι είναι τον των δεν θα σε μια ένα ως οι τις τους αλλά
+""", """
+في من على أن إلى عن مع هذا هذه التي الذي كان كانت لا ما هو هي أو ثم بعد قد بين كل
+""", """
+של את על לא הוא היא זה עם כי גם אל או אם כל יש היה היתה זו אך אבל
+""", """
+के की का में है और से को पर ने यह कि एक हैं भी नहीं था थे इस वह या तो कर
+""")]
+STOP_WORDS: dict[str, tuple[int, ...]] = {w: tuple(i for i, x in enumerate(STOP_LISTS) if w in x)
+                                          for w in frozenset().union(*STOP_LISTS)}
 BLOCK_TAGS = frozenset("""
 address article aside blockquote body canvas caption center col colgroup dd details dialog dir div dl dt fieldset
 figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav
@@ -68,9 +124,12 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 RAW_TAGS = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe")}
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[a-z0-9]+")
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"(?:[^\W\d_][\u0900-\u0903\u093a-\u094f]*)+")
+#: Letters of scripts that no list is for, and of those that write several letters in one.
+UNLISTED = re.compile("[^\\W\\d_\u0000-\u052f\u0590-\u06ff\u0900-\u097f\u1e00-\u1fff]")
+DENSE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
-GOOD, BAD, OPEN = 1, 0, None
+GOOD, BAD, OPEN, PROSE = 1, 0, None, 2
 
 
 def boilerplate(tag: str, attributes: str, inside: int = 0) -> bool:
@@ -182,22 +241,77 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block, has_content: bool):
-    """GOOD, BAD or OPEN (undecided), from the block alone."""
+def length(b: Block) -> int:
+    """In letters of an alphabet: a Chinese, Japanese or Korean one stands for three."""
+    return len(b.text) if b.text.isascii() else len(b.text) + 2 * len(DENSE.findall(b.text))
+
+
+def stop_words(text: str) -> tuple[int, int]:
+    """Stop words of the list that fits best, and all words."""
+    words = LETTERS.findall(text.lower())
+    counts = [0] * len(STOP_LISTS)
+    for w in words:
+        for i in STOP_WORDS.get(w, ()):
+            counts[i] += 1
+    return max(counts), len(words)
+
+
+def prose_share(blocks: list[Block]) -> float:
+    """The share of stop words in all blocks that may be prose by links and length."""
+    stop = words = 0
+    for b in blocks:
+        if b.links <= len(b.text) * LINKS_OUTSIDE and length(b) >= LENGTH_LOW:
+            n, m = stop_words(b.text)
+            stop, words = stop + n, words + m
+    return stop / max(1, words)
+
+
+def first_pass(b: Block, has_content: bool, known: bool = True):
+    """GOOD, BAD, OPEN (undecided) or PROSE (undecided but for its length), from the block alone;
+    ``known``: whether stop words tell prose on this page."""
     if b.dropped or has_content and not b.inside:
         return BAD
-    size = len(b.text)
-    if b.links > size * (LINKS_INSIDE if b.inside else LINKS_OUTSIDE):
+    if b.links > len(b.text) * (LINKS_INSIDE if b.inside else LINKS_OUTSIDE):
         return BAD
+    size = length(b)
     if size < LENGTH_LOW:
         return OPEN
-    words = LETTERS.findall(b.text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    n, words = stop_words(b.text)
+    stop = n / max(1, words)
     if stop >= STOP_HIGH:
-        return GOOD if size > LENGTH_HIGH or b.inside else OPEN
-    if stop >= STOP_LOW or b.inside:
+        return GOOD if size > LENGTH_HIGH or b.inside else PROSE
+    if b.inside:
         return OPEN
-    return BAD
+    if not known or not b.text.isascii() and 2 * len(UNLISTED.findall(b.text)) > len(b.text):
+        return GOOD if size > LENGTH_HIGH else PROSE
+    return OPEN if stop >= STOP_LOW else BAD
+
+
+def join_runs(blocks: list[Block], labels: list) -> list:
+    """PROSE becomes GOOD where the prose between two BAD blocks is long together, else OPEN;
+    without any GOOD block, runs of undecided ones are."""
+    n = len(blocks)
+    runs, run = [], []
+    for i in range(n):
+        if run and (labels[i] == BAD or blocks[i].inside != blocks[run[0]].inside):
+            runs.append(run)
+            run = []
+        if labels[i] != BAD:
+            run.append(i)
+    runs.append(run)
+    out = [OPEN if x == PROSE else x for x in labels]
+    for run in runs:
+        prose = [i for i in run if labels[i] in (PROSE, GOOD)]
+        if sum(length(blocks[i]) for i in prose) > LENGTH_HIGH:
+            for i in prose:
+                out[i] = GOOD
+    if GOOD not in out:
+        for run in runs:
+            sizes = [length(blocks[i]) for i in run]
+            if BAD not in out or max(sizes, default=0) >= LENGTH_LOW or sum(sizes) > LENGTH_HIGH:
+                for i in run:
+                    out[i] = GOOD
+    return out
 
 
 def second_pass(blocks: list[Block], labels: list) -> list[bool]:
@@ -238,7 +352,10 @@ def main_text(html: str | None) -> str:
         return ""
     blocks = [b for b in blocks_of(html) if not b.dropped]
     has_content = any(b.inside for b in blocks)
-    labels = [first_pass(b, has_content) for b in blocks]
+    known = has_content or prose_share(blocks) >= STOP_HIGH
+    labels = [first_pass(b, has_content, known) for b in blocks]
+    if not has_content:
+        labels = join_runs(blocks, labels)
     return "\n".join(b.text for b, keep in zip(blocks, second_pass(blocks, labels)) if keep)
 
 

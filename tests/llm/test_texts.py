@@ -118,6 +118,33 @@ def test_neighbours_decide_short_blocks():
     assert html_extract.second_pass(b, [1, None, None, None, 0]) == [True, True, False, False, False]
 
 
+MENU = "<ul>" + "<li><a href=x>a link of the menu</a></li>" * 5 + "</ul>"
+SENTENCES = {
+    "russian": "Вчера вечером группа учёных сообщила о новых результатах исследований глубоководных течений Атлантики. ",
+    "chinese": "研究人员昨天宣布大西洋深处洋流测量取得新成果并将于明年公布全部观测数据供各国同行检验。",
+    "polish": "Zespół badaczy ogłosił wczoraj wyniki pomiarów głębinowych prądów Atlantyku oraz dalsze plany wyprawy. ",
+    "turkish": "Araştırmacılar dün Atlantik derinliklerindeki akıntıların ölçüm sonuçlarını kamuoyuna ayrıntılarıyla açıkladı. ",
+    "unlisted": "Watafiti walitangaza jana matokeo mapya yaliyopatikana kutokana uchunguzi wao baharini karibu Zanzibar. ",
+    "english": "The team of the station said that it was on the way to the sea with a new boat in May. "}
+
+
+@pytest.mark.parametrize("name", SENTENCES)
+@pytest.mark.parametrize("times", [1, 4])
+def test_pages_without_article_element(name, times):
+    """Menus go and paragraphs stay, whatever the language, be they of one sentence or longer."""
+    text = (SENTENCES[name] * times).strip()
+    page = f"<body>{MENU}" + f"<p>{text}</p>" * 5 + f"{MENU}</body>"
+    assert html_extract.main_text(page) == "\n".join([text] * 5)
+
+
+def test_undecided_pages_stay():
+    assert html_extract.main_text("<p>Short.</p><p>Two lines.</p>") == "Short.\nTwo lines."
+    lines = [f"line {i} of verse" for i in range(20)]
+    assert html_extract.main_text(MENU + "".join(f"<p>{x}</p>" for x in lines) + MENU) == "\n".join(lines)
+    # On a page of known language, a list without stop words is still no text.
+    assert "Alpha" not in html_extract.main_text(f"<p>{LONG}</p><p>{LONG}</p>{MENU}<p>{'Alpha Beta Gamma ' * 6}</p>{MENU}")
+
+
 # ---- 6: secrets ----
 
 SECRET = "token = 'abcdefghijkl0123'"
