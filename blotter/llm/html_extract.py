@@ -6,7 +6,9 @@ label of its nearest decided neighbours.
 
 What a tag or its class, id or role names as menu, header, footer, sidebar,
 notice, advert, form, reader comment, script or style is decided as boilerplate
-before the rules.  If a page has an ``article`` or ``main`` element, the blocks
+before the rules.  What only a class or id names so is a wrapper all the same, and
+loses nothing but its own boilerplate, if it holds the page's only article or
+main elements or, without such, most of its prose.  If a page has an ``article`` or ``main`` element, the blocks
 outside it are boilerplate too; inside it, a long block without stop words is
 undecided (prose of an unknown language, tables) rather than boilerplate, and a
 block without any decided neighbour stays.
@@ -117,6 +119,13 @@ modal nav navbar navigation newsletter notice notices overlay pager pagination p
 related replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subnav subscribe
 toast toolbar topbar topnav widget
 """.split())
+#: Words that make a class say something of the layout or state of an element, not what it is.
+MODIFIERS = frozenset("""
+accepted active closed collapsed disable disabled enable enabled exclude has hide inactive is loaded loading no non not
+off on open opened show shown visible wide with without
+""".split())
+#: Names of what readers wrote: it may be most of a page's prose.
+READERS = frozenset("comment commentlist comments discussion disqus replies reply respond".split())
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -132,38 +141,52 @@ DENSE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003fff
 GOOD, BAD, OPEN, PROSE = 1, 0, None, 2
 
 
-def boilerplate(tag: str, attributes: str, inside: int = 0) -> bool:
+#: How sure it is that an element is no article text: by tag, role or style; by a name; by a name of readers' comments.
+SURE, NAMED, COMMENTS = 1, 2, 3
+
+
+def boilerplate(tag: str, attributes: str, inside: int = 0) -> int:
     """Whether a start tag opens something that is no article text; ``inside`` an article, a header is its own."""
     if tag in DROPPED_TAGS or tag == "header" and not inside:
-        return True
+        return SURE
     if not attributes.strip() or tag in CONTENT_TAGS and "comment" not in attributes.lower() or tag in ("html", "body"):
-        return False
+        return 0
+    named = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            words = NAME.findall(value)
-            if any(w in DROPPED_NAMES for w in words) or "header" in words and not inside and tag not in HEADINGS:
-                return True
+            for token in value.split():
+                words = NAME.findall(token)
+                if not MODIFIERS.isdisjoint(words):
+                    continue
+                if not READERS.isdisjoint(words):
+                    named = COMMENTS
+                elif any(w in DROPPED_NAMES for w in words) or "header" in words and not inside and tag not in HEADINGS:
+                    named = named or NAMED
         elif name == "role" and value in DROPPED_ROLES:
-            return True
+            return SURE
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return SURE
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return SURE
+    return named
 
 
 class Block:
-    __slots__ = ("text", "links", "dropped", "inside")
+    __slots__ = ("text", "links", "dropped", "inside", "named")
 
-    def __init__(self, text: str, links: int, dropped: bool, inside: int):
+    def __init__(self, text: str, links: int, dropped: bool, inside: int, named: tuple = ()):
         self.text, self.links, self.dropped, self.inside = text, links, dropped, inside
+        self.named = named  # the elements around it that a name drops: number, kind
 
 
 def blocks_of(html: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, dropped, number of the content element, link
-    top = ("", False, 0, False)
+    # Tag, dropped for sure, number of the content element, link, dropped elements by name around it, whether itself dropped.
+    stack: list[tuple[str, bool, int, bool, tuple, bool]] = []
+    outside = ("", False, 0, False, (), False)
+    top = outside
+    names = 0
     parts: list[str] = []
     linked: list[str] = []
     contents = 0
@@ -173,7 +196,7 @@ def blocks_of(html: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 links = len(" ".join(unescape("".join(linked)).split())) if linked else 0
-                out.append(Block(text, links, top[1], top[2]))
+                out.append(Block(text, links, top[1], top[2], top[4]))
             parts.clear()
             linked.clear()
 
@@ -202,11 +225,11 @@ def blocks_of(html: str) -> list[Block]:
             add(" ")
         if m[1]:
             found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if block or found is not None and any(s[0] in BLOCK_TAGS or s[1] for s in stack[found:]):
+            if block or found is not None and any(s[0] in BLOCK_TAGS or s[5] for s in stack[found:]):
                 close()
             if found is not None:
                 del stack[found:]
-                top = stack[-1] if stack else ("", False, 0, False)
+                top = stack[-1] if stack else outside
             continue
         if block:
             close()
@@ -215,19 +238,23 @@ def blocks_of(html: str) -> list[Block]:
                 name = stack[k][0]
                 if name == "p" or name == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
                     del stack[k:]
-                    top = stack[-1] if stack else ("", False, 0, False)
+                    top = stack[-1] if stack else outside
                     break
                 if name in BLOCK_TAGS:
                     break
         if tag in VOID_TAGS:
             continue
-        gone = top[1] or boilerplate(tag, m[3], top[2])
-        if gone and not top[1]:
+        why = 0 if top[1] else boilerplate(tag, m[3], top[2])
+        gone = top[1] or why == SURE
+        if why:
             close()
         if m[3].endswith("/") and tag not in BLOCK_TAGS and tag not in RAW_TAGS:
             continue
-        inside = top[2]
-        if tag in CONTENT_TAGS and not gone and not inside:
+        inside, named = top[2], top[4]
+        if why > SURE:
+            names += 1
+            named = (*named, (names, why))
+        if tag in CONTENT_TAGS and not gone and why != COMMENTS and not inside:
             contents += 1
             inside = contents
         if tag in RAW_TAGS:
@@ -235,7 +262,7 @@ def blocks_of(html: str) -> list[Block]:
             if tag != "xmp":
                 at = end.end() if end else len(html)
                 continue
-        top = (tag, gone, inside, top[3] or tag == "a")
+        top = (tag, gone, inside, top[3] or tag == "a", named, bool(why))
         stack.append(top)
     close()
     return out
@@ -266,6 +293,32 @@ def prose_share(blocks: list[Block]) -> float:
     return stop / max(1, words)
 
 
+def without_named(blocks: list[Block]) -> list[Block]:
+    """The blocks that no name drops.  Elements that hold all that is left of the page are not dropped by name."""
+    if not any(b.named for b in blocks):
+        return blocks
+    free = [b for b in blocks if not b.named]
+
+    def prose(b: Block) -> int:
+        return len(b.text) if b.links <= len(b.text) * LINKS_OUTSIDE and length(b) >= LENGTH_LOW else 0
+
+    held: dict = {}
+    total = 0
+    article = any(b.inside for b in free)
+    for b in blocks:
+        size = prose(b)
+        own = not any(kind == COMMENTS for _, kind in b.named)
+        total += size if own else 0
+        for x in b.named:
+            old = held.get(x, (0, False))
+            # Where an article is left, what stands outside it is no part of it.
+            held[x] = (old[0] + (size if (own or x[1] == COMMENTS) and (b.inside or not article) else 0),
+                       old[1] or bool(b.inside) and own and not article)
+    kept = {x for x, (size, content) in held.items()
+            if (content or 2 * size > total if x[1] == NAMED else size and not total)}
+    return [b for b in blocks if kept.issuperset(b.named)]
+
+
 def first_pass(b: Block, has_content: bool, known: bool = True):
     """GOOD, BAD, OPEN (undecided) or PROSE (undecided but for its length), from the block alone;
     ``known``: whether stop words tell prose on this page."""
@@ -350,7 +403,7 @@ def second_pass(blocks: list[Block], labels: list) -> list[bool]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    blocks = [b for b in blocks_of(html) if not b.dropped]
+    blocks = without_named([b for b in blocks_of(html) if not b.dropped])
     has_content = any(b.inside for b in blocks)
     known = has_content or prose_share(blocks) >= STOP_HIGH
     labels = [first_pass(b, has_content, known) for b in blocks]

@@ -145,6 +145,22 @@ def test_undecided_pages_stay():
     assert "Alpha" not in html_extract.main_text(f"<p>{LONG}</p><p>{LONG}</p>{MENU}<p>{'Alpha Beta Gamma ' * 6}</p>{MENU}")
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content no-sidebar", "main-search-enabled", "post with-comments",
+                                  "share-page", "legal", "page-header-wrap search"])
+@pytest.mark.parametrize("tag", ["p", "article", "main"])
+def test_wrappers_keep_their_text(name, tag):
+    """Names of the layout drop no page, but what stands in the wrapper as boilerplate goes."""
+    page = (f"<body><div class='{name}'><div class=sidebar>{LONG}</div><{tag}>{LONG}{LONG}</{tag}>"
+            f"<div id=comments><p>{LONG * 9}</p></div></div><div class=footer-notice>{LONG}</div></body>")
+    assert html_extract.main_text(page) == (LONG + LONG).strip()
+
+
+def test_parts_named_beside_an_article_go():
+    page = (f"<article><p>{LONG}</p></article><div class=sidebar><article>{LONG * 5}</article></div>"
+            f"<div class=legal><p>{LONG * 9}</p></div><div class='comments'><article>{LONG * 9}</article></div>")
+    assert html_extract.main_text(page) == LONG.strip()
+
+
 # ---- 6: secrets ----
 
 SECRET = "token = 'abcdefghijkl0123'"
