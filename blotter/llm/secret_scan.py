@@ -6,8 +6,10 @@ unwraps layers until nothing new appears:
 * URL escapes (``%41``) and Unicode escapes (``\\u0041``, ``\\x41``,
   ``&#65;``, ``&#x41;``) are decoded over a whole layer, keeping the original
   span of every decoded character;
-* base64 runs (both alphabets) that decode to text, or to gzip, zlib, bzip2 or
-  xz data which is then unpacked, become layers of their own.
+* base64 runs (both alphabets), joined over line breaks, are decoded in all four
+  alignments, as what stands in front may belong to the alphabet; bytes that are
+  no text stand as one character each.  gzip, zlib, bzip2 or xz data that begins
+  with any group of four in them is unpacked to layers of its own.
 
 Every layer is scanned with the base patterns and its spans are mapped to the
 document's code points: through the characters' spans for escapes, to the
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -49,7 +52,12 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Shortest base64 run that can hold a secret: 16 bytes.
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
+LEAST_RUN = 22
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]++(?:[ \t]*(?:\r\n?|\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/_-]++)*+={0,2}")
+BREAK = re.compile(r"[ \t]*(?:\r\n?|\n|\\r\\n|\\n)[ \t]*")
+#: The least of plain characters side by side that a decoded secret, plain or wrapped again, has.
+PLAIN = re.compile(rb"[\t\n\r -~]{16}")
+MAGIC = re.compile(rb"\x1f\x8b|BZh|\xfd7zXZ|x[\x01\x5e\x9c\xda]")
 ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+"
                     r"|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 PACKED = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor),
@@ -57,7 +65,6 @@ PACKED = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompr
           (b"x\x5e", zlib.decompressobj), (b"x\x9c", zlib.decompressobj), (b"x\xda", zlib.decompressobj))
 
 HEX_BYTES = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
-BASE64_BYTES = bytes(120 if re.match(r"[A-Za-z0-9+/_-]", chr(b)) and b < 128 else 32 for b in range(256))
 
 
 def base_spans(text: str, data: bytes | None = None) -> list[tuple[int, int, int]]:
@@ -115,7 +122,8 @@ class Layer:
         return a, b
 
     def key(self):
-        return self.text, self.span(0, len(self.text))
+        text = self.text.encode("utf-8", "surrogatepass")
+        return text if len(text) <= 32 else hashlib.sha256(text).digest(), len(text), self.span(0, len(self.text))
 
     def unescaped(self) -> Layer | None:
         """The layer with its escapes decoded; keeps places of decoded characters and plain stretches only."""
@@ -151,38 +159,80 @@ class Layer:
 
         return Layer("".join(text), self, to_parent)
 
+    def inner(self):
+        """The layers inside, one at a time."""
+        if "%" in self.text or "\\" in self.text or "&#" in self.text:
+            layer = self.unescaped()
+            if layer is not None:
+                yield layer
+        yield from self.unwrapped()
+
     def unwrapped(self):
         """Layers inside the base64 runs."""
         for m in BASE64.finditer(self.text):
-            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            if len(body) % 4 == 1:
-                continue
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-            whole = m.span()
-            unpack = next((opened for magic, opened in PACKED if data.startswith(magic)), None)
-            if unpack is not None:
-                try:
-                    text = unpack().decompress(data, MAX_UNPACKED).decode("utf-8", "replace")
-                except (zlib.error, OSError, lzma.LZMAError, EOFError):
-                    continue
-                yield Layer(text, self, lambda a, b, whole=whole: whole)
-                continue
-            try:
-                text = data.decode("utf-8")
-            except UnicodeDecodeError:
+            if m.end() - m.start() < LEAST_RUN:
                 continue
-            if text.translate(CONTROLS) != text:
-                continue
-
-            def groups(a: int, b: int, text=text, whole=whole) -> tuple[int, int]:
-                a, b = (a, b) if text.isascii() else (len(text[:a].encode()), len(text[:b].encode()))
-                return whole[0] + a // 3 * 4, min(whole[0] + -(-b // 3) * 4, whole[1])
+            body = m[0].rstrip("=")
+            lines = _lines(body, m.start())
+            for a, line in lines if len(lines) > 1 else []:
+                if len(line) >= LEAST_RUN:
+                    yield from self._decoded([(a, line)], m.end() if a + len(line) == m.start() + len(body) else a + len(line), 0)
+            if sum(len(line) for _, line in lines) >= LEAST_RUN:
+                for shift in range(4):
+                    yield from self._decoded(lines, m.end(), shift)
+
+    def _decoded(self, lines: list[tuple[int, str]], end: int, shift: int):
+        """Layers of the lines (place, characters) decoded as one run that begins ``shift`` characters later."""
+        run = "".join(line for _, line in lines)
+        body = run[shift:].replace("-", "+").replace("_", "/")
+        if len(body) % 4 == 1:
+            body = body[:-1]
+        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        new = [0]
+        for _, line in lines:
+            new.append(new[-1] + len(line))
+
+        def place(k: int) -> int:
+            i = bisect_right(new, k, 0, len(lines)) - 1
+            return lines[i][0] + k - new[i]
+
+        def region(a: int, b: int) -> tuple[int, int]:
+            first, last = shift + a // 3 * 4, shift + -(-b // 3) * 4
+            return place(first), place(last - 1) + 1 if last < len(run) else end
+
+        for m in MAGIC.finditer(data):
+            if m.start() % 3 == 0:
+                whole = region(m.start(), len(data))
+                for text in _unpacked(data, m.start()):
+                    yield Layer(text, self, lambda a, b, whole=whole: whole)
+        if PLAIN.search(data):
+            # A byte that is no text becomes one character, so that places can be counted.
+            text = data.decode("utf-8", "surrogateescape")
+
+            def groups(a: int, b: int) -> tuple[int, int]:
+                if text.isascii():
+                    return region(a, b)
+                return region(*(len(text[:k].encode("utf-8", "surrogateescape")) for k in (a, b)))
 
             yield Layer(text, self, groups)
 
 
-#: Characters that text does not hold.
-CONTROLS = {i: None for i in [*range(9), 11, 12, *range(14, 32), 127]}
+def _unpacked(data: bytes, at: int):
+    """The text of the compressed data that begins there."""
+    opened = next(opened for magic, opened in PACKED if data.startswith(magic, at))
+    try:
+        yield opened().decompress(memoryview(data)[at:], MAX_UNPACKED).decode("utf-8", "replace")
+    except (zlib.error, OSError, lzma.LZMAError, EOFError):
+        return
+
+
+def _lines(body: str, at: int) -> list[tuple[int, str]]:
+    """The lines of a joined run, each with its place in the text."""
+    out, k = [], 0
+    for m in BREAK.finditer(body):
+        out.append((at + k, body[k:m.start()]))
+        k = m.end()
+    return [*out, (at + k, body[k:])]
 
 
 def all_spans(text: str, data: bytes | None = None) -> tuple[list, list]:
@@ -190,24 +240,21 @@ def all_spans(text: str, data: bytes | None = None) -> tuple[list, list]:
     data = text.encode("utf-8", "surrogatepass") if data is None else data
     base = base_spans(text, data)
     found = set(base)
-    todo = [Layer(text)]
-    seen = {todo[0].key()}
+    seen = set()
+    todo = [iter([Layer(text)])]
     while todo:
-        layer = todo.pop()
+        layer = next(todo[-1], None)
+        if layer is None:
+            todo.pop()
+            continue
+        if not layer.text or (key := layer.key()) in seen:
+            continue
+        seen.add(key)
         if layer.parent is not None:
             for a, kind, b in base_spans(layer.text):
                 s, e = layer.span(a, b)
                 found.add((s, kind, e))
-        inner = data if layer.parent is None else layer.text.encode("utf-8", "surrogatepass")
-        new = []
-        if b"%" in inner or b"\\" in inner or b"&#" in inner:
-            new.append(layer.unescaped())
-        if b"x" * 22 in inner.translate(BASE64_BYTES):
-            new += layer.unwrapped()
-        for x in new:
-            if x is not None and x.text and x.key() not in seen:
-                seen.add(x.key())
-                todo.append(x)
+        todo.append(layer.inner())
     return base, sorted(found)
 
 
