@@ -17,8 +17,10 @@ groups of four for base64, and to the whole run for compressed data.  A layer
 is keyed by its text and the region it came from; one seen before is not
 unwrapped again, so cycles end.  A span found in several layers counts once.
 
-Memory: a compressed run is unpacked to at most ``MAX_UNPACKED`` bytes (a guard
-against decompression bombs); what lies beyond is not scanned.
+Memory: compressed data is unpacked to its end, members that follow each other
+included, and scanned in pieces of about ``PIECE`` bytes.  A piece ends where no
+pattern, escape or base64 goes on; one of ``LONGEST`` bytes without such a place is
+cut with an overlap of ``OVERLAP``, as is one that another pattern could cross.
 
 Defined cases: null or empty text has no spans; any text length is scanned
 whole; repeated rows give repeated results.
@@ -40,7 +42,9 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from blotter.llm.common import field, map_rows, raw, with_row
 
-MAX_UNPACKED = 32 << 20
+#: Bytes fed to a decompressor at once; bytes scanned at once, without a place to cut at, and again.
+FEED = 64 << 10
+PIECE, LONGEST, OVERLAP = 8 << 20, 32 << 20, 64 << 10
 MASK = "[SECRET]"
 
 # The kinds in their order, their patterns and the least length of what must be long.
@@ -64,6 +68,8 @@ PACKED = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompr
           (b"\xfd7zXZ", lzma.LZMADecompressor), (b"x\x01", zlib.decompressobj),
           (b"x\x5e", zlib.decompressobj), (b"x\x9c", zlib.decompressobj), (b"x\xda", zlib.decompressobj))
 
+#: A dot for each byte at which no pattern, escape or base64 run goes on.
+GOING_ON = bytes(120 if re.match(r"[A-Za-z0-9+/_.=:\s\\%&#;{}'\"-]", chr(b)) and b < 128 else 46 for b in range(256))
 HEX_BYTES = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
 
@@ -217,13 +223,51 @@ class Layer:
             yield Layer(text, self, groups)
 
 
+def _members(data: bytes, at: int):
+    """The bytes of the compressed data that begins there and of what follows it, in pieces."""
+    view = memoryview(data)
+    while at < len(data):
+        opened = next((opened for magic, opened in PACKED if data.startswith(magic, at)), None)
+        if opened is None:
+            if data[at]:
+                return
+            at += 1  # padding
+            continue
+        unpack = opened()
+        try:
+            while not unpack.eof and at < len(data):
+                feed = view[at:at + FEED]
+                at += len(feed)
+                while True:
+                    out = unpack.decompress(feed, PIECE)
+                    if out:
+                        yield out
+                    feed = getattr(unpack, "unconsumed_tail", b"")
+                    if unpack.eof or not feed and len(out) < PIECE:
+                        break
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            return
+        if not unpack.eof:
+            return
+        at -= len(unpack.unused_data)
+
+
 def _unpacked(data: bytes, at: int):
-    """The text of the compressed data that begins there."""
-    opened = next(opened for magic, opened in PACKED if data.startswith(magic, at))
-    try:
-        yield opened().decompress(memoryview(data)[at:], MAX_UNPACKED).decode("utf-8", "replace")
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return
+    """The text of the compressed data that begins there, in pieces."""
+    held = bytearray()
+    for out in _members(data, at):
+        held += out
+        if len(held) < PIECE:
+            continue
+        end = held.translate(GOING_ON).rfind(b".") + 1
+        if end <= 2 * OVERLAP:
+            if len(held) < LONGEST:
+                continue
+            end = len(held)
+        yield held[:end].decode("utf-8", "replace")
+        del held[:end - OVERLAP]
+    if held:
+        yield held.decode("utf-8", "replace")
 
 
 def _lines(body: str, at: int) -> list[tuple[int, str]]:

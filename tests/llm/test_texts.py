@@ -254,6 +254,36 @@ def test_embedded_base64(name):
         assert max(e for *_, e in own) - min(s for s, *_ in own) < 2 * len(SECRET)
 
 
+def packed_far():
+    import bz2
+    import lzma
+    far, own = b"word, " * (6 << 20), SECRET.encode()
+    return {"gzip, far": gzip.compress(far + own, 1, mtime=0), "zlib, far": zlib.compress(far + own, 1),
+            "no place to cut": zlib.compress(b"a" * (35 << 20) + b" " + own, 1),
+            "gzip members": gzip.compress(b"first", mtime=0) + b"\0\0" + gzip.compress(own, mtime=0),
+            "bzip2 members": bz2.compress(b"first") + bz2.compress(own), "bzip2, far": bz2.compress(far + own, 1),
+            "xz members": lzma.compress(b"first") + lzma.compress(own),
+            "gzip, then bzip2": gzip.compress(b"first", mtime=0) + bz2.compress(own),
+            "empty member": gzip.compress(b"", mtime=0) + gzip.compress(own, mtime=0)}
+
+
+@pytest.mark.parametrize("name", packed_far())
+def test_compressed_data_is_scanned_to_its_end(name):
+    text = "see " + base64.b64encode(packed_far()[name]).decode() + " there"
+    assert (4, 0, len(text) - 6) in secret_scan.all_spans(text)[1]
+
+
+@pytest.mark.parametrize("piece", [300, 1000, 5000])
+def test_pieces_lose_nothing(monkeypatch, piece):
+    for k, v in {"FEED": 50, "PIECE": piece, "LONGEST": 2 * piece, "OVERLAP": 100}.items():
+        monkeypatch.setattr(secret_scan, k, v)
+    rng = random.Random(piece)
+    for at in range(0, 1200, 97):
+        plain = prose(rng, 600)[:at] + ", " + SECRET + ", " + prose(rng, 600)
+        for data in (zlib.compress(plain.encode()), gzip.compress(plain.encode(), mtime=0)):
+            assert any(k == 0 for _, k, _ in secret_scan.all_spans("see " + base64.b64encode(data).decode())[1])
+
+
 # ---- 9: decontamination ----
 
 @pytest.mark.parametrize("seed", range(5))
