@@ -4,10 +4,11 @@ Only documents carry labels, so token labels come from them:
 
 1. Over all labelled training rows, document counts of every word and word
    prefix (4, 5 and 6 bytes) are taken in toxic and other rows (pre-aggregated
-   per slice, then summed by Spark).  The ``FEATURES`` most telling ones by
+   per slice, then summed by Spark).  Those nearly always in toxic rows are marks.
+   Of marks the ``MARKS`` and of others the ``FEATURES`` most telling ones by
    z-score are the CRF's observation features.
 2. A token of a toxic training row is labelled toxic if one of its features is
-   nearly always in toxic rows.  The CRF (two states, features of the current
+   a mark.  The CRF (two states, features of the current
    word, transitions) is fitted by gradient ascent on the conditional
    likelihood of a bounded sample (``SAMPLE`` distinct texts of each class, of any
    length, those of the least digests, each counting as often as it has rows).  A text of more than ``SAMPLE_BYTES``
@@ -46,7 +47,8 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, Struc
 from blotter.llm.common import cut, expand_rows, field, map_rows, pick, raw, with_row
 from blotter.llm.decontaminate import WORD_BYTES
 
-FEATURES = 20_000
+#: Features on the driver: marks, whose number follows the toxic words, and others.
+MARKS, FEATURES = 200_000, 20_000
 SAMPLE = 800
 #: Bytes of words of one sampled text that the CRF is fitted on, words of a window, bytes sent of an unknown word.
 SAMPLE_BYTES, WINDOW, WORD_SENT = 8_000, 64, 64
@@ -284,7 +286,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int =
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> dict:
     """The model: CRF and logistic weights.  Reads all labelled training rows, which are
-    written once; brings to the driver at most ``FEATURES`` counts and, of at most
+    written once; brings to the driver at most ``MARKS + FEATURES`` counts and, of at most
     ``2 * SAMPLE`` distinct texts, about ``SAMPLE_BYTES`` of words and the evidence of the whole text."""
     known = (pick(labels, id=id_col, y=label_col).where("id IS NOT NULL AND y IS NOT NULL")
              .where(~held_out(F.col("id"))).groupBy("id").agg((F.max("y") > 0).cast("int").alias("y")))
@@ -319,16 +321,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = cut(expand_rows(rows, counted, "text", make).groupBy("feature")
                  .agg(F.sum("n_all").alias("n_all"), F.sum("n_tox").alias("n_tox"))
                  .where(F.col("n_all") >= LEAST_DOCS)
-                 .withColumn("rank", F.least(F.floor(F.abs(z) * 16), F.lit(RANKS)).cast("int")))
-    # The least rank whose features, with those of higher ones, are at most FEATURES (one row a rank).
-    least, held = RANKS + 1, 0
-    for r in counts.groupBy("rank").count().orderBy(F.col("rank").desc()).collect():
-        held += r["count"]
-        if held > FEATURES:
-            break
-        least = r["rank"]
-    stats = {bytes(r.feature): (r.n_all, r.n_tox)
-             for r in sorted(counts.where(F.col("rank") >= least).collect(), key=lambda r: bytes(r.feature))}
+                 .withColumn("rank", F.least(F.floor(F.abs(z) * 16), F.lit(RANKS)).cast("int"))
+                 .withColumn("mark", (F.col("n_tox") >= SHARE * F.col("n_all")) & (z >= MARGIN)))
+    found = strongest(counts.where("mark"), MARKS) + strongest(counts.where("NOT mark"), FEATURES)
+    stats = {bytes(r.feature): (r.n_all, r.n_tox) for r in sorted(found, key=lambda r: bytes(r.feature))}
     chosen = []
     for y, r in sorted(sizes.items()):
         own = distinct.where(F.col("y") == y)
@@ -339,6 +335,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(drawn, stats, share)
 
 
+def strongest(counts: DataFrame, most: int) -> list:
+    """The ``most`` rows of the highest ranks; of the last rank that has any, those of the least hashes."""
+    least, held = RANKS + 1, 0
+    for r in counts.groupBy("rank").count().orderBy(F.col("rank").desc()).collect():  # one row a rank
+        if held + r["count"] > most:
+            rest = counts.where(F.col("rank") == r["rank"]).orderBy(F.xxhash64("feature"), "feature").limit(most - held)
+            return counts.where(F.col("rank") >= least).collect() + (rest.collect() if most > held else [])
+        held, least = held + r["count"], r["rank"]
+    return counts.where(F.col("rank") >= least).collect()
+
+
 def fit(drawn: DataFrame, stats: dict[bytes, tuple[int, int]], share: float) -> dict:
     """The model from the sampled texts (y, key, n rows, text), which stay in the tasks."""
     marks = marks_of(stats, share)

@@ -474,3 +474,23 @@ def test_copies_are_drawn_once_and_counted(spark, monkeypatch):
     assert (models[0]["logistic"] == models[1]["logistic"]).all()
     got = toxicity.score(table, models[0], carry=["doc_id"]).select("row.doc_id", "score").collect()
     assert all(r.score >= 0.5 for r in got if r.doc_id < 150) and all(r.score < 0.5 for r in got if r.doc_id >= 600)
+
+
+def test_marks_are_not_crowded_out(spark, monkeypatch):
+    """Topical words of larger z-scores take no place from toxic ones; a rank is cut, not dropped."""
+    monkeypatch.setattr(toxicity, "FEATURES", 20)
+    rng = random.Random(21)
+    out = []
+    for i in range(900):
+        bad = i % 3 == 0
+        words = prose(rng, 15).split() + [f"topic{k}" for k in range(40) if bad and i % 4 or rng.random() < 0.15]
+        if bad:
+            words.insert(rng.randrange(len(words)), rng.choice(["scumbag", "moronic", "vileish", "cretin"]))
+        out.append((i, " ".join(words), int(bad)))
+    table = spark.createDataFrame(out, "doc_id long, text string, toxic int")
+    model = toxicity.train(table.drop("toxic"), table.drop("text"))
+    assert {b"wscumbag", b"wmoronic", b"wvileish", b"wcretin"} <= set(model["crf"]["weights"])
+    got = toxicity.score(table, model, carry=["doc_id"]).select("row.doc_id", "score").collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 3 == 0) for r in got) >= 0.97 * len(got)
+    ranks = spark.createDataFrame([(9, b"a")] + [(7, b"%d" % k) for k in range(10)], "rank int, feature binary")
+    assert [len(toxicity.strongest(ranks, k)) for k in (0, 1, 5, 11, 12)] == [0, 1, 5, 11, 11]
