@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 from blotter.functions import joins
 from blotter.plans import materialize as ma

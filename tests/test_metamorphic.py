@@ -1,6 +1,6 @@
 """Metamorphic checks."""
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from pyspark.sql import functions as F
 
 from blotter.operators import cohort as co

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from blotter.plans.registry import QUERIES
-from conftest import SF_MID, SF_SMALL
+from helpers import SF_MID, SF_SMALL
 from oracle_check import compare, duck_connect
 
 NAMES = sorted(QUERIES)

@@ -1,7 +1,7 @@
 """Plan shape checks and KPI/proof reconciliation (§5 item 3)."""
 
 import pytest
-from conftest import SF_MID
+from helpers import SF_MID
 from pyspark.sql import functions as F
 
 from blotter.operators import cohort as co
