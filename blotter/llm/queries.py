@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from blotter.llm import (
     decontaminate,
     embedding_join,
+    filter_audit,
     html_extract,
     secret_scan,
     sentencepiece_codec,
@@ -80,6 +81,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: DuckDB's SQL for the queries that it can express.
 ORACLE: dict[str, str] = {
     "op3_suffixes": """
@@ -155,8 +160,36 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op11_filters": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        q AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic
+              FROM labels GROUP BY doc_id),
+        x AS (SELECT row_number() OVER () AS r, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+                 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t),
+                 regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+              FROM d LEFT JOIN q USING (doc_id)),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM l a, l b, l c, l d, l e
+              WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        s AS (SELECT filter_order, CAST(step AS INT) AS step, ascii(filter_order[step]) - 64 AS f
+              FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o)),
+        g AS (SELECT filter_order, r, min(step) AS gone FROM s JOIN x ON fails[f] GROUP BY filter_order, r),
+        y AS (SELECT part, filter_order, step, f,
+                count(*) FILTER (gone IS NULL OR gone > step) AS kept,
+                count(*) FILTER (gone = step) AS removed,
+                count(*) FILTER (fails[f] AND gone < step) AS redundant,
+                count(*) FILTER (fails[f] AND len(list_filter(fails, lambda v: v)) = 1) AS unique_fails,
+                CAST(coalesce(sum(good) FILTER (gone = step), 0) AS BIGINT) AS good_lost,
+                CAST(coalesce(sum(toxic) FILTER (gone = step), 0) AS BIGINT) AS toxic_lost
+              FROM s CROSS JOIN x LEFT JOIN g USING (filter_order, r) GROUP BY part, filter_order, step, f)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+        FROM y""",
 }
 
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_html, op3_suffixes, op4_substrings, op5_warc, op6_secrets, op7_simhash, op8_embeddings,
-    op9_decontaminate, op10_toxicity)}
+    op9_decontaminate, op10_toxicity, op11_filters)}
