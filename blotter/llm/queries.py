@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blotter.llm import (
+    conversation_repair,
     decontaminate,
     embedding_join,
     filter_audit,
@@ -85,6 +86,11 @@ def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.conversation_rows(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(conversation_repair.damage(rows))
+
+
 #: DuckDB's SQL for the queries that it can express.
 ORACLE: dict[str, str] = {
     "op3_suffixes": """
@@ -192,4 +198,4 @@ ORACLE: dict[str, str] = {
 
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_html, op3_suffixes, op4_substrings, op5_warc, op6_secrets, op7_simhash, op8_embeddings,
-    op9_decontaminate, op10_toxicity, op11_filters)}
+    op9_decontaminate, op10_toxicity, op11_filters, op12_conversations)}
