@@ -58,14 +58,12 @@ from pyspark.sql.types import (
 )
 
 from blotter.llm.common import cut, field, pick
-from blotter.llm.ranges import cut_keys, range_of
+from blotter.llm.ranges import cut_keys, range_bytes, range_of
 
 #: Symbols in a tabulated block.
 BLOCK = 4
 #: Symbols in a piece, rows in a task's output batch, bytes of a part of the repaired text.
 PIECE, ROWS, PART = 1 << 16, 2000, 1 << 20
-#: Bytes of text in a range: at most, and at least.
-RANGE_BYTES, LEAST_RANGE = 32 << 20, 1 << 16
 
 #: Costs of the edits (fixed values).
 DELETE, INSERT, REROLE, TRUNCATED = 4, 3, 3, 3
@@ -555,21 +553,17 @@ def gathered(parts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, REPAIRED)
 
 
-def repair(rows: DataFrame, range_bytes: int | None = None) -> DataFrame:
+def repair(rows: DataFrame, step: int | None = None) -> DataFrame:
     """Audit, costs and digest of the repaired text of every conversation.
 
     ``rows`` has conv_id, turn, role, text and ``copies`` (0: the row is gone),
-    as ``conversation_rows`` and ``damage`` give.  ``range_bytes`` is the text in a
-    task; unset, it follows from the bytes and the session's shuffle partitions.
+    as ``conversation_rows`` and ``damage`` give.  ``step`` is the bytes in a range,
+    by default what ``ranges.range_bytes`` says.
     """
-    spark = rows.sparkSession
     small = cut(classified(rows))
-    if range_bytes is None:
-        total = small.agg(F.sum("bytes")).first()[0] or 0
-        share = total // int(spark.conf.get("spark.sql.shuffle.partitions"))
-        range_bytes = min(RANGE_BYTES, max(LEAST_RANGE, share))
-    # What a row weighs besides its text.
-    cuts = cut_keys(small.withColumn("weight", F.col("bytes") + 100), ["conv_id", "turn"], "weight", range_bytes)
+    # A row weighs something besides its text.
+    weighed = small.select("conv_id", "turn", (F.col("bytes") + 100).alias("weight"))
+    cuts = cut_keys(weighed, ["conv_id", "turn"], "weight", step or range_bytes(weighed, "weight"))
     at = range_of(cuts, "conv_id", "turn").alias("range")
     pieces = cut(make_pieces(small.select("*", at), len(cuts) + 1))
     placed = place_pieces(pieces)

@@ -12,6 +12,7 @@ from blotter.llm import (
     decontaminate,
     embedding_join,
     filter_audit,
+    fingerprints,
     html_extract,
     secret_scan,
     sentencepiece_codec,
@@ -91,6 +92,10 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(rows))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents")).drop("next_id")
+
+
 #: DuckDB's SQL for the queries that it can express.
 ORACLE: dict[str, str] = {
     "op3_suffixes": """
@@ -198,4 +203,5 @@ ORACLE: dict[str, str] = {
 
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_html, op3_suffixes, op4_substrings, op5_warc, op6_secrets, op7_simhash, op8_embeddings,
-    op9_decontaminate, op10_toxicity, op11_filters, op12_conversations)}
+    op9_decontaminate, op10_toxicity, op11_filters, op12_conversations,
+    op13_fingerprints)}

@@ -22,6 +22,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 #: Marks a range.
 MARKS = 4
+#: Bytes in a range: at most, and at least.
+MOST, LEAST = 128 << 20, 1 << 16
 
 MARK = StructType().add("part", IntegerType()).add("i", LongType()).add("key", ArrayType(LongType())).add("n", LongType())
 
@@ -70,6 +72,12 @@ def cut_keys(rows: DataFrame, keys: list[str], size: str, step: int) -> list[lis
     return cuts
 
 
+def range_bytes(rows: DataFrame, size: str) -> int:
+    """About one range a shuffle partition, within the bounds."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return min(MOST, max(LEAST, total // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def range_of(cuts: list[list[int | None]], *keys: str | Column) -> Column:
     """The number of the range that holds a row's keys: how many cuts are not above them."""
     if not cuts:
@@ -78,7 +86,7 @@ def range_of(cuts: list[list[int | None]], *keys: str | Column) -> Column:
     borders = coded([np.array([x or 0 for x in c], np.int64) for c in columns],
                     [np.array([x is not None for x in c]) for c in columns])
 
-    @pandas_udf("int")
+    @pandas_udf(IntegerType())
     def find(*cols: pd.Series) -> pd.Series:
         own = coded([c.to_numpy() for c in cols[::2]], [c.to_numpy() for c in cols[1::2]])
         return pd.Series(np.searchsorted(borders, own, side="right").astype(np.int32))

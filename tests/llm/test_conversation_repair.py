@@ -120,14 +120,14 @@ def test_conversations(spark, monkeypatch, seed, sizes):
         monkeypatch.setattr(cr, "PIECE", sizes[1])
         monkeypatch.setattr(cr, "PART", sizes[2])
     rows = table(seed)
-    assert run(spark, rows, range_bytes=sizes and sizes[0]) == brute(rows)
+    assert run(spark, rows, step=sizes and sizes[0]) == brute(rows)
 
 
 def test_many_copies(spark, monkeypatch):
     monkeypatch.setattr(cr, "PIECE", 16)
     rows = [(5, 3, "user", "Again?")] * 90 + [(5, 4, "assistant", "Again.")] * 3
     rows += [(5, t, "user", "Same text.") for t in range(10, 60)]
-    assert run(spark, rows, range_bytes=500) == brute(rows)
+    assert run(spark, rows, step=500) == brute(rows)
 
 
 def test_empty_table(spark):
