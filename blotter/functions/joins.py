@@ -60,6 +60,20 @@ def semi(df: DataFrame, keys: DataFrame, on: list[str] | str) -> DataFrame:
     return df.join(keys, on=on, how="left_semi")
 
 
+def within_span(df: DataFrame, col: str, span) -> DataFrame:
+    """Rows of ``df`` whose id lies in ``span`` (a ``Span`` or None: no limit).
+
+    A necessary condition of the join or semi join that follows, in a form that
+    reaches the scan: row groups whose minimum and maximum lie outside are skipped,
+    and for a short list of ids, buckets too.
+    """
+    if span is None:
+        return df
+    if span.ids is not None:
+        return df.filter(F.col(col).isin(*span.ids))
+    return df.filter((F.col(col) >= F.lit(span.low)) & (F.col(col) <= F.lit(span.high)))
+
+
 def within_bound(n_bytes: int) -> bool:
     """Whether so many bytes of rows fit the broadcast budget."""
     return n_bytes <= COHORT_BROADCAST_MAX_BYTES

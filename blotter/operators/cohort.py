@@ -4,9 +4,9 @@ Plan shape (the point of writing it this way rather than joining in text order):
 
 1. The code tables (bounded, broadcast) are joined into a small *code map* of
    offense codes that qualify, with their descriptions.
-2. Incidents are read with the agency and a half-open date range pushed into
-   the parquet scan (``year(col) = y`` would only push ``IsNotNull``); their real
-   bytes are measured by one aggregating job over that scan.
+2. Incidents are read once, with the agency and a half-open date range pushed into
+   the parquet scan (``year(col) = y`` would only push ``IsNotNull``); those left
+   are written to the shared folder, and the write observes their real bytes.
 3. Offense rows are matched to the code map map-side (broadcast hash join).
    Incidents within the broadcast budget are broadcast too, so offense rows meet
    them map-side and none is shuffled; more are joined on ``incident_id`` with
@@ -19,15 +19,16 @@ Plan shape (the point of writing it this way rather than joining in text order):
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blotter.functions.joins import broadcast_if_bounded, measured_bytes, within_bound
+from blotter.functions.joins import broadcast_if_bounded, within_bound, within_span
 from blotter.functions.text import any_of, upper_in
+from blotter.operators.spans import span_of, spanned
 from blotter.params import Params
-from blotter.plans.materialize import Size
+from blotter.plans.materialize import Size, Span, materialize_spanned
 from blotter.sources.catalog import Catalog
 
 BASE_COLUMNS = ("incident_id", "inc_report_number", "agency_code", "report_date",
@@ -58,6 +59,12 @@ def cohort_incidents(cat: Catalog, p: Params) -> DataFrame:
         F.col("agncy_cd_agency_code").alias("agency_code"), "report_date")
 
 
+def sized_incidents(cat: Catalog, p: Params) -> tuple[DataFrame, Size, Span | None]:
+    """``cohort_incidents``, their size and the span of their ids: one scan filters, measures
+    and writes them, and what follows reads the few that are left."""
+    return materialize_spanned(cohort_incidents(cat, p), "incident_id")
+
+
 def _nibrs_match(p: Params) -> Column:
     return F.coalesce(F.upper(F.col("nibrs_code")) == F.lit(p.nibrs.upper()), F.lit(False))
 
@@ -82,13 +89,13 @@ def code_map(cat: Catalog, p: Params, *, described: bool, inclusive: bool) -> Da
                        joined.filter(cond).select(*cols))
 
 
-def _offense_rows(cat: Catalog, p: Params, *, described: bool,
-                  inclusive: bool) -> tuple[DataFrame, list[str]]:
+def _offense_rows(cat: Catalog, p: Params, *, described: bool, inclusive: bool,
+                  span: Span | None) -> tuple[DataFrame, list[str]]:
     """Qualifying offense rows with their code fields, matched map-side."""
     cmap = code_map(cat, p, described=described, inclusive=inclusive)
     off_cols = ("inc_incident_id", "offns_cd_offense_code") + (
         ("place_code_type", "place_place_code") if inclusive else ())
-    off = cat.table("offenses", columns=off_cols)
+    off = within_span(cat.table("offenses", columns=off_cols), "inc_incident_id", span)
     rows = off.join(cmap, off["offns_cd_offense_code"] == cmap["offense_code"], "inner")
     fields = list(cmap.columns)
     if inclusive:
@@ -112,10 +119,10 @@ def _cohort(cat: Catalog, p: Params, cols: tuple[str, ...], *, described: bool,
     * Beyond it, offense rows are reduced to their distinct code fields per
       incident (map-side combined) and joined on ``incident_id``.
     """
-    inc = cohort_incidents(cat, p)
-    rows, fields = _offense_rows(cat, p, described=described, inclusive=inclusive)
+    inc, size, span = sized_incidents(cat, p)
+    rows, fields = _offense_rows(cat, p, described=described, inclusive=inclusive, span=span)
     year = F.year("report_date").alias("report_year")
-    if within_bound(measured_bytes(inc)):
+    if within_bound(size.bytes):
         inc = F.broadcast(inc)
     else:
         rows = rows.distinct()
@@ -130,12 +137,13 @@ def cohort_incident_keys(cat: Catalog, p: Params) -> DataFrame:
     The KPI needs no code columns, so this is the incidents that have a
     qualifying offense row, by the same size-checked strategy as ``_cohort``.
     """
-    inc = cohort_incidents(cat, p)
+    inc, size, span = sized_incidents(cat, p)
     cmap = code_map(cat, p, described=False, inclusive=False)
-    off = cat.table("offenses", columns=("inc_incident_id", "offns_cd_offense_code"))
+    off = within_span(cat.table("offenses", columns=("inc_incident_id", "offns_cd_offense_code")),
+                      "inc_incident_id", span)
     off = off.join(cmap.select("offense_code"),
                    off["offns_cd_offense_code"] == cmap["offense_code"], "left_semi")
-    if within_bound(measured_bytes(inc)):
+    if within_bound(size.bytes):
         b = F.broadcast(inc)
         joined = off.join(b, off["inc_incident_id"] == b["incident_id"])
         return joined.select(*inc.columns).distinct()
@@ -158,33 +166,49 @@ def cohort_inclusive(cat: Catalog, p: Params) -> DataFrame:
     return _cohort(cat, p, INCLUSIVE_COLUMNS, described=True, inclusive=True)
 
 
-def cohort_keys(cohort: DataFrame, n_bytes: int | None = None) -> DataFrame:
+def cohort_keys(cohort: DataFrame, n_bytes: int | None = None, span: Span | None = None) -> DataFrame:
     """Distinct incident keys of a (materialized) cohort, for restricting rollups.
 
     Broadcast-hinted when the cohort rows fit the broadcast budget, so every
-    semi join restricting a rollup to the cohort filters map-side.
+    semi join restricting a rollup to the cohort filters map-side; with a ``span``,
+    scans skip what lies outside it.
     """
     keys = cohort.select("incident_id", "inc_report_number", "agency_code").distinct()
-    return broadcast_if_bounded(keys, proof=n_bytes)
+    return spanned(broadcast_if_bounded(keys, proof=n_bytes), span)
+
+
+def written_cohort(rows: DataFrame) -> tuple[DataFrame, DataFrame, Size]:
+    """A cohort written once: its rows, its keys with the span of their ids, and its size."""
+    ri, size, span = materialize_spanned(rows, "incident_id")
+    return ri, cohort_keys(ri, size.bytes, span), size
 
 
 @dataclass(frozen=True, eq=False)
 class Cohort:
     """A materialized cohort and its (bound-checked, maybe broadcast) keys.
 
-    Sharing one instance between reports shares the cohort (and, after
-    ``rollups.share_first_hops(keys)``, the first-hop tables of its keys).
+    Sharing one instance between reports shares the cohort, its incident ``facts``
+    if they are written (and, after ``rollups.share_first_hops(keys)``, the
+    first-hop tables of its keys).
     """
 
     rows: DataFrame
     keys: DataFrame
     size: Size
+    facts: DataFrame | None = None
 
     @classmethod
-    def of(cls, materialized: tuple[DataFrame, Size]) -> "Cohort":
-        """From ``materialize_sized`` output: the rows and their size."""
-        rows, size = materialized
-        return cls(rows, cohort_keys(rows, size.bytes), size)
+    def of(cls, rows: DataFrame) -> "Cohort":
+        """Writes the rows once."""
+        return cls(*written_cohort(rows))
+
+    def with_facts(self, facts: DataFrame) -> "Cohort":
+        return replace(self, facts=facts)
+
+    def narrowed(self, p: Params) -> "Cohort":
+        """The described cohort inside an inclusive one: its rows of the NIBRS code, without places."""
+        rows = self.rows.filter(_nibrs_match(p)).select(*DESCRIBED_COLUMNS).distinct()
+        return Cohort(rows, cohort_keys(rows, self.size.bytes, span_of(self.keys)), self.size, self.facts)
 
     def incidents(self) -> DataFrame:
         """Distinct incidents (id, report number, agency, report date)."""

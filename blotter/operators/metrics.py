@@ -22,32 +22,32 @@ from pyspark.sql import functions as F
 from blotter.functions.joins import broadcast_if_bounded
 from blotter.functions.text import flag
 from blotter.operators import cohort as co
+from blotter.operators import facts as fa
 from blotter.operators import rollups as ro
-from blotter.operators.suspects import suspect_counts
+from blotter.operators.spans import spanned
 from blotter.params import Params
-from blotter.plans.materialize import materialize_sized
+from blotter.plans.materialize import materialize_spanned
 from blotter.sources.catalog import Catalog
 
 MONEY_OUT = ro.MONEY_OUT
-# A rollup row (an id and at most two numbers) is narrower than a cohort row, which
-# holds an id, a timestamp and two texts; this factor leaves room for row overhead.
-ROLLUP_ROW = 2
+# A row of the KPI's facts (an id and six numbers) is at most so many times as wide as
+# a cohort row, which holds an id, a timestamp and two texts.
+FACTS_ROW = 4
 METRIC_COLUMNS = ("has_arrest", "is_open", "closed_by_other_means", "total_loss_value",
                   "total_recovered_value", "suspect_count", "vehicle_count",
                   "has_vehicle_info")
 
 
-def _with_metrics(rows: DataFrame, cat: Catalog, keys: DataFrame, n_bytes: int) -> DataFrame:
-    """Attach the five rollups to cohort rows; every join is on incident_id.
+def _kpi_facts(cat: Catalog, keys: DataFrame, n_bytes: int) -> DataFrame:
+    """The five rollups of the KPI; at most one narrow row per cohort incident, so the
+    cohort's measured bytes (``n_bytes``) bound them."""
+    return broadcast_if_bounded(fa.incident_facts(cat, keys, fa.KPI), proof=FACTS_ROW * n_bytes)
 
-    A rollup holds at most one narrow row per cohort incident, so where the
-    cohort's measured bytes (``n_bytes``) bound all five, they are broadcast.
-    """
-    rollups = [ro.incident_status(cat, keys), ro.property_loss(cat, keys), suspect_counts(cat, keys),
-               ro.vehicle_counts(cat, keys), ro.per_incident(keys, ro.arrest_flags(cat, keys))]
-    m = rows
-    for r in rollups:
-        m = m.join(broadcast_if_bounded(r, proof=ROLLUP_ROW * n_bytes), "incident_id", "left")
+
+def _with_metrics(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Attach the facts to cohort rows by one join on incident_id."""
+    m = rows.join(facts.select("incident_id", "has_arrest", "is_open", "total_loss_value", "total_recovered_value",
+                               "suspect_count", "vehicle_count"), "incident_id", "left")
     has_arrest = F.coalesce(F.col("has_arrest"), F.lit(0))
     is_open = F.coalesce(F.col("is_open"), F.lit(0))
     zero = F.lit(0).cast(MONEY_OUT)
@@ -66,24 +66,25 @@ def _with_metrics(rows: DataFrame, cat: Catalog, keys: DataFrame, n_bytes: int)
 
 def incident_metrics(cat: Catalog, p: Params) -> DataFrame:
     """Cohort rows (incident x offense) with the eight per-incident metrics."""
-    ri, size = materialize_sized(co.cohort_base(cat, p), rebalance=False)
+    ri, keys, size = co.written_cohort(co.cohort_base(cat, p))
     ri = ri.select("incident_id", "inc_report_number", "report_date", "agency_code",
                    "offense_code", "offense_desc")
-    return _with_metrics(ri, cat, co.cohort_keys(ri, size.bytes), size.bytes)
+    return _with_metrics(ri, _kpi_facts(cat, keys, size.bytes))
 
 
 def report_metrics(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
     """One row per (agency, report number): MIN year and MAX of each metric.
 
     Standalone it starts from the cohort's distinct incidents; given a shared
-    ``Cohort`` (e.g. the proofs') it reuses that one and its first hops.
+    ``Cohort`` (e.g. the proofs') it reuses that one and its facts.
     """
     if cohort is None:
-        inc, size = materialize_sized(co.cohort_incident_keys(cat, p), rebalance=False)
-        keys = broadcast_if_bounded(inc, proof=size.bytes)
+        inc, size, span = materialize_spanned(co.cohort_incident_keys(cat, p), "incident_id")
+        facts = _kpi_facts(cat, spanned(broadcast_if_bounded(inc, proof=size.bytes), span), size.bytes)
     else:
-        inc, keys, size = cohort.incidents(), cohort.keys, cohort.size
-    m = _with_metrics(inc, cat, keys, size.bytes)
+        inc = cohort.incidents()
+        facts = _kpi_facts(cat, cohort.keys, cohort.size.bytes) if cohort.facts is None else cohort.facts
+    m = _with_metrics(inc, facts)
     return m.groupBy("agency_code", "inc_report_number").agg(
         F.min(F.year("report_date")).alias("report_year"),
         *[F.max(c).alias(c) for c in METRIC_COLUMNS])

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from blotter.functions.text import ordered_set_text
 from blotter.operators import cohort as co
+from blotter.operators import facts as fa
 from blotter.operators import rollups as ro
-from blotter.operators.suspects import suspect_evidence
 from blotter.params import CODE_SEP, DESC_SEP, Params
-from blotter.plans.materialize import materialize_sized
 from blotter.sources.catalog import Catalog
 
 HEAD = ("report_year", "agency_code", "report_number", "incident_id", "case_numbers",
@@ -31,13 +30,14 @@ def _asc(*cols: str) -> list[Column]:
 
 def described_cohort(cat: Catalog, p: Params) -> co.Cohort:
     """The proofs' cohort, materialized once; pass it to several proofs to share it."""
-    return co.Cohort.of(materialize_sized(co.cohort_described(cat, p), rebalance=False))
+    return co.Cohort.of(co.cohort_described(cat, p))
 
 
-def _cohort_with_cases(cat: Catalog, p: Params,
-                       cohort: co.Cohort | None) -> tuple[DataFrame, DataFrame]:
+def _cohort_with(cat: Catalog, p: Params, cohort: co.Cohort | None, *parts: str) -> DataFrame:
+    """Cohort rows with the facts of ``parts``: those of the shared cohort, or computed here."""
     c = cohort or described_cohort(cat, p)
-    return c.rows.join(ro.case_numbers(cat, c.keys), "incident_id", "left"), c.keys
+    facts = fa.incident_facts(cat, c.keys, parts) if c.facts is None else c.facts
+    return c.rows.join(facts, "incident_id", "left")
 
 
 def _per_report(rows: DataFrame, tail: list[Column], tail_names: tuple[str, ...]) -> DataFrame:
@@ -59,7 +59,7 @@ def _per_report(rows: DataFrame, tail: list[Column], tail_names: tuple[str, ...]
 def proof_total_reports(cat: Catalog, p: Params,
                         cohort: co.Cohort | None = None) -> DataFrame:
     """Detail rows behind total_reports: one per incident x offense."""
-    rows, _ = _cohort_with_cases(cat, p, cohort)
+    rows = _cohort_with(cat, p, cohort, "case_numbers")
     return rows.select(
         "report_year", "agency_code", "incident_id",
         F.col("inc_report_number").alias("report_number"), "case_numbers", "report_date",
@@ -67,12 +67,16 @@ def proof_total_reports(cat: Catalog, p: Params,
     ).orderBy(*_asc("report_date", "report_number", "incident_id", "offense_code"))
 
 
-def proof_total_reports_inclusive(cat: Catalog, p: Params) -> DataFrame:
-    """Wide detail rows: listed offense codes too, with address and place."""
-    ri, size = materialize_sized(co.cohort_inclusive(cat, p), rebalance=False)
-    keys = co.cohort_keys(ri, size.bytes)
-    rows = (ri.join(ro.case_numbers(cat, keys), "incident_id", "left")
-            .join(ro.occurrence_addresses(cat, keys), "incident_id", "left"))
+def inclusive_cohort(cat: Catalog, p: Params) -> co.Cohort:
+    """The wide cohort, materialized once."""
+    return co.Cohort.of(co.cohort_inclusive(cat, p))
+
+
+def proof_total_reports_inclusive(cat: Catalog, p: Params, cohort: co.Cohort | None = None) -> DataFrame:
+    """Wide detail rows: listed offense codes too, with address and place; ``cohort`` is an inclusive one."""
+    c = cohort or inclusive_cohort(cat, p)
+    addresses = ro.occurrence_addresses(cat, c.keys)
+    rows = _cohort_with(cat, p, c, "case_numbers").join(addresses, "incident_id", "left")
     return rows.select(
         "report_year", "agency_code", "incident_id",
         F.col("inc_report_number").alias("report_number"), "case_numbers",
@@ -84,8 +88,7 @@ def proof_total_reports_inclusive(cat: Catalog, p: Params) -> DataFrame:
 def proof_reports_with_arrest(cat: Catalog, p: Params,
                               cohort: co.Cohort | None = None) -> DataFrame:
     """Reports with at least one arrest on the same report number and agency."""
-    rows, keys = _cohort_with_cases(cat, p, cohort)
-    rows = rows.join(ro.per_incident(keys, ro.arrest_rollup(cat, keys)), "incident_id")
+    rows = _cohort_with(cat, p, cohort, "case_numbers", "arrests").filter(F.col("has_arrest") == 1)
     names = ("arrest_count", "arrest_numbers", "first_arrest_date", "last_arrest_date")
     return _per_report(rows, [F.max(c).alias(c) for c in names], names)
 
@@ -93,9 +96,7 @@ def proof_reports_with_arrest(cat: Catalog, p: Params,
 def proof_open_reports(cat: Catalog, p: Params,
                        cohort: co.Cohort | None = None) -> DataFrame:
     """Reports with an incident whose case status reads open."""
-    rows, keys = _cohort_with_cases(cat, p, cohort)
-    ios = ro.incident_open_status(cat, keys).filter(F.col("is_open") == 1)
-    rows = rows.join(ios.select("incident_id", "case_statuses"), "incident_id")
+    rows = _cohort_with(cat, p, cohort, "cases").filter(F.col("is_open") == 1)
     return _per_report(rows, [F.max("case_statuses").alias("case_statuses")],
                        ("case_statuses",))
 
@@ -103,9 +104,7 @@ def proof_open_reports(cat: Catalog, p: Params,
 def proof_closed_by_other_means(cat: Catalog, p: Params,
                                 cohort: co.Cohort | None = None) -> DataFrame:
     """Reports with an incident neither open nor arrested."""
-    rows, keys = _cohort_with_cases(cat, p, cohort)
-    rows = rows.join(ro.incident_open_status(cat, keys), "incident_id", "left")
-    rows = rows.join(ro.per_incident(keys, ro.arrest_counts(cat, keys)), "incident_id", "left")
+    rows = _cohort_with(cat, p, cohort, "cases", "arrest_counts")
     rows = rows.filter((F.coalesce(F.col("is_open"), F.lit(0)) == 0)
                        & (F.coalesce(F.col("arrest_count"), F.lit(0)) == 0))
     return _per_report(rows, [
@@ -117,8 +116,7 @@ def proof_closed_by_other_means(cat: Catalog, p: Params,
 def proof_summed_loss_value(cat: Catalog, p: Params,
                             cohort: co.Cohort | None = None) -> DataFrame:
     """Every cohort report with its loss, recovered value and property rows."""
-    rows, keys = _cohort_with_cases(cat, p, cohort)
-    rows = rows.join(ro.property_loss_rows(cat, keys), "incident_id", "left")
+    rows = _cohort_with(cat, p, cohort, "case_numbers", "loss")
     zero = F.lit(0).cast(ro.MONEY_OUT)
     return _per_report(rows, [
         F.max(F.coalesce("total_loss_value", zero)).alias("total_loss_value"),
@@ -130,8 +128,7 @@ def proof_summed_loss_value(cat: Catalog, p: Params,
 def proof_avg_suspects(cat: Catalog, p: Params,
                        cohort: co.Cohort | None = None) -> DataFrame:
     """Every cohort report with suspect count and the matched-row evidence."""
-    rows, keys = _cohort_with_cases(cat, p, cohort)
-    rows = rows.join(suspect_evidence(cat, keys), "incident_id", "left")
+    rows = _cohort_with(cat, p, cohort, "case_numbers", "suspects")
     zero = F.lit(0).cast("long")
     return _per_report(rows, [F.max(F.coalesce(c, zero)).alias(c) for c in EVIDENCE],
                        EVIDENCE)
@@ -140,9 +137,7 @@ def proof_avg_suspects(cat: Catalog, p: Params,
 def proof_reports_with_vehicle_info(cat: Catalog, p: Params,
                                     cohort: co.Cohort | None = None) -> DataFrame:
     """Reports with an incident that has at least one non-NULL vehicle id."""
-    rows, keys = _cohort_with_cases(cat, p, cohort)
-    vr = ro.vehicle_rollup(cat, keys).filter(F.col("vehicle_count") > 0)
-    rows = rows.join(vr, "incident_id")
+    rows = _cohort_with(cat, p, cohort, "case_numbers", "vehicles").filter(F.col("vehicle_count") > 0)
     return _per_report(rows, [F.max("vehicle_count").alias("vehicle_count"),
                               F.max("vehicle_ids").alias("vehicle_ids")],
                        ("vehicle_count", "vehicle_ids"))
@@ -152,11 +147,15 @@ LINK_COLUMNS = ("report_year", "agency_code", "report_number", "case_numbers", "
                 "incident_id", "vehicle_id", "role_code", "status_code", "date_recovered")
 
 
-def vehicle_links(cat: Catalog, p: Params,
-                  cohort: co.Cohort | None = None) -> DataFrame:
-    """Distinct cohort x case numbers x vehicle link rows (NULL vehicles kept)."""
-    rows, keys = _cohort_with_cases(cat, p, cohort)
-    iv = ro.vehicle_rows(cat, keys)
+def vehicle_links(cat: Catalog, p: Params, cohort: co.Cohort | None = None,
+                  links: DataFrame | None = None) -> DataFrame:
+    """Distinct cohort x case numbers x vehicle link rows (NULL vehicles kept).
+
+    ``links``: the link rows of a cohort that holds this one, if they are at hand.
+    """
+    cohort = cohort or described_cohort(cat, p)
+    rows = _cohort_with(cat, p, cohort, "case_numbers")
+    iv = ro.vehicle_rows(cat, cohort.keys) if links is None else links
     return rows.join(iv, "incident_id").select(
         F.col("report_year"), F.col("agency_code"),
         F.col("inc_report_number").alias("report_number"), "incident_id", "report_date",
@@ -164,8 +163,7 @@ def vehicle_links(cat: Catalog, p: Params,
     ).distinct().select(*LINK_COLUMNS)
 
 
-def proof_total_vehicles_linked(cat: Catalog, p: Params,
-                                cohort: co.Cohort | None = None) -> DataFrame:
+def proof_total_vehicles_linked(cat: Catalog, p: Params, cohort: co.Cohort | None = None,
+                                links: DataFrame | None = None) -> DataFrame:
     """Vehicle link rows sorted by report date, report number, vehicle."""
-    links = vehicle_links(cat, p, cohort)
-    return links.orderBy(*_asc("report_date", "report_number", "vehicle_id"))
+    return vehicle_links(cat, p, cohort, links).orderBy(*_asc("report_date", "report_number", "vehicle_id"))

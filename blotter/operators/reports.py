@@ -1,15 +1,15 @@
 """The whole report set for one year: KPI row plus every proof extract.
 
-The KPI and the eight narrow proofs share one materialized cohort, its keys
-and the first-hop tables derived from them (case bridge rows, person rows), so
-running the set costs one cohort computation instead of nine.  The inclusive
-proof has its own, wider cohort.
+One materialized cohort, the inclusive one, serves all: the narrow cohort is its
+rows of the NIBRS code.  The incident facts of that cohort are written once and
+read by the KPI and the proofs, so each rollup table is scanned once per set.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blotter.operators import facts as fa
 from blotter.operators import metrics as me
 from blotter.operators import proofs as pr
 from blotter.operators import rollups as ro
@@ -20,7 +20,7 @@ from blotter.sources.catalog import Catalog
 SHARED = (
     "proof_total_reports", "proof_reports_with_arrest", "proof_open_reports",
     "proof_closed_by_other_means", "proof_summed_loss_value", "proof_avg_suspects",
-    "proof_reports_with_vehicle_info", "proof_total_vehicles_linked",
+    "proof_reports_with_vehicle_info",
 )
 
 
@@ -50,10 +50,14 @@ def report_set(cat: Catalog, p: Params) -> ReportSet:
     spark = cat.raw("incidents").sparkSession
     out = ReportSet(spark, new_run_folder(spark))
     with writing_to(out.folder):
-        cohort = pr.described_cohort(cat, p)
-        ro.share_first_hops(cohort.keys)
+        wide = pr.inclusive_cohort(cat, p)
+        ro.share_first_hops(wide.keys)
+        links = ro.vehicle_rows(cat, wide.keys)
+        wide = wide.with_facts(fa.written_facts(cat, wide.keys))
+        cohort = wide.narrowed(p)
         out["metrics_summary"] = me.metrics_summary(cat, p, cohort)
         for name in SHARED:
             out[name] = getattr(pr, name)(cat, p, cohort)
-        out["proof_total_reports_inclusive"] = pr.proof_total_reports_inclusive(cat, p)
+        out["proof_total_vehicles_linked"] = pr.proof_total_vehicles_linked(cat, p, cohort, links)
+        out["proof_total_reports_inclusive"] = pr.proof_total_reports_inclusive(cat, p, wide)
     return out

@@ -19,7 +19,7 @@ import weakref
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.functions.joins import semi, within_bound
+from blotter.functions.joins import semi, within_bound, within_span
 from blotter.functions.text import (
     collapse_spaces,
     flag,
@@ -28,6 +28,7 @@ from blotter.functions.text import (
     text_concat,
     upper_contains,
 )
+from blotter.operators.spans import span_of
 from blotter.params import CODE_SEP, DESC_SEP, LOSS_CODE, OPEN_WORD, RECOVERED_STATUS
 from blotter.plans.materialize import materialize_sized
 from blotter.sources.catalog import Catalog
@@ -39,7 +40,9 @@ REPORT_KEYS = ["agency_code", "inc_report_number"]
 def _restrict(df: DataFrame, keys: DataFrame | None, col: str) -> DataFrame:
     if keys is None:
         return df
-    return semi(df, keys.select(F.col("incident_id").alias(col)), col)
+    df = within_span(df, col, span_of(keys))
+    ids = keys.select("incident_id")  # not renamed, so that all restrictions of a query share one broadcast
+    return df.join(ids, df[col] == ids["incident_id"], "left_semi")
 
 
 def _report_keys(keys: DataFrame | None) -> DataFrame | None:
@@ -136,12 +139,16 @@ def case_open_flags(cat: Catalog) -> DataFrame:
 _STATUS_COLS = ("inc_case_id", "case_status_code_type", "case_status_code")
 
 
-def incident_status(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
-    """incident_id -> MAX(is_open) over its cases; dangling cases give NULL."""
+def open_case_rows(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
+    """incident_id -> is_open of each of its cases; dangling cases give NULL."""
     bridge = _bridge(cat, keys)
     flags = _case_status(cat, _cases(cat, keys, columns=_STATUS_COLS))
-    return (bridge.join(flags.select("inc_case_id", "is_open"), "inc_case_id", "left")
-            .groupBy("incident_id").agg(F.max("is_open").alias("is_open")))
+    return bridge.join(flags.select("inc_case_id", "is_open"), "inc_case_id", "left").select("incident_id", "is_open")
+
+
+def incident_status(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
+    """incident_id -> MAX(is_open) over its cases; dangling cases give NULL."""
+    return open_case_rows(cat, keys).groupBy("incident_id").agg(F.max("is_open").alias("is_open"))
 
 
 def incident_open_status(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
@@ -154,6 +161,20 @@ def incident_open_status(cat: Catalog, keys: DataFrame | None = None) -> DataFra
                  ordered_set_text("description", DESC_SEP).alias("case_statuses")))
 
 
+def case_facts(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
+    """incident_id -> is_open, case_statuses and case_numbers, from one pass over its cases."""
+    bridge = _bridge(cat, keys)
+    ic = _cases(cat, keys, columns=(*_STATUS_COLS, "inc_case_number"))
+    ec = cat.lookup("ejs_codes")
+    cases = ic.join(ec, (ic["case_status_code_type"] == ec["code_type"])
+                    & (ic["case_status_code"] == ec["code"]), "left")
+    return (bridge.join(cases, "inc_case_id")
+            .groupBy("incident_id")
+            .agg(F.max(flag(upper_contains("description", OPEN_WORD))).alias("is_open"),
+                 ordered_set_text("description", DESC_SEP).alias("case_statuses"),
+                 ordered_set_text("inc_case_number", CODE_SEP).alias("case_numbers")))
+
+
 # -- addresses --------------------------------------------------------------
 
 def occurrence_address(a: str = "") -> F.Column:
@@ -244,7 +265,8 @@ def property_loss_rows(cat: Catalog, keys: DataFrame | None = None) -> DataFrame
 # -- vehicles ---------------------------------------------------------------
 
 def vehicle_rows(cat: Catalog, keys: DataFrame | None) -> DataFrame:
-    return _restrict(cat.table("incident_vehicles"), keys, "incident_id")
+    rows = cat.table("incident_vehicles")
+    return rows if keys is None else first_hop(keys, "vehicles", rows)
 
 
 def vehicle_counts(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:

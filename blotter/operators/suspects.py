@@ -42,8 +42,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blotter.functions.joins import within_span
 from blotter.functions.text import any_of, upper_contains, upper_contains_any, upper_in
 from blotter.operators.rollups import arrest_rows, by_first_hop, first_hop
+from blotter.operators.spans import span_of
 from blotter.params import (
     OFFENDER_WORD,
     RELATION_CODE_FRAGMENTS,
@@ -68,6 +70,7 @@ def _people(cat: Catalog, keys: DataFrame | None) -> DataFrame:
             "incident_id", "inc_report_number",
             F.col("agncy_cd_agency_code").alias("agency_code"))
         return _with_incident(ip, inc)
+    ip = within_span(ip, "inc_incident_id", span_of(keys))
     return first_hop(keys, "people", ip, lambda df, k: _with_incident(
         df, k.select("incident_id", "inc_report_number", "agency_code")))
 
@@ -105,16 +108,14 @@ def person_rows(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     one.  A hot report or person is split by AQE.
     """
     base = _people(cat, keys)
-    rel = cat.lookup("ejs_codes").select(
-        F.col("code_type").alias("rel_type"), F.col("code").alias("rel_code"),
-        F.col("description").alias("rel_desc"))
-    people = base.join(rel, (base["relation_code_type"] == rel["rel_type"])
-                       & (base["reltn_relation_code"] == rel["rel_code"]), "left")
+    rel = cat.lookup("ejs_codes")  # not renamed: its broadcast is the same as that of the case statuses
+    people = base.join(rel, (base["relation_code_type"] == rel["code_type"])
+                       & (base["reltn_relation_code"] == rel["code"]), "left")
     people = people.join(_role_counts(cat, keys), "inc_per_id", "left")
 
     code = F.col("reltn_relation_code")
-    desc_suspect = upper_contains("rel_desc", SUSPECT_WORD)
-    desc_offender = upper_contains("rel_desc", OFFENDER_WORD)
+    desc_suspect = upper_contains("description", SUSPECT_WORD)
+    desc_offender = upper_contains("description", OFFENDER_WORD)
     code_hit = any_of(upper_in(code, SUSPECT_RELATION_CODES),
                       upper_contains_any(code, RELATION_CODE_FRAGMENTS))
     suspus = F.col("suspus_using_code").isNotNull()
@@ -160,6 +161,13 @@ def person_rows(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
         (n_pass * arrest_ids).alias("excluded_rows"))
 
 
+def suspect_rows(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
+    """incident_id -> one row with suspect_count 1 for each distinct suspect (people with an id)."""
+    return (person_rows(cat, keys).filter(F.col("is_suspect") & F.col("inc_per_id").isNotNull())
+            .select("incident_id", "inc_per_id").distinct()
+            .select("incident_id", F.lit(1).cast("long").alias("suspect_count")))
+
+
 def suspect_counts(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """incident_id -> distinct suspects not arrested on the same report.
 

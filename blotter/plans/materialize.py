@@ -40,6 +40,14 @@ class Size(NamedTuple):
     bytes: int
 
 
+class Span(NamedTuple):
+    """The ids of a written table: least and greatest, and all of them where they are few."""
+
+    low: int
+    high: int
+    ids: tuple[int, ...] | None = None
+
+
 class IncompleteWrite(RuntimeError):
     """A written intermediate does not read back as a whole."""
 
@@ -89,11 +97,12 @@ def writing_to(folder: str) -> Iterator[None]:
         _RUN_FOLDER.reset(token)
 
 
-def _write(df: DataFrame, measure: Column, rebalance: bool, verify: bool | None) -> tuple[DataFrame, Size]:
+def _write(df: DataFrame, measure: Column, rebalance: bool, verify: bool | None,
+           **more: Column) -> tuple[DataFrame, Size, dict]:
     """Write ``df`` as parquet under the shared folder now, and read it back.
 
-    Row count and ``measure`` are observed by the write job itself
-    (``DataFrame.observe``), so they cost no extra job.  ``rebalance`` evens out the files (a map-side join would leave one per scan
+    Row count, ``measure`` and the aggregates ``more`` are observed by the write job
+    itself (``DataFrame.observe``), so they cost no extra job.  ``rebalance`` evens out the files (a map-side join would leave one per scan
     task; rows that end in a shuffle need it not).  ``verify`` compares the re-read row count with the written one; by
     default where the folder could be machine-local, i.e. on any cluster.
     """
@@ -107,13 +116,14 @@ def _write(df: DataFrame, measure: Column, rebalance: bool, verify: bool | None)
     out = df.hint("rebalance") if rebalance else df
     seen = Observation()
     out.observe(seen, F.count(F.lit(1)).alias("rows"),
-                F.coalesce(F.sum(measure), F.lit(0)).alias("bytes")).write.parquet(path)
+                F.coalesce(F.sum(measure), F.lit(0)).alias("bytes"),
+                *[c.alias(k) for k, c in more.items()]).write.parquet(path)
     size = Size(int(seen.get["rows"]), int(seen.get["bytes"]))
     # The schema is known: reading with it skips the footer-reading inference job.
     again = spark.read.schema(df.schema).parquet(path)
     if not is_local(spark) if verify is None else verify:
         check_rows(again, size.rows, path)
-    return again, size
+    return again, size, {k: seen.get[k] for k in more}
 
 
 def check_rows(df: DataFrame, rows: int, path: str) -> None:
@@ -125,7 +135,22 @@ def check_rows(df: DataFrame, rows: int, path: str) -> None:
 def materialize_sized(df: DataFrame, *, rebalance: bool = True,
                       verify: bool | None = None) -> tuple[DataFrame, Size]:
     """The re-read table and its size in rows and bytes."""
-    return _write(df, row_bytes(df.schema), rebalance, verify)
+    return _write(df, row_bytes(df.schema), rebalance, verify)[:2]
+
+
+#: So many ids at most are listed in a filter; the parquet reader and bucket pruning use lists of this length.
+FEW_IDS = 10
+
+
+def materialize_spanned(df: DataFrame, col: str) -> tuple[DataFrame, Size, Span | None]:
+    """``materialize_sized`` and the span of the integer column ``col`` (None: no value)."""
+    again, size, seen = _write(df, row_bytes(df.schema), False, None, low=F.min(col), high=F.max(col))
+    if seen["low"] is None:
+        return again, size, None
+    ids = None
+    if size.rows <= FEW_IDS:
+        ids = tuple(sorted({r[0] for r in again.select(col).collect() if r[0] is not None}))
+    return again, size, Span(seen["low"], seen["high"], ids)
 
 
 def materialize(df: DataFrame, *, rebalance: bool = True, verify: bool | None = None) -> DataFrame:

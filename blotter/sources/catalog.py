@@ -17,13 +17,15 @@ forms select the same rows, so this is exact.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from blotter.functions.joins import measured_bytes
+from blotter.functions.joins import row_bytes
+from blotter.sources.buckets import HEAVY_BYTES, evened
 from blotter.sources.schemas import LOOKUPS, SCHEMAS
 
 # Largest lookup table we broadcast, in bytes of its rows.  The code tables are
@@ -38,7 +40,8 @@ class Catalog:
     """Holds the raw inputs; hands out pruned, typed, blank-normalized views."""
 
     def __init__(self, tables: Mapping[str, DataFrame], *,
-                 broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> None:
+                 broadcast_max_bytes: int = BROADCAST_MAX_BYTES,
+                 heavy_bucket_bytes: int = HEAVY_BYTES) -> None:
         missing = [n for n in SCHEMAS if n not in tables]
         if missing:
             raise KeyError(f"catalog lacks relations: {missing}")
@@ -49,7 +52,9 @@ class Catalog:
                 raise KeyError(f"relation {name} lacks columns {lack}")
         self._raw = dict(tables)
         self._broadcast_max_bytes = broadcast_max_bytes
+        self._heavy_bucket_bytes = heavy_bucket_bytes
         self._small: dict[str, DataFrame] = {}
+        self._even: dict[str, DataFrame] = {}
 
     # -- constructors -----------------------------------------------------
     @classmethod
@@ -72,6 +77,12 @@ class Catalog:
     def raw(self, name: str) -> DataFrame:
         return self._raw[name]
 
+    def even(self, name: str) -> DataFrame:
+        """The raw relation, without its bucketing if that has a heavy bucket."""
+        if name not in self._even:
+            self._even[name] = evened(self._raw[name], self._heavy_bucket_bytes)
+        return self._even[name]
+
     def table(self, name: str, where: Column | Callable[[DataFrame], Column] | None = None,
               columns: tuple[str, ...] | None = None, nonblank: tuple[str, ...] = ()) -> DataFrame:
         """Typed, blank-normalized relation; ``where`` runs on raw columns.
@@ -80,7 +91,7 @@ class Catalog:
         on as they are, so storage bucketed on them stays usable.
         """
         schema = SCHEMAS[name]
-        df = self._raw[name]
+        df = self.even(name)
         fields = [f for f in schema.fields if columns is None or f.name in columns]
         typed = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
         if where is not None:
@@ -93,27 +104,46 @@ class Catalog:
         """A code table, broadcast-hinted only when its bytes are bounded."""
         if name not in LOOKUPS:
             raise KeyError(f"{name} is not a lookup relation")
-        return self.bounded(name, self.table(name))
+        if name not in self._small:
+            self._keep_small({n: self.table(n) for n in LOOKUPS})
+        return self._small[name]
 
     def bounded(self, key: str, df: DataFrame) -> DataFrame:
         """``broadcast(df)`` if ``df``'s rows have at most the bound of bytes, else ``df``.
 
-        The check is one small job (the sum of real string lengths) run once per
-        key and catalog.  A table of at most ``LOCAL_MAX_BYTES`` is then held as a
-        local relation, so no later query scans or joins its parts again.  Beyond
-        the bound the join stays a shuffle join, which adaptive execution may still
-        turn into a broadcast from runtime statistics.
+        Checked once per key and catalog, see ``_keep_small``.
         """
         if key not in self._small:
-            n_bytes = measured_bytes(df)
-            if n_bytes > self._broadcast_max_bytes:
-                self._small[key] = df
-            elif n_bytes > LOCAL_MAX_BYTES:
-                self._small[key] = F.broadcast(df)
-            else:
-                self._small[key] = F.broadcast(df.sparkSession.createDataFrame(df.collect(), df.schema))
+            self._keep_small({key: df})
         return self._small[key]
 
+    def _keep_small(self, tables: dict[str, DataFrame]) -> None:
+        """Measures the tables (the sum of real string lengths) in one job for all of them.
+
+        Those of at most ``LOCAL_MAX_BYTES`` are then collected, in one more job, and
+        held as local relations, so no later query scans or joins their parts again.
+        Beyond the bound a join stays a shuffle join, which adaptive execution may still
+        turn into a broadcast from runtime statistics.
+        """
+        sizes = reduce(DataFrame.unionByName, [
+            df.select(F.lit(k).alias("name"), row_bytes(df.schema).alias("n")) for k, df in tables.items()])
+        n_bytes = {r.name: r.n for r in sizes.groupBy("name").agg(F.sum("n").alias("n")).collect()}
+        most = min(LOCAL_MAX_BYTES, self._broadcast_max_bytes)
+        local = {k: df for k, df in tables.items() if n_bytes.get(k, 0) <= most}
+        rows: dict[str, list] = {k: [] for k in local}
+        if local:
+            # Under each other, each table's rows in a column of its own.
+            under = [df.select(*[(F.struct(*[F.col(f"`{c}`") for c in df.columns]) if other == k else F.lit(None))
+                                 .cast(other_df.schema).alias(f"t{i}") for i, (other, other_df) in enumerate(local.items())],
+                               F.lit(k).alias("name")) for k, df in local.items()]
+            for r in reduce(DataFrame.unionByName, under).collect():
+                rows[r["name"]].append(r[list(local).index(r["name"])])
+        for k, df in tables.items():
+            if k in local:
+                self._small[k] = F.broadcast(df.sparkSession.createDataFrame(rows[k], df.schema))
+            else:
+                self._small[k] = F.broadcast(df) if n_bytes[k] <= self._broadcast_max_bytes else df
+
 
 def read_parquet_any(spark: SparkSession, root: str, name: str) -> DataFrame:
     """``<root>/<name>``, else ``<root>/<name>.parquet``; raises if neither exists."""
