@@ -5,10 +5,11 @@ Writing:
 1. The payload digest of every row is taken; of equal payloads of at least
    ``REVISIT_BYTES``, the row with the smallest id is the response and the
    others become revisits of it (a pre-aggregated minimum per digest).
-2. Rows go to shards by id range.  The ranges come from an exact histogram of
-   payload bytes over ``BUCKETS`` equal steps of the id, so they depend on the
-   data only.  What a row revisits travels as a small row of its own, which is
-   sorted in front of it, so the payloads are shuffled once.
+2. Rows go to shards by ranges of (id, digest), cut by their real bytes
+   (``ranges``): a far outlier or an id with very many rows makes no shard larger.
+   Only rows that are equal in id and payload have to stay together.  What a row
+   revisits travels as a small row of its own, which is sorted in front of it, so
+   the payloads are shuffled once.
 3. Each shard is sorted and written as gzip members, one a record; a file is
    closed when its compressed size reaches ``roll_bytes``.  Headers, record ids
    and block and payload digests are made anew; the date is a parameter.  So
@@ -44,10 +45,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
-from blotter.llm.common import field, pick
+from blotter.llm.common import cut, field, pick
+from blotter.llm.ranges import exact_cuts, range_of
 
 REVISIT_BYTES = 100
-BUCKETS = 1 << 16
+#: What a record weighs besides its payload.
+RECORD_BYTES = 600
 SHARD_BYTES = 16 << 20
 ROLL_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -140,23 +143,6 @@ class ShardWriter:
 
 # ---- writing ----
 
-def _sharded(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """Adds ``shard``; ranges of ``page_id`` of about ``shard_bytes`` of payload."""
-    lo, hi, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum("n_bytes")).first()
-    step = max(1, -(-((hi or 0) - (lo or 0) + 1) // BUCKETS))
-    bucket = F.coalesce(F.floor((F.col("page_id") - F.lit(lo or 0)) / F.lit(step)), F.lit(-1)).cast("int")
-    sizes = pages.groupBy(bucket.alias("bucket")).agg(F.sum("n_bytes").alias("n")).orderBy("bucket").collect()
-    shard_of, shard, held = [], 0, 0
-    for r in sizes:
-        if held and held + r.n > shard_bytes:
-            shard, held = shard + 1, 0
-        held += r.n
-        shard_of.append((r.bucket, shard))
-    table = pages.sparkSession.createDataFrame(shard_of, "bucket int, shard int")
-    # At most BUCKETS + 1 rows of two ints.
-    return pages.withColumn("bucket", bucket).join(F.broadcast(table), "bucket").drop("bucket"), shard + 1
-
-
 def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
                   payload_col: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES,
                   date: str = DATE) -> DataFrame:
@@ -166,8 +152,14 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
             .withColumn("page_id", F.col("page_id").cast("long"))
             .withColumn("payload", F.coalesce(F.col("payload").cast("binary"), F.lit(b"")))
             .withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("long")))
-    rows, shards = _sharded(rows, shard_bytes)
-    keys = rows.where(F.col("n_bytes") >= REVISIT_BYTES).where("page_id IS NOT NULL").select("shard", "page_id", "digest")
+    # The digest's first 15 digits as a number: ranges follow the order of id and digest.
+    rows = rows.withColumn("part", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"))
+    small = cut(rows.select("page_id", "part", "digest", "n_bytes"))
+    cuts = exact_cuts(small.withColumn("n", F.col("n_bytes") + RECORD_BYTES), ["page_id", "part"], "n", shard_bytes)
+    shards, shard = len(cuts) + 1, range_of(cuts, "page_id", "part").alias("shard")
+    rows = rows.select("*", shard)
+    keys = (small.where(F.col("n_bytes") >= REVISIT_BYTES).where("page_id IS NOT NULL")
+            .select(shard, "page_id", "digest"))
     first = (keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
              .where("first < last").select("digest", "first"))
     revisits = keys.join(first, "digest").where("page_id > first").distinct()
@@ -176,7 +168,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
                             *[c.alias(k) for k, c in none.items()])
     both = notes.unionByName(rows.select("shard", "page_id", "digest", F.lit(1).alias("kind"),
                                          F.lit(None).cast("long").alias("refers"), "url", "payload"))
-    both = (both.repartitionByRange(shards, "shard")
+    both = (both.repartitionById(shards, F.col("shard"))
             .sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url"))
 
     def write(batches):

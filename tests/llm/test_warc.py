@@ -76,3 +76,15 @@ def test_empty_table(spark, tmp_path):
     folder = f"file://{tmp_path}/a"
     warc.write_archive(pages(spark, table()).where("false"), folder)
     assert warc.read_archive(spark, folder).count() == 0
+
+
+def test_shards_follow_the_bytes(spark, tmp_path):
+    """A far outlier, and one id with a third of the rows, make no shard of more than twice its bytes."""
+    rows = [(i, None, f"<p>{i} " + "x" * 900) for i in range(400)]
+    rows += [(7, None, f"<p>of seven {i} " + "y" * 900) for i in range(200)] + [(10 ** 15, None, "z" * 950)]
+    folder = f"file://{tmp_path}/a"
+    warc.write_archive(pages(spark, rows), folder, shard_bytes=30_000, roll_bytes=1 << 20)
+    got = warc.read_archive(spark, folder)
+    assert sorted((tuple(r) for r in got.select(*COLUMNS).collect()), key=str) == want(rows)
+    sizes = [r.n for r in got.groupBy("file").agg({"payload_bytes": "sum"}).toDF("file", "n").collect()]
+    assert len(sizes) >= 20 and max(sizes) <= 60_000
