@@ -174,7 +174,14 @@ def layers(s):
             "base64 of url": base64.b64encode(quote(s, safe="").encode()).decode(),
             "base64 twice": base64.b64encode(b64.encode()).decode(),
             "gzip": base64.b64encode(gzip.compress(s.encode(), mtime=0)).decode(),
-            "zlib": base64.urlsafe_b64encode(zlib.compress(s.encode())).decode()}
+            "zlib": base64.urlsafe_b64encode(zlib.compress(s.encode())).decode(),
+            "deflate": base64.b64encode(zlib.compress(s.encode(), wbits=-15)).decode(),
+            "octal": "".join(f"\\{ord(c):03o}" for c in s), "names": s.replace("=", "&equals;").replace("'", "&apos;"),
+            "utf-16": base64.b64encode(s.encode("utf-16")).decode(),
+            "utf-16 be": base64.b64encode(b"#" + s.encode("utf-16-be")).decode(),
+            "quoted pieces": '" +\n    "'.join(b64[i:i + 16] for i in range(0, len(b64), 16)),
+            "deflate of utf-16 of url": base64.b64encode(zlib.compress(base64.b64encode(
+                quote(s, safe="").encode("utf-16-le")), wbits=-15)).decode()}
 
 
 @pytest.mark.parametrize("name", layers(SECRET))
@@ -284,6 +291,60 @@ def test_pieces_lose_nothing(monkeypatch, piece):
             assert any(k == 0 for _, k, _ in secret_scan.all_spans("see " + base64.b64encode(data).decode())[1])
 
 
+def wrap(rng, text):
+    """One random layer around a text."""
+    way = rng.randrange(8)
+    data = text.encode()
+    if way < 3:
+        return ("".join(f"%{x:02X}" for x in data), "".join(f"\\x{x:02x}" for x in data),
+                "".join(f"&#{ord(c)};" for c in text))[way]
+    packed = (data, gzip.compress(data, mtime=0), zlib.compress(data), zlib.compress(data, wbits=-15),
+              text.encode("utf-16-le"))[way - 3]
+    out = base64.b64encode(packed).decode()
+    return out if rng.random() < 0.5 else "\n".join(out[i:i + 76] for i in range(0, len(out), 76))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_random_nestings(seed):
+    """Whatever was wrapped around it, up to five times, the secret is found inside the wrapped part."""
+    rng = random.Random(seed)
+    inner = prose(rng, 12) + " " + SECRET + " " + prose(rng, 12)
+    for _ in range(rng.randrange(1, 6)):
+        inner = wrap(rng, inner)
+    text = "é start: " + inner + " end"
+    own = [x for x in secret_scan.all_spans(text)[1] if x[1] == 0]
+    assert own and all(9 <= s < e <= 9 + len(inner) for s, _, e in own)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_long_runs_are_not_cut(monkeypatch, seed):
+    """Base64, packed base64 and escapes far longer than pieces and overlap, over any piece border."""
+    for k, v in {"FEED": 500, "PIECE": 2000, "LONGEST": 4000, "OVERLAP": 300}.items():
+        monkeypatch.setattr(secret_scan, k, v)
+    rng = random.Random(seed)
+    plain = rng.randbytes(rng.randrange(6000, 20000)).hex().upper().encode() + b"\n " + SECRET.encode() + b" \n" + rng.randbytes(
+        3000).hex().upper().encode()
+    inner = (plain, gzip.compress(plain, mtime=0), zlib.compress(plain))[seed % 3]
+    b64 = base64.b64encode(inner).decode()
+    if seed % 4 == 1:
+        b64 = "\n".join(b64[i:i + 76] for i in range(0, len(b64), 76))
+    if seed % 4 == 2:
+        b64 = "".join(f"%{ord(c):02x}" for c in b64)
+    outer = base64.b64encode(zlib.compress(b64.encode())).decode()
+    assert (4, 0, 4 + len(outer)) in secret_scan.all_spans("see " + outer)[1]
+
+
+def test_many_secrets_beside_a_bad_byte_take_linear_time():
+    import time
+    took = []
+    for n in (4000, 16000):
+        data = base64.b64encode(b"\xff " + (SECRET + " ").encode() * n).decode()
+        t = time.perf_counter()
+        assert len(secret_scan.all_spans(data)[1]) == n
+        took.append(time.perf_counter() - t)
+    assert took[1] < 10 * took[0]
+
+
 # ---- 9: decontamination ----
 
 @pytest.mark.parametrize("seed", range(5))
