@@ -8,7 +8,10 @@ What a tag or its class, id or role names as menu, header, footer, sidebar,
 notice, advert, form, reader comment, script or style is decided as boilerplate
 before the rules.  What only a class or id names so is a wrapper all the same, and
 loses nothing but its own boilerplate, if it holds the page's only article or
-main elements or, without such, most of its prose.  If a page has an ``article`` or ``main`` element, the blocks
+main elements or, without such, most of its prose; so is a form.  Inside an
+article a name counts by its last word that is no layout, so names of its subject
+drop nothing.  Of several articles in one main element, the one with most of the
+prose stays.  If a page has an ``article`` or ``main`` element, the blocks
 outside it are boilerplate too; inside it, a long block without stop words is
 undecided (prose of an unknown language, tables) rather than boilerplate, and a
 block without any decided neighbour stays.
@@ -107,7 +110,7 @@ noframes ol optgroup option p pre search section select summary table tbody td t
 """.split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED_TAGS = frozenset("""
-aside audio button canvas datalist dialog fieldset footer form frameset head iframe input label math menu nav noframes
+aside audio button canvas datalist dialog fieldset footer frameset head iframe input label math menu nav noframes
 noscript object optgroup option script search select style svg template textarea title video
 """.split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -124,6 +127,12 @@ MODIFIERS = frozenset("""
 accepted active closed collapsed disable disabled enable enabled exclude has hide inactive is loaded loading no non not
 off on open opened show shown visible wide with without
 """.split())
+#: Words at the end of a name that say how a thing is laid out, not what it is.
+LAYOUT = frozenset("""
+area bar block blocks body bottom box button buttons col column container content footer group header icon icons inner
+item items left line link links list module outer panel post posts region right row section slot story stories title top
+unit wrap wrapper zone
+""".split())
 #: Names of what readers wrote: it may be most of a page's prose.
 READERS = frozenset("comment commentlist comments discussion disqus replies reply respond".split())
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
@@ -142,13 +151,31 @@ GOOD, BAD, OPEN, PROSE = 1, 0, None, 2
 
 
 #: How sure it is that an element is no article text: by tag, role or style; by a name; by a name of readers' comments.
-SURE, NAMED, COMMENTS = 1, 2, 3
+SURE, NAMED, COMMENTS = 9, 2, 3
+
+
+def named_part(words: list[str], inside: int) -> int:
+    """What a class or id says.  Any word counts; inside an article, where names may speak of its subject, the last
+    one that is no layout does."""
+    if inside:
+        last = next((w for w in reversed(words) if w not in LAYOUT and not w.isdigit()), words[-1] if words else "")
+        words = [last]
+    if not READERS.isdisjoint(words):
+        return COMMENTS
+    return NAMED if not DROPPED_NAMES.isdisjoint(words) or "header" in words and not inside else 0
 
 
 def boilerplate(tag: str, attributes: str, inside: int = 0) -> int:
     """Whether a start tag opens something that is no article text; ``inside`` an article, a header is its own."""
     if tag in DROPPED_TAGS or tag == "header" and not inside:
         return SURE
+    # Some pages stand in a form as a whole; it is judged like an element with a name.
+    form = NAMED if tag == "form" else 0
+    return max(form, attributed(tag, attributes, inside)) if form else attributed(tag, attributes, inside)
+
+
+def attributed(tag: str, attributes: str, inside: int) -> int:
+    """``boilerplate`` by the attributes alone."""
     if not attributes.strip() or tag in CONTENT_TAGS and "comment" not in attributes.lower() or tag in ("html", "body"):
         return 0
     named = 0
@@ -159,12 +186,14 @@ def boilerplate(tag: str, attributes: str, inside: int = 0) -> int:
                 words = NAME.findall(token)
                 if not MODIFIERS.isdisjoint(words):
                     continue
-                if not READERS.isdisjoint(words):
-                    named = COMMENTS
-                elif any(w in DROPPED_NAMES for w in words) or "header" in words and not inside and tag not in HEADINGS:
-                    named = named or NAMED
+                # Inside an article, ids of paragraphs and headings are places to link to.
+                if inside and name == "id" and (tag == "p" or tag in HEADINGS):
+                    continue
+                if tag in HEADINGS:
+                    words = [w for w in words if w != "header"]
+                named = max(named, named_part(words, inside))
         elif name == "role" and value in DROPPED_ROLES:
-            return SURE
+            return NAMED if value == "form" else SURE
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return SURE
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -173,37 +202,75 @@ def boilerplate(tag: str, attributes: str, inside: int = 0) -> int:
 
 
 class Block:
-    __slots__ = ("text", "links", "dropped", "inside", "named")
+    __slots__ = ("text", "links", "dropped", "inside", "named", "article", "heading")
 
-    def __init__(self, text: str, links: int, dropped: bool, inside: int, named: tuple = ()):
+    def __init__(self, text: str, links: int, dropped: bool, inside: int, named: int = 0, article: int = 0,
+                 heading: bool = False):
         self.text, self.links, self.dropped, self.inside = text, links, dropped, inside
-        self.named = named  # the elements around it that a name drops: number, kind
+        self.named = named  # the innermost element around it that a name drops (0: none)
+        self.article = article  # the article element inside the content element that holds it (0: none)
+        self.heading = heading
+
+
+class Element:
+    """An open element, and what holds for the text in it."""
+    __slots__ = ("tag", "dropped", "inside", "link", "named", "why", "article", "heading")
+
+    def __init__(self, tag="", dropped=False, inside=0, link=False, named=0, why=0, article=0, heading=False):
+        self.tag, self.dropped, self.inside, self.link = tag, dropped, inside, link
+        self.named, self.why, self.article, self.heading = named, why, article, heading
+
+
+class Stack:
+    """Open elements; knows without a search which tags are open, and the innermost block."""
+
+    def __init__(self):
+        self.open: list[Element] = [Element()]
+        self.count: dict[str, int] = {}
+        self.blocks: list[int] = []  # places of block-level elements
 
+    def push(self, e: Element) -> None:
+        if e.tag in BLOCK_TAGS:
+            self.blocks.append(len(self.open))
+        self.open.append(e)
+        self.count[e.tag] = self.count.get(e.tag, 0) + 1
 
-def blocks_of(html: str) -> list[Block]:
+    def pop(self) -> Element:
+        e = self.open.pop()
+        self.count[e.tag] -= 1
+        if self.blocks and self.blocks[-1] == len(self.open):
+            self.blocks.pop()
+        return e
+
+    def cut(self, at: int) -> None:
+        while len(self.open) > at:
+            self.pop()
+
+
+def blocks_of(html: str) -> tuple[list[Block], list[tuple[int, int]]]:
+    """The blocks, and the elements that names drop: (number of the one around it, kind), from number 1 on."""
     out: list[Block] = []
-    # Tag, dropped for sure, number of the content element, link, dropped elements by name around it, whether itself dropped.
-    stack: list[tuple[str, bool, int, bool, tuple, bool]] = []
-    outside = ("", False, 0, False, (), False)
-    top = outside
-    names = 0
+    named: list[tuple[int, int]] = [(0, 0)]
+    stack = Stack()
     parts: list[str] = []
     linked: list[str] = []
-    contents = 0
+    contents = articles = 0
 
     def close() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 links = len(" ".join(unescape("".join(linked)).split())) if linked else 0
-                out.append(Block(text, links, top[1], top[2], top[4]))
+                top = stack.open[-1]
+                out.append(Block(text, links, top.dropped, top.inside, top.named, top.article, top.heading))
             parts.clear()
             linked.clear()
 
     def add(text: str) -> None:
-        if text and not top[1]:
+        top = stack.open[-1]
+        if text and not top.dropped:
             parts.append(text)
-            if top[3]:
+            if top.link:
                 linked.append(text)
 
     at = 0
@@ -224,48 +291,52 @@ def blocks_of(html: str) -> list[Block]:
         if tag == "br":
             add(" ")
         if m[1]:
-            found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if block or found is not None and any(s[0] in BLOCK_TAGS or s[5] for s in stack[found:]):
+            is_open = stack.count.get(tag, 0) > 0
+            if block:
                 close()
-            if found is not None:
-                del stack[found:]
-                top = stack[-1] if stack else outside
+            while is_open:
+                top = stack.open[-1]
+                if top.tag in BLOCK_TAGS or top.why:
+                    close()
+                stack.pop()
+                is_open = top.tag != tag
             continue
         if block:
             close()
             # An open paragraph, list item or cell ends where its like (or a block, for p) begins.
-            for k in range(len(stack) - 1, -1, -1):
-                name = stack[k][0]
+            if stack.blocks:
+                name = stack.open[stack.blocks[-1]].tag
                 if name == "p" or name == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-                    del stack[k:]
-                    top = stack[-1] if stack else outside
-                    break
-                if name in BLOCK_TAGS:
-                    break
+                    stack.cut(stack.blocks[-1])
         if tag in VOID_TAGS:
             continue
-        why = 0 if top[1] else boilerplate(tag, m[3], top[2])
-        gone = top[1] or why == SURE
+        top = stack.open[-1]
+        why = 0 if top.dropped else boilerplate(tag, m[3], top.inside)
+        gone = top.dropped or why == SURE
         if why:
             close()
         if m[3].endswith("/") and tag not in BLOCK_TAGS and tag not in RAW_TAGS:
             continue
-        inside, named = top[2], top[4]
-        if why > SURE:
-            names += 1
-            named = (*named, (names, why))
-        if tag in CONTENT_TAGS and not gone and why != COMMENTS and not inside:
-            contents += 1
-            inside = contents
+        e = Element(tag, gone, top.inside, top.link or tag == "a", top.named, why, top.article,
+                    top.heading or tag in HEADINGS)
+        if why and why != SURE:
+            named.append((top.named, why))
+            e.named = len(named) - 1
+        if tag in CONTENT_TAGS and not gone and why != COMMENTS:
+            if not e.inside:
+                contents += 1
+                e.inside = contents
+            if tag == "article" and not e.article:
+                articles += 1
+                e.article = articles
         if tag in RAW_TAGS:
             end = RAW_TAGS[tag].search(html, at)
             if tag != "xmp":
                 at = end.end() if end else len(html)
                 continue
-        top = (tag, gone, inside, top[3] or tag == "a", named, bool(why))
-        stack.append(top)
+        stack.push(e)
     close()
-    return out
+    return out, named
 
 
 def length(b: Block) -> int:
@@ -293,30 +364,68 @@ def prose_share(blocks: list[Block]) -> float:
     return stop / max(1, words)
 
 
-def without_named(blocks: list[Block]) -> list[Block]:
-    """The blocks that no name drops.  Elements that hold all that is left of the page are not dropped by name."""
-    if not any(b.named for b in blocks):
-        return blocks
-    free = [b for b in blocks if not b.named]
+def prose_of(b: Block) -> int:
+    """Its characters, if it may be prose by links and length."""
+    return len(b.text) if b.links <= len(b.text) * LINKS_OUTSIDE and length(b) >= LENGTH_LOW else 0
 
-    def prose(b: Block) -> int:
-        return len(b.text) if b.links <= len(b.text) * LINKS_OUTSIDE and length(b) >= LENGTH_LOW else 0
 
-    held: dict = {}
+def without_named(blocks: list[Block], named: list[tuple[int, int]]) -> list[Block]:
+    """The blocks that no name drops.  Elements that hold all that is left of the page are not dropped by name.
+
+    ``named`` is a tree: what an element holds is summed up from its children.
+    """
+    if not any(b.named for b in blocks):
+        return blocks
+    n = len(named)
+    readers = [False] * n  # whether readers' comments are around it, itself included
+    for x in range(1, n):
+        readers[x] = readers[named[x][0]] or named[x][1] == COMMENTS
+    article = any(b.inside for b in blocks if not b.named)
+    size, own_size, content = [0] * n, [0] * n, [False] * n
     total = 0
-    article = any(b.inside for b in free)
     for b in blocks:
-        size = prose(b)
-        own = not any(kind == COMMENTS for _, kind in b.named)
-        total += size if own else 0
-        for x in b.named:
-            old = held.get(x, (0, False))
-            # Where an article is left, what stands outside it is no part of it.
-            held[x] = (old[0] + (size if (own or x[1] == COMMENTS) and (b.inside or not article) else 0),
-                       old[1] or bool(b.inside) and own and not article)
-    kept = {x for x, (size, content) in held.items()
-            if (content or 2 * size > total if x[1] == NAMED else size and not total)}
-    return [b for b in blocks if kept.issuperset(b.named)]
+        own, prose = not readers[b.named], prose_of(b)
+        total += prose if own else 0
+        # Where an article is left, what stands outside it is no part of it.
+        if b.inside or not article:
+            size[b.named] += prose
+            own_size[b.named] += prose if own else 0
+        content[b.named] |= bool(b.inside) and own and not article
+    for x in range(n - 1, 0, -1):
+        around = named[x][0]
+        size[around] += size[x]
+        own_size[around] += own_size[x]
+        content[around] |= content[x]
+    kept = [True] * n
+    for x in range(1, n):
+        around, kind = named[x]
+        own = content[x] or 2 * own_size[x] > total if kind == NAMED else size[x] and not total
+        kept[x] = kept[around] and bool(own)
+    return [b for b in blocks if kept[b.named]]
+
+
+def without_teasers(blocks: list[Block]) -> list[Block]:
+    """Where one article of several in a content element has most of its prose, the others go, with their headings."""
+    size: dict[int, dict[int, int]] = {}
+    for b in blocks:
+        if b.inside:
+            each = size.setdefault(b.inside, {})
+            each[b.article] = each.get(b.article, 0) + prose_of(b)
+    chief = {}
+    for part, each in size.items():
+        best = max((a for a in each if a), key=lambda a: each[a], default=0)
+        if len([a for a in each if a]) > 1 and 2 * each[best] > sum(each.values()):
+            chief[part] = best
+    out: list[Block] = []
+    after = False  # whether what comes next in the page is dropped
+    for b in reversed(blocks):
+        part = chief.get(b.inside, 0)
+        if part and b.article and b.article != part or part and not b.article and b.heading and after:
+            after = True
+            continue
+        after = False
+        out.append(b)
+    return out[::-1]
 
 
 def first_pass(b: Block, has_content: bool, known: bool = True):
@@ -403,7 +512,8 @@ def second_pass(blocks: list[Block], labels: list) -> list[bool]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    blocks = without_named([b for b in blocks_of(html) if not b.dropped])
+    blocks, named = blocks_of(html)
+    blocks = without_teasers(without_named([b for b in blocks if not b.dropped], named))
     has_content = any(b.inside for b in blocks)
     known = has_content or prose_share(blocks) >= STOP_HIGH
     labels = [first_pass(b, has_content, known) for b in blocks]

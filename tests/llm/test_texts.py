@@ -161,6 +161,68 @@ def test_parts_named_beside_an_article_go():
     assert html_extract.main_text(page) == LONG.strip()
 
 
+def test_a_page_in_one_form_stays():
+    page = f"<form id=aspnetForm><div><h1>Head</h1><p>{LONG}</p><input value=x><select><option>o</option></select></div></form>"
+    assert html_extract.main_text(page) == f"Head\n{LONG.strip()}"
+    page = f"<article><p>{LONG * 3}</p><form class=ask><p>{LONG}</p></form></article>"
+    assert html_extract.main_text(page) == (LONG * 3).strip()
+
+
+def test_names_of_the_subject_drop_nothing_in_an_article():
+    parts = [f"<p id=respond-to-crisis>{LONG}1</p>", f"<section class=legal-analysis><p>{LONG}2</p></section>",
+             f"<div class=cookie-steps><p>{LONG}3</p></div>", f"<p id=comment>{LONG}4</p>",
+             f"<h2 id=related>Related work</h2><p>{LONG}5</p>"]
+    text = html_extract.main_text(f"<article>{''.join(parts)}<div class='cookie-banner'><p>{LONG}6</p></div>"
+                                  f"<div class='share-buttons'>{LONG}7</div><div id=comment-list-2>{LONG}8</div></article>")
+    assert [x[-1] for x in text.split("\n") if x.startswith("The cat")] == list("12345") and "Related work" in text
+
+
+def test_teasers_in_main_go():
+    main = f"<main><h1>Title</h1><article><p>{LONG * 3}</p></article>"
+    page = f"{main}<section><h2>Related</h2><article><h3>Other</h3><p>{LONG}</p></article></section></main>"
+    assert html_extract.main_text(page) == f"Title\n{(LONG * 3).strip()}"
+    even = f"<main>{''.join(f'<article><h2>{i}</h2><p>{LONG}</p></article>' for i in range(3))}</main>"
+    assert html_extract.main_text(even).count("mat") == 12  # no article is the chief one
+
+
+def test_open_tags_take_linear_time():
+    import time
+    t = time.perf_counter()
+    n = 50_000
+    assert html_extract.main_text("<span>" * n + "<p>x</p>" * n).count("x") == n
+    assert html_extract.main_text("<b>" * n + "</i>" * n + "y") == "y"
+    assert html_extract.main_text("<div class=legal>" * n + f"<p>{LONG}</p>" + "</div>" * n) == LONG.strip()
+    assert time.perf_counter() - t < 12
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_second_pass_by_definition(seed):
+    rng = random.Random(seed)
+    part = 0
+    blocks, labels = [], []
+    for _ in range(60):
+        part = rng.randrange(3) if rng.random() < 0.2 else part
+        blocks.append(html_extract.Block("x", 0, False, part))
+        labels.append(rng.choice([0, 1, None, None, None]))
+    want = []
+    for i, label in enumerate(labels):
+        if label is None:
+            near = []
+            for step in (-1, 1):
+                j = i + step
+                while 0 <= j < 60 and blocks[j].inside == blocks[i].inside and labels[j] is None:
+                    j += step
+                if 0 <= j < 60 and blocks[j].inside == blocks[i].inside:
+                    near.append((abs(j - i), labels[j]))
+            if blocks[i].inside and 1 not in [x for _, x in near]:
+                label = 1
+            elif near:
+                least = [x for d, x in near if d == min(near)[0]]
+                label = (1 in least) if blocks[i].inside else all(least)
+        want.append(bool(label))
+    assert html_extract.second_pass(blocks, labels) == want
+
+
 # ---- 6: secrets ----
 
 SECRET = "token = 'abcdefghijkl0123'"
