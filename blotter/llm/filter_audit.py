@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
-from blotter.llm.common import field, pick
+from blotter.llm.common import cut, field, pick
 
 #: 8! orders times 2^8 masks are 10 million removal ranks; more filters have too many orders to list.
 MOST_FILTERS = 8
@@ -142,7 +142,8 @@ def document_counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     of a text's smallest id all rows pass, and rows without an id pass.  Several
     label rows of one id count once: good or toxic if any of them is.
 
-    Texts are read once; only ids and digests are shuffled.  A text held by very
+    Texts are read once (the counts per text and part are written); only ids and
+    digests are shuffled.  A text held by very
     many rows is counted before its rows meet: one row per text, part and id,
     then one per text and part, which carries the counts of its smallest id.
     """
@@ -164,11 +165,11 @@ def document_counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             .groupBy("id", *keys).agg(F.count("*").alias("n"), F.max("good").alias("good"), F.max("toxic").alias("toxic")))
     each = each.select("id", *keys, "n", *[(F.coalesce(c, F.lit(0)) * F.col("n")).alias(c) for c in ("good", "toxic")])
     weights = ("n", "good", "toxic")
-    by_part = each.groupBy(*keys).agg(
+    by_part = cut(each.groupBy(*keys).agg(
         F.min("id").alias("first"),
         *[F.sum(w).alias(w) for w in weights],
         *[F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col(w))), F.lit(0)).alias(f"{w}_no_id") for w in weights],
-        *[F.coalesce(F.min_by(w, "id"), F.lit(0)).alias(f"{w}_first") for w in weights])
+        *[F.coalesce(F.min_by(w, "id"), F.lit(0)).alias(f"{w}_first") for w in weights]))
     least = by_part.groupBy("digest").agg(F.min("first").alias("least"))
     rows = by_part.join(least, "digest")
     spared = {w: F.col(f"{w}_no_id") + F.when(F.col("first") == F.col("least"), F.col(f"{w}_first")).otherwise(0)
