@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from blotter.functions.joins import broadcast_if_bounded, within_bound, within_span
 from blotter.functions.text import any_of, upper_in
-from blotter.operators.spans import span_of, spanned
+from blotter.operators.spans import filtered, span_of, spanned
 from blotter.params import Params
 from blotter.plans.materialize import Size, Span, materialize_spanned
 from blotter.sources.catalog import Catalog
@@ -166,21 +166,30 @@ def cohort_inclusive(cat: Catalog, p: Params) -> DataFrame:
     return _cohort(cat, p, INCLUSIVE_COLUMNS, described=True, inclusive=True)
 
 
-def cohort_keys(cohort: DataFrame, n_bytes: int | None = None, span: Span | None = None) -> DataFrame:
+def cohort_keys(cohort: DataFrame, size: Size | None = None, span: Span | None = None) -> DataFrame:
     """Distinct incident keys of a (materialized) cohort, for restricting rollups.
 
     Broadcast-hinted when the cohort rows fit the broadcast budget, so every
-    semi join restricting a rollup to the cohort filters map-side; with a ``span``,
-    scans skip what lies outside it.
+    semi join restricting a rollup to the cohort filters map-side; beyond it, Bloom
+    filters drop most other rows before they are shuffled.  With a ``span``, scans
+    skip what lies outside it.
     """
     keys = cohort.select("incident_id", "inc_report_number", "agency_code").distinct()
-    return spanned(broadcast_if_bounded(keys, proof=n_bytes), span)
+    return known_keys(keys, size, span)
+
+
+def known_keys(keys: DataFrame, size: Size | None, span: Span | None) -> DataFrame:
+    """``keys`` with what restricts scans by them: broadcast if ``size`` (of rows that they were
+    taken from) is within the budget, else Bloom filters; and the span of their ids."""
+    if size is not None and not within_bound(size.bytes):
+        return spanned(filtered(keys, size.rows), span)
+    return spanned(broadcast_if_bounded(keys, proof=None if size is None else size.bytes), span)
 
 
 def written_cohort(rows: DataFrame) -> tuple[DataFrame, DataFrame, Size]:
     """A cohort written once: its rows, its keys with the span of their ids, and its size."""
     ri, size, span = materialize_spanned(rows, "incident_id")
-    return ri, cohort_keys(ri, size.bytes, span), size
+    return ri, cohort_keys(ri, size, span), size
 
 
 @dataclass(frozen=True, eq=False)
@@ -208,7 +217,7 @@ class Cohort:
     def narrowed(self, p: Params) -> "Cohort":
         """The described cohort inside an inclusive one: its rows of the NIBRS code, without places."""
         rows = self.rows.filter(_nibrs_match(p)).select(*DESCRIBED_COLUMNS).distinct()
-        return Cohort(rows, cohort_keys(rows, self.size.bytes, span_of(self.keys)), self.size, self.facts)
+        return Cohort(rows, cohort_keys(rows, self.size, span_of(self.keys)), self.size, self.facts)
 
     def incidents(self) -> DataFrame:
         """Distinct incidents (id, report number, agency, report date)."""

@@ -24,7 +24,6 @@ from blotter.functions.text import flag
 from blotter.operators import cohort as co
 from blotter.operators import facts as fa
 from blotter.operators import rollups as ro
-from blotter.operators.spans import spanned
 from blotter.params import Params
 from blotter.plans.materialize import materialize_spanned
 from blotter.sources.catalog import Catalog
@@ -80,7 +79,7 @@ def report_metrics(cat: Catalog, p: Params, cohort: co.Cohort | None = None) ->
     """
     if cohort is None:
         inc, size, span = materialize_spanned(co.cohort_incident_keys(cat, p), "incident_id")
-        facts = _kpi_facts(cat, spanned(broadcast_if_bounded(inc, proof=size.bytes), span), size.bytes)
+        facts = _kpi_facts(cat, co.known_keys(inc, size, span), size.bytes)
     else:
         inc = cohort.incidents()
         facts = _kpi_facts(cat, cohort.keys, cohort.size.bytes) if cohort.facts is None else cohort.facts

@@ -19,6 +19,7 @@ import weakref
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blotter.functions.bloom import may_match
 from blotter.functions.joins import semi, within_bound, within_span
 from blotter.functions.text import (
     collapse_spaces,
@@ -28,7 +29,7 @@ from blotter.functions.text import (
     text_concat,
     upper_contains,
 )
-from blotter.operators.spans import span_of
+from blotter.operators.spans import filter_of, span_of
 from blotter.params import CODE_SEP, DESC_SEP, LOSS_CODE, OPEN_WORD, RECOVERED_STATUS
 from blotter.plans.materialize import materialize_sized
 from blotter.sources.catalog import Catalog
@@ -40,7 +41,7 @@ REPORT_KEYS = ["agency_code", "inc_report_number"]
 def _restrict(df: DataFrame, keys: DataFrame | None, col: str) -> DataFrame:
     if keys is None:
         return df
-    df = within_span(df, col, span_of(keys))
+    df = may_match(within_span(df, col, span_of(keys)), [col], filter_of(keys, ("incident_id",)))
     ids = keys.select("incident_id")  # not renamed, so that all restrictions of a query share one broadcast
     return df.join(ids, df[col] == ids["incident_id"], "left_semi")
 
@@ -56,7 +57,9 @@ def arrest_rows(cat: Catalog, keys: DataFrame | None, columns: tuple[str, ...])
                   where=lambda d: d["inc_report_number"].isNotNull()
                   & (d["inc_report_number"] != F.lit("")), nonblank=("inc_report_number",))
     rk = _report_keys(keys)
-    return a if rk is None else semi(a, rk, REPORT_KEYS)
+    if rk is None:
+        return a
+    return semi(may_match(a, REPORT_KEYS, filter_of(keys, tuple(REPORT_KEYS))), rk, REPORT_KEYS)
 
 
 # -- two-hop rollups ---------------------------------------------------------

@@ -42,10 +42,11 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blotter.functions.bloom import may_match
 from blotter.functions.joins import within_span
 from blotter.functions.text import any_of, upper_contains, upper_contains_any, upper_in
 from blotter.operators.rollups import arrest_rows, by_first_hop, first_hop
-from blotter.operators.spans import span_of
+from blotter.operators.spans import filter_of, span_of
 from blotter.params import (
     OFFENDER_WORD,
     RELATION_CODE_FRAGMENTS,
@@ -70,7 +71,8 @@ def _people(cat: Catalog, keys: DataFrame | None) -> DataFrame:
             "incident_id", "inc_report_number",
             F.col("agncy_cd_agency_code").alias("agency_code"))
         return _with_incident(ip, inc)
-    ip = within_span(ip, "inc_incident_id", span_of(keys))
+    ip = may_match(within_span(ip, "inc_incident_id", span_of(keys)), ["inc_incident_id"],
+                   filter_of(keys, ("incident_id",)))
     return first_hop(keys, "people", ip, lambda df, k: _with_incident(
         df, k.select("incident_id", "inc_report_number", "agency_code")))
 
