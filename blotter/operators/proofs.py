@@ -24,6 +24,17 @@ EVIDENCE = ("suspect_count", "matched_role_type_rows", "matched_role_desc_rows",
             "matched_relation_code_rows", "excluded_arrest_rows")
 
 
+#: The sort keys of each proof, ascending, NULLs last.
+ORDER = {
+    "proof_total_reports": ("report_date", "report_number", "incident_id", "offense_code"),
+    "proof_total_reports_inclusive": ("report_date", "report_number", "incident_id", "offense_code"),
+    "proof_total_vehicles_linked": ("report_date", "report_number", "vehicle_id"),
+    **dict.fromkeys(("proof_reports_with_arrest", "proof_open_reports", "proof_closed_by_other_means",
+                     "proof_summed_loss_value", "proof_avg_suspects", "proof_reports_with_vehicle_info"),
+                    ("report_date", "report_number")),
+}
+
+
 def _asc(*cols: str) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in cols]
 
@@ -53,7 +64,7 @@ def _per_report(rows: DataFrame, tail: list[Column], tail_names: tuple[str, ...]
         ordered_set_text("nibrs_desc", DESC_SEP).alias("nibrs_descs"),
         *tail)
     g = g.withColumnRenamed("inc_report_number", "report_number")
-    return g.select(*HEAD, *tail_names).orderBy(*_asc("report_date", "report_number"))
+    return g.select(*HEAD, *tail_names).orderBy(*_asc(*ORDER["proof_summed_loss_value"]))
 
 
 def proof_total_reports(cat: Catalog, p: Params,
@@ -64,7 +75,7 @@ def proof_total_reports(cat: Catalog, p: Params,
         "report_year", "agency_code", "incident_id",
         F.col("inc_report_number").alias("report_number"), "case_numbers", "report_date",
         "offense_code", "offense_desc", "nibrs_code", "nibrs_desc",
-    ).orderBy(*_asc("report_date", "report_number", "incident_id", "offense_code"))
+    ).orderBy(*_asc(*ORDER["proof_total_reports"]))
 
 
 def inclusive_cohort(cat: Catalog, p: Params) -> co.Cohort:
@@ -82,7 +93,7 @@ def proof_total_reports_inclusive(cat: Catalog, p: Params, cohort: co.Cohort | N
         F.col("inc_report_number").alias("report_number"), "case_numbers",
         F.col("occurrence_addresses").alias("offense_address"), "report_date",
         "offense_code", "offense_desc", "place_code", "place_desc", "nibrs_code", "nibrs_desc",
-    ).orderBy(*_asc("report_date", "report_number", "incident_id", "offense_code"))
+    ).orderBy(*_asc(*ORDER["proof_total_reports_inclusive"]))
 
 
 def proof_reports_with_arrest(cat: Catalog, p: Params,
@@ -166,4 +177,4 @@ def vehicle_links(cat: Catalog, p: Params, cohort: co.Cohort | None = None,
 def proof_total_vehicles_linked(cat: Catalog, p: Params, cohort: co.Cohort | None = None,
                                 links: DataFrame | None = None) -> DataFrame:
     """Vehicle link rows sorted by report date, report number, vehicle."""
-    return vehicle_links(cat, p, cohort, links).orderBy(*_asc("report_date", "report_number", "vehicle_id"))
+    return vehicle_links(cat, p, cohort, links).orderBy(*_asc(*ORDER["proof_total_vehicles_linked"]))

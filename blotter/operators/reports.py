@@ -7,6 +7,9 @@ read by the KPI and the proofs, so each rollup table is scanned once per set.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from blotter.operators import facts as fa
@@ -15,6 +18,7 @@ from blotter.operators import proofs as pr
 from blotter.operators import rollups as ro
 from blotter.params import Params
 from blotter.plans.materialize import drop_folder, new_run_folder, writing_to
+from blotter.plans.ordered import write_ordered
 from blotter.sources.catalog import Catalog
 
 SHARED = (
@@ -61,3 +65,25 @@ def report_set(cat: Catalog, p: Params) -> ReportSet:
         out["proof_total_vehicles_linked"] = pr.proof_total_vehicles_linked(cat, p, cohort, links)
         out["proof_total_reports_inclusive"] = pr.proof_total_reports_inclusive(cat, p, wide)
     return out
+
+
+@contextmanager
+def single_report(cat: Catalog, p: Params, name: str) -> Iterator[DataFrame]:
+    """One report, KPI row or proof, for the length of a block; leaving it drops the tables that it wrote."""
+    make = {"metrics_summary": me.metrics_summary, "report_metrics": me.report_metrics,
+            "incident_metrics": me.incident_metrics, "vehicle_links": pr.vehicle_links}.get(name) or getattr(pr, name)
+    spark = cat.raw("incidents").sparkSession
+    folder = new_run_folder(spark)
+    try:
+        with writing_to(folder):
+            df = make(cat, p)
+        yield df
+    finally:
+        drop_folder(spark, folder)
+
+
+def write_proofs(cat: Catalog, p: Params, path: str) -> None:
+    """All nine proofs of ``p`` as ordered results, each in a folder of its name."""
+    with report_set(cat, p) as out:
+        for name, keys in pr.ORDER.items():
+            write_ordered(out[name], f"{path}/{name}", list(keys))
