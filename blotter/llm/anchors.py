@@ -8,8 +8,9 @@ the bucket of its anchor's hash.
 
 Only windows whose anchor's hash occurs again can repeat.  So the hashes are
 counted first (8 bytes a run, pre-aggregated), and only runs with a repeated hash
-are packed.  Hashes select candidates; equality is always decided on the packed
-strings themselves.
+are packed.  Hashes select candidates; equality is decided on the packed strings
+themselves, but for the windows of hot buckets, which their operators compare by
+128-bit digests.
 """
 
 from __future__ import annotations

@@ -199,6 +199,61 @@ ORACLE: dict[str, str] = {
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
             CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
         FROM y""",
+    "op12_conversations": r"""
+        WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+        d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(
+                    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                    lambda c: CAST(ascii(c) AS BIGINT))),
+                    lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS way
+              FROM conversations, k),
+        e AS (SELECT conv_id, turn, CASE way WHEN 4 THEN 'user' ELSE role END AS role,
+                CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(CASE way WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+                NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, left(role, 1) AS r FROM e),
+        f AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+                right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') AS late,
+                lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+        g AS (SELECT *, blank OR duplicate AS gone, NOT blank AND NOT duplicate AND late AS truncated FROM f),
+        n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+                count(*) FILTER (truncated) AS truncated,
+                count(*) FILTER (before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+        -- Up to two insertions take a state (0: nothing yet, 1: s, 2: u, 3: a) to another one.
+        c(q, p, ins) AS (VALUES (0, 0, ''), (1, 1, ''), (2, 2, ''), (3, 3, ''), (0, 2, 'I'), (1, 2, 'I'), (3, 2, 'I'),
+                                (2, 3, 'I'), (0, 3, 'II'), (1, 3, 'II')),
+        -- What an edit of a row does in a state; a row is kept if its initial fits.
+        t(p, edit, r, z, price) AS (VALUES (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (3, 'K', 'u', 2, 0),
+            (2, 'K', 'a', 3, 0), (0, 'R', NULL, 2, 3), (1, 'R', NULL, 2, 3), (3, 'R', NULL, 2, 3), (2, 'R', NULL, 3, 3),
+            (0, 'D', NULL, 0, 4), (1, 'D', NULL, 1, 4), (2, 'D', NULL, 2, 4), (3, 'D', NULL, 3, 4)),
+        w AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, {'cost': 0, 'audit': ''} AS best FROM n
+              UNION ALL
+              SELECT g.conv_id, g.i, z, min({'cost': best.cost + 3 * length(ins) + price
+                  + CASE WHEN edit <> 'D' AND truncated THEN 3 ELSE 0 END, 'audit': best.audit || ins || edit})
+              FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1 JOIN c USING (q) JOIN t USING (p)
+              WHERE (edit <> 'K' OR t.r = g.r) AND (edit = 'D' OR NOT gone) GROUP BY g.conv_id, g.i, z),
+        b AS (SELECT w.conv_id, min({'cost': best.cost + 3 * length(tail), 'audit': best.audit || tail}) AS best
+              FROM w JOIN n ON w.conv_id IS NOT DISTINCT FROM n.conv_id AND w.i = n.n
+              JOIN (VALUES (0, ''), (1, 'II'), (2, 'I'), (3, '')) AS x(q, tail) USING (q)
+              GROUP BY w.conv_id),
+        l AS (SELECT conv_id, pos, best.audit[pos] AS edit FROM (SELECT conv_id, best, unnest(range(1, length(best.audit) + 1)) AS pos FROM b)),
+        m AS (SELECT l.conv_id, pos, edit, g.role, g.text, g.r FROM
+                (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS i FROM l) AS l
+              LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM l.conv_id AND g.i = l.i WHERE edit <> 'D'),
+        s AS (SELECT *, row_number() OVER v - CAST(first_value(edit = 'K' AND r = 's') OVER v AS INT) AS j
+              FROM m WINDOW v AS (PARTITION BY conv_id ORDER BY pos)),
+        h AS (SELECT conv_id, string_agg(CASE edit WHEN 'K' THEN role ELSE CASE WHEN j % 2 = 1 THEN 'user' ELSE 'assistant' END END
+                || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS repaired FROM s GROUP BY conv_id)
+        SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+            coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit,
+            sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS a
+        LEFT JOIN n ON a.conv_id IS NOT DISTINCT FROM n.conv_id
+        LEFT JOIN b ON a.conv_id IS NOT DISTINCT FROM b.conv_id
+        LEFT JOIN h ON a.conv_id IS NOT DISTINCT FROM h.conv_id""",
 }
 
 QUERIES = {f.__name__: f for f in (
