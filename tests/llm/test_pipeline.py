@@ -81,7 +81,11 @@ def test_empty_documents(spark):
         docs = got
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+#: Queries of another grain than a row per input row.
+OTHER_GRAIN = {"op11_filters", "op12_conversations"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES.keys() - OTHER_GRAIN))
 def test_queries_return_a_row_per_input_row(spark, name):
     source = {"op2_html": "pages", "op5_warc": "pages", "op8_embeddings": "embeddings"}.get(name, "documents")
     got = queries.QUERIES[name](spark, SF)
@@ -90,6 +94,16 @@ def test_queries_return_a_row_per_input_row(spark, name):
     assert dict(got.dtypes)[got.columns[0]] == "bigint"
 
 
+def test_grain_of_the_other_queries(spark):
+    """600 rows a language (120 orders of five steps); a row per conversation."""
+    got = queries.op11_filters(spark, SF)
+    parts = queries.table(spark, SF, "documents").selectExpr("coalesce(lang, '') AS part").distinct()
+    assert got.count() == 600 * parts.count() == got.select("part", "filter_order", "step").distinct().count()
+    got = queries.op12_conversations(spark, SF)
+    convs = queries.table(spark, SF, "conversations").select("conv_id").distinct()
+    assert got.count() == convs.count() == got.join(convs, "conv_id").count()
+
+
 def test_oracles(spark):
     from oracle_check import compare, duck_connect
     con = duck_connect(SF)
