@@ -13,7 +13,9 @@ every report reads its whole input.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,22 +230,29 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 # Bump when the derivation or the layout changes, so a written copy is never
 # reused stale.
-FIXTURE_VERSION = "v5"
+FIXTURE_VERSION = "v6"
 
 # Storage layout of the written relations.
 #
 # * The incident-keyed relations, incidents included (and the ones keyed by
 #   case, person row, address and, for arrests, report), are *bucketed* on that
-#   key, as external tables in the shared folder.  The number of buckets follows
-#   from the input's bytes (``bucket_count``).  Aggregations and joins
+#   key, as external tables in the shared folder.  Aggregations and joins
 #   on the bucket key then need no exchange: the rollups group by incident id
 #   straight off the scan, and incidents join the other tables co-located.
+# * One task reads a bucket, sorts it for a join or groups it, so its memory
+#   follows from the bucket's bytes and the number of tasks from the number of
+#   buckets.  That number grows with the input (``bucket_count``).
+# * Rows are gathered by bucket before they are written.  Otherwise every task
+#   writes a file for every bucket, and the number of files would grow with the
+#   square of the input.  A large bucket is written by several tasks (AQE).
 # * Within each bucket, incidents are sorted by report date, so every row
 #   group covers a date range that the cohort's year filter skips by min/max
 #   statistics.
 # * The code tables are one file.
 BUCKET_BYTES = 128 * 1024 * 1024
 LEAST_BUCKETS, MOST_BUCKETS = 8, 16384
+# So many relations are written at a time; the last tasks of one job leave cores to the next.
+WRITERS = 4
 _BUCKET = {
     "incidents": ("incident_id",), "offenses": ("inc_incident_id",), "incident_people": ("inc_incident_id",),
     "incident_properties": ("incsup_incident_id",), "incident_vehicles": ("incident_id",),
@@ -251,7 +260,8 @@ _BUCKET = {
     "incident_person_roles": ("inc_per_id",), "incident_cases": ("inc_case_id",),
     "addresses": ("address_id",), "arrests": ("inc_report_number",),
 }
-# Sort order within buckets, where it is not the bucket key itself.
+# Sort order within buckets; the others hold their rows as they come, as a bucket is one
+# row group or few and joins sort it anyway.
 _BUCKET_SORT = {"incidents": ("report_date", "incident_id")}
 
 
@@ -270,15 +280,23 @@ def bucket_count(spark: SparkSession, sf_dir: str) -> int:
 
 def write_fixtures(spark: SparkSession, sf_dir: str, out_dir: str, buckets: int) -> str:
     """Derive the 16 relations and write them as parquet under ``out_dir``."""
-    for name, df in derive(spark, sf_dir).items():
+    def write(name: str, df: DataFrame) -> None:
         path = out_dir.rstrip("/") + "/" + name
-        if name in _BUCKET:
-            key = _BUCKET[name]
-            (df.write.mode("overwrite").option("path", path)
-             .bucketBy(buckets, *key).sortBy(*_BUCKET_SORT.get(name, key))
-             .saveAsTable(_table_name(out_dir, name)))
-            continue
-        df.coalesce(1).write.mode("overwrite").parquet(path)
+        if name not in _BUCKET:
+            df.coalesce(1).write.mode("overwrite").parquet(path)
+            return
+        key = _BUCKET[name]
+        rows = (df.hint("rebalance", buckets, *[F.col(k) for k in key])
+                .write.mode("overwrite").option("path", path).bucketBy(buckets, *key))
+        if name in _BUCKET_SORT:
+            rows = rows.sortBy(*_BUCKET_SORT[name])
+        rows.saveAsTable(_table_name(out_dir, name))
+
+    with ThreadPoolExecutor(WRITERS) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(write), name, df)
+                   for name, df in derive(spark, sf_dir).items()]
+        for job in started:
+            job.result()
     return out_dir
 
 

@@ -161,6 +161,18 @@ def test_empty_cohort_has_no_span(spark):
     assert me.metrics_summary(cat, p).collect()[0].total_reports == 0
 
 
+# -- stored relations -------------------------------------------------------------
+
+def test_files_of_a_bucketed_relation_do_not_grow_with_the_writing_tasks(spark):
+    """Rows are gathered by bucket before they are written: four writing parts, still one file a bucket."""
+    from blotter.sources.fixtures import _BUCKET, derive
+    cat, derived = catalog_for(spark, SF_SMALL), derive(spark, SF_SMALL)
+    for name in _BUCKET:
+        assert len(cat.raw(name).inputFiles()) <= 8, name
+    for name in ("inc_case_inc_status_vw", "incident_person_roles", "arrests"):
+        assert same(cat.raw(name), derived[name]), name
+
+
 # -- heavy buckets ---------------------------------------------------------------
 
 @pytest.fixture
