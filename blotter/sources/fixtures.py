@@ -249,8 +249,8 @@ FIXTURE_VERSION = "v6"
 #   group covers a date range that the cohort's year filter skips by min/max
 #   statistics.
 # * The code tables are one file.
-BUCKET_BYTES = 128 * 1024 * 1024
-LEAST_BUCKETS, MOST_BUCKETS = 8, 16384
+BUCKET_BYTES = 8 * 1024 * 1024
+LEAST_BUCKETS, MOST_BUCKETS = 8, 65536
 # So many relations are written at a time; the last tasks of one job leave cores to the next.
 WRITERS = 4
 _BUCKET = {

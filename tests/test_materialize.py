@@ -4,9 +4,11 @@ import os
 
 import pytest
 from helpers import SF_SMALL
+from pyspark.sql import functions as F
 
 from blotter.functions import joins
 from blotter.plans import materialize as ma
+from blotter.sources import fixtures
 
 
 class _Conf(dict):
@@ -92,3 +94,16 @@ def test_bucket_count_follows_the_input(spark, monkeypatch):
     assert fixtures.bucket_count(spark, SF_SMALL) == fixtures.LEAST_BUCKETS
     monkeypatch.setattr(fixtures, "BUCKET_BYTES", 4000)
     assert fixtures.bucket_count(spark, SF_SMALL) in (32, 64)
+
+
+def test_a_bucket_has_about_the_same_bytes_at_any_size(spark, tmp_path, monkeypatch):
+    """A task's memory follows from its bucket, so the number of buckets grows with the input."""
+    monkeypatch.setattr(fixtures, "LEAST_BUCKETS", 1)
+    found = []
+    for rows in (1_000_000, 4_000_000):
+        path = tmp_path / str(rows)
+        spark.range(rows).select(F.rand(1).alias("x")).coalesce(1).write.parquet(str(path / "lineitem.parquet"))
+        found.append(fixtures.bucket_count(spark, str(path)))
+        size = sum(f.stat().st_size for f in (path / "lineitem.parquet").glob("*.parquet"))
+        assert size / found[-1] <= 16 * 1024 * 1024
+    assert found[0] == 1 and found[1] == 4
