@@ -173,6 +173,22 @@ def test_files_of_a_bucketed_relation_do_not_grow_with_the_writing_tasks(spark):
         assert same(cat.raw(name), derived[name]), name
 
 
+def test_suspects_have_a_task_a_bucket(spark, tmp_path, monkeypatch):
+    """More buckets, smaller tasks: people meet their incidents in as many tasks as there are buckets."""
+    from blotter.sources import fixtures
+    monkeypatch.setattr(fixtures, "BUCKET_BYTES", fixtures.BUCKET_BYTES // 2048)
+    cat = fixtures.fixture_catalog(spark, SF_SMALL)
+    n = fixtures.bucket_count(spark, SF_SMALL)
+    assert n > fixtures.LEAST_BUCKETS
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        assert su._people(cat, None).rdd.getNumPartitions() == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert same(su.suspect_counts(cat), su.suspect_counts(catalog_for(spark, SF_SMALL)))
+
+
 # -- heavy buckets ---------------------------------------------------------------
 
 @pytest.fixture
