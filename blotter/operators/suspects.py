@@ -77,6 +77,16 @@ def _people(cat: Catalog, keys: DataFrame | None) -> DataFrame:
         df, k.select("incident_id", "inc_report_number", "agency_code")))
 
 
+def _dealt(df: DataFrame, n: int | None, *cols: str) -> DataFrame:
+    """``df`` dealt to ``n`` tasks by ``cols``; as the planner deals it if ``n`` is None."""
+    return df.repartition(n, *cols) if n else df
+
+
+def _tasks(cat: Catalog, keys: DataFrame | None) -> int | None:
+    """Tasks for the rows of all people, or None: the rows of a cohort, or few enough for the session's."""
+    return cat.tasks("incident_people") if keys is None else None
+
+
 def _role_counts(cat: Catalog, keys: DataFrame | None) -> DataFrame:
     roles = by_first_hop(cat.table("incident_person_roles"), keys, "people", "inc_per_id")
     rc = cat.lookup("role_codes").withColumnRenamed("role_type", "rc_role_type")
@@ -107,7 +117,9 @@ def person_rows(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     pre-aggregated arrests on (report, agency, person id).  Rows with a NULL among
     these never match; their report number is replaced by a text of their own
     that no report has, so they spread over all tasks instead of piling up in
-    one.  A hot report or person is split by AQE.
+    one.  The tasks of that join follow from the bytes of the people where the
+    session has fewer, so a task's rows stay the same at any size; otherwise the
+    planner's exchange stays, and AQE splits a hot report or person.
     """
     base = _people(cat, keys)
     rel = cat.lookup("ejs_codes")  # not renamed: its broadcast is the same as that of the case statuses
@@ -138,7 +150,9 @@ def person_rows(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
         F.coalesce(F.col("n_role_word"), F.lit(0)).alias("n_role_word"),
         desc_suspect.alias("desc_suspect"), desc_offender.alias("desc_offender"),
         suspus.alias("suspus"), code_hit.alias("code_hit")).filter(F.col("n_pass") > 0)
-    arrests = _arrest_counts(cat, keys)
+    n = _tasks(cat, keys)
+    passing = _dealt(passing, n, "report_key", "agency_code", "per_person_id")
+    arrests = _dealt(_arrest_counts(cat, keys), n, "a_report", "a_agency", "a_person")
     rows = passing.join(arrests, (passing["report_key"] == arrests["a_report"])
                         & (passing["agency_code"] == arrests["a_agency"])
                         & (passing["per_person_id"] == arrests["a_person"]), "left")
@@ -175,7 +189,8 @@ def suspect_counts(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
 
     Only incidents with at least one such person appear.
     """
-    return (person_rows(cat, keys).filter(F.col("is_suspect"))
+    rows = person_rows(cat, keys).filter(F.col("is_suspect")).select("incident_id", "inc_per_id")
+    return (_dealt(rows, _tasks(cat, keys), "incident_id", "inc_per_id")
             .groupBy("incident_id")
             .agg(F.countDistinct("inc_per_id").alias("suspect_count")))
 
@@ -187,8 +202,11 @@ def suspect_evidence(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """
     rows = person_rows(cat, keys)
     s = lambda c: F.sum(F.col(c).cast("long"))
-    return rows.groupBy("incident_id").agg(
-        F.countDistinct(F.when(F.col("is_suspect"), F.col("inc_per_id"))).alias("suspect_count"),
+    sums = [c for c in rows.columns if c.endswith("_rows")]
+    persons = _dealt(rows, _tasks(cat, keys), "incident_id", "inc_per_id").groupBy("incident_id", "inc_per_id").agg(
+        F.bool_or("is_suspect").alias("is_suspect"), *[s(c).alias(c) for c in sums])
+    return persons.groupBy("incident_id").agg(
+        F.count(F.when(F.col("is_suspect"), F.col("inc_per_id"))).alias("suspect_count"),
         s("role_type_rows").alias("matched_role_type_rows"),
         s("role_desc_rows").alias("matched_role_desc_rows"),
         s("suspect_rows").alias("matched_suspect_rows"),

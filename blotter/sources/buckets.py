@@ -12,13 +12,17 @@ brings the partial results together.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from statistics import median
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 
 #: A bucket is heavy if it has so many times the median's bytes, and is larger than one task should read.
 UNEVEN = 3
 HEAVY_BYTES = 256 * 1024 * 1024
+#: Stored bytes whose rows one task sorts or groups; as in the layout of the buckets.
+TASK_BYTES, MOST_TASKS = 8 * 1024 * 1024, 65536
 
 _BUCKET_FILE = re.compile(r"_(\d{5})(?:\.c\d+)?[^/]*$")
 
@@ -40,15 +44,33 @@ def bucket_sizes(df: DataFrame) -> list[int]:
     """Bytes of each bucket that has files, by the listing; empty if ``df`` is no bucketed table."""
     if _bucketed_table(df) is None:
         return []
-    session = df.sparkSession
     sizes: dict[str, int] = {}
-    for folder in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}):
+    for _, name, length in _listed(df, df.inputFiles()):
+        found = _BUCKET_FILE.search(name)
+        if found:
+            sizes[found[1]] = sizes.get(found[1], 0) + length
+    return sorted(sizes.values())
+
+
+def _listed(df: DataFrame, files: list[str]) -> Iterator[tuple[str, str, int]]:
+    """Folder, name and bytes of every file in the folders of ``files``: one listing a folder."""
+    session = df.sparkSession
+    for folder in sorted({unquote(f).rsplit("/", 1)[0] for f in files}):  # they are URIs
         path = session._jvm.org.apache.hadoop.fs.Path(folder)
         for status in path.getFileSystem(session._jsc.hadoopConfiguration()).listStatus(path):
-            found = _BUCKET_FILE.search(status.getPath().getName())
-            if found:
-                sizes[found[1]] = sizes.get(found[1], 0) + status.getLen()
-    return sorted(sizes.values())
+            yield folder, status.getPath().getName(), status.getLen()
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, by their listing; 0 if it reads none."""
+    files = df.inputFiles()
+    read = {unquote(f) for f in files}
+    return sum(length for folder, name, length in _listed(df, files) if f"{folder}/{name}" in read)
+
+
+def tasks_for(n_bytes: int) -> int:
+    """So many tasks that each gets about ``TASK_BYTES`` of stored rows."""
+    return min(max(1, -(-n_bytes // TASK_BYTES)), MOST_TASKS)
 
 
 def evened(df: DataFrame, heavy_bytes: int = HEAVY_BYTES) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from blotter.functions.joins import row_bytes
-from blotter.sources.buckets import HEAVY_BYTES, evened
+from blotter.sources.buckets import HEAVY_BYTES, evened, stored_bytes, tasks_for
 from blotter.sources.schemas import LOOKUPS, SCHEMAS
 
 # Largest lookup table we broadcast, in bytes of its rows.  The code tables are
@@ -55,6 +55,7 @@ class Catalog:
         self._heavy_bucket_bytes = heavy_bucket_bytes
         self._small: dict[str, DataFrame] = {}
         self._even: dict[str, DataFrame] = {}
+        self._tasks: dict[str, int] = {}
 
     # -- constructors -----------------------------------------------------
     @classmethod
@@ -83,6 +84,16 @@ class Catalog:
             self._even[name] = evened(self._raw[name], self._heavy_bucket_bytes)
         return self._even[name]
 
+    def tasks(self, name: str) -> int | None:
+        """Tasks that the whole relation's rows need in a shuffle, by the bytes of its files.
+
+        None if the session's own number does: adaptive execution then merges or splits them.
+        """
+        if name not in self._tasks:
+            self._tasks[name] = tasks_for(stored_bytes(self._raw[name]))
+        own = int(self._raw[name].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return self._tasks[name] if self._tasks[name] > own else None
+
     def table(self, name: str, where: Column | Callable[[DataFrame], Column] | None = None,
               columns: tuple[str, ...] | None = None, nonblank: tuple[str, ...] = ()) -> DataFrame:
         """Typed, blank-normalized relation; ``where`` runs on raw columns.

@@ -189,6 +189,39 @@ def test_suspects_have_a_task_a_bucket(spark, tmp_path, monkeypatch):
     assert same(su.suspect_counts(cat), su.suspect_counts(catalog_for(spark, SF_SMALL)))
 
 
+def test_suspects_have_tasks_by_the_input_whatever_the_session_has(spark, monkeypatch):
+    """Arrests meet people, and people their incident, in as many tasks as the bytes of the people ask for."""
+    from blotter.sources import buckets
+    want = [q(catalog_for(spark, SF_SMALL)).collect() for q in (su.suspect_counts, su.suspect_evidence)]
+    people = catalog_for(spark, SF_SMALL).raw("incident_people")
+    monkeypatch.setattr(buckets, "TASK_BYTES", buckets.stored_bytes(people) // 20)
+    cat = Catalog({n: catalog_for(spark, SF_SMALL).raw(n) for n in RELATIONS})
+    n = cat.tasks("incident_people")
+    assert 20 <= n <= 21 and int(spark.conf.get("spark.sql.shuffle.partitions")) < n
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        assert su.person_rows(cat).rdd.getNumPartitions() == n
+        plan = plan_text(su.suspect_counts(cat), "simple")
+        assert plan.count(f", {n}), REPARTITION_BY_NUM") == 3  # people, arrests, suspects
+        assert plan_text(su.suspect_evidence(cat), "simple").count(f", {n}), REPARTITION_BY_NUM") == 3
+        assert sorted(su.suspect_counts(cat).collect()) == sorted(want[0])
+        assert sorted(su.suspect_evidence(cat).collect()) == sorted(want[1])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_stored_bytes_are_those_of_the_files_read(spark, tmp_path):
+    from blotter.sources.buckets import stored_bytes, tasks_for
+    for name in ("a b", "c"):
+        spark.range(1000).repartition(3).write.parquet(str(tmp_path / name))
+    sizes = {n: [(f, f.stat().st_size) for f in (tmp_path / n).glob("*.parquet")] for n in ("a b", "c")}
+    assert stored_bytes(spark.read.parquet(str(tmp_path / "a b"))) == sum(s for _, s in sizes["a b"])
+    one, size = sizes["c"][0]
+    assert stored_bytes(spark.read.parquet(str(one))) == size  # not its neighbours
+    assert stored_bytes(spark.range(10)) == 0 and tasks_for(0) == 1
+
+
 # -- heavy buckets ---------------------------------------------------------------
 
 @pytest.fixture
